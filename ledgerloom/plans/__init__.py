@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["provenance"]
+MODULES = ["provenance", "estimators"]
 
 
 def load():
