@@ -169,20 +169,24 @@ def sentence_offsets(text) -> Column:
 def norm(text, rule: str = "space") -> Column:
     """Named normalisers; the variants differ on purpose and are never merged.
 
-    space    collapse white space
-    markup   unify Unicode spaces, dashes and quotes, drop markdown marks, lower, collapse
-    amount   lower, drop currency signs and thousands commas, collapse
-    hyphen   lower, hyphens to blanks, collapse
-    word     lower, every non-word run to one blank
+    space   collapse white space, trim
+    markup  unify Unicode spaces, dashes, quotes and ellipses, drop markdown marks and <br>, lower, collapse
+    amount  drop commas and dollar signs, en dash to hyphen, collapse, lower
+    money   drop dollar signs and asterisks, collapse, lower
+    digits  money, digit-group separators dropped and hyphens to blanks; ends are not trimmed
+    word    lower, every non-word run to one blank
     """
     t = as_col(text)
     if rule == "markup":
-        t = F.translate(t, "‐‑‒–—−‘’“”", "------''\"\"")
-        t = F.lower(F.translate(t, "*_`#", ""))
+        t = F.translate(t, "\u202f\u00a0\u2013\u2014\u2018\u2019\u201c\u201d", "  --''\"\"")
+        t = F.lower(F.regexp_replace(F.replace(t, F.lit("\u2026"), F.lit("...")), r"[*_`#>]|<br\s*/?>", ""))
     elif rule == "amount":
-        t = F.translate(F.lower(t), "$€£,", "")
-    elif rule == "hyphen":
-        t = F.translate(F.lower(t), "-‐‑‒–—", "      ")
+        t = F.lower(F.translate(t, "\u2013,$", "-"))
+    elif rule == "money":
+        t = F.lower(F.translate(t, "$*", ""))
+    elif rule == "digits":
+        t = F.translate(F.lower(t), "-$*,\u202f\u00a0\u2009", " ")
+        return F.regexp_replace(t, r"(?U)\s+", " ")
     elif rule == "word":
         return F.trim(F.regexp_replace(F.lower(t), r"(?U)\W+", " "))
     elif rule != "space":

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["provenance", "estimators"]
+MODULES = ["provenance", "estimators", "detection", "hygiene", "sources"]
 
 
 def load():
