@@ -185,32 +185,3 @@ def rubric_hits(runs: DataFrame, case: str, text: str, rubric: Mapping[str, Sequ
         for r, ps in rubric.items()]))
     return runs.select(case, each.alias("e")).groupBy(case, "e.rubric").agg(
         F.count_if(F.col("e.k") > 0).alias("outputs"), F.sum("e.k").alias("hits"))
-
-
-def literal_hits(texts: DataFrame, key: Sequence[str], text: str, registry: DataFrame, phrase_id: str = "id",
-                 phrase: str = "phrase", min_len: int = 8, broadcast_limit: int = 200_000) -> DataFrame:
-    """(key..., phrase_id) where the text contains the phrase, case-folded. Exact, and never all pairs.
-
-    A phrase of at least `min_len` characters is found through its own first `min_len` characters: texts
-    emit the distinct character windows of that length, an equi-join on the window proposes candidates,
-    and containment is verified once per candidate. The registry is broadcast only when its counted size
-    is below the limit; otherwise the windows are joined by hash.
-    """
-    reg = registry.where(F.length(phrase) >= min_len).select(
-        F.col(phrase_id), F.lower(phrase).alias("_p"), F.substring(F.lower(phrase), 1, min_len).alias("_w"))
-    small = reg.limit(broadcast_limit + 1).count() <= broadcast_limit
-    low = F.lower(X.as_col(text))
-    body = texts.select(*key, low.alias("_t"))
-    # texts shorter than a window hold no phrase
-    body = body.where(F.length("_t") >= min_len)
-    windows = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("_t") - (min_len - 1)),
-        lambda i: F.substr(F.col("_t"), i, F.lit(min_len))))
-    if small:
-        # the anchors are few: keep only windows that are anchors before anything leaves the row
-        rows = body.select(*key, "_t", F.explode_outer(windows).alias("_w")).where(F.col("_w").isNotNull())
-        cand = rows.join(F.broadcast(reg), "_w")
-        return cand.where(F.contains("_t", "_p")).select(*key, phrase_id)
-    rows = body.select(*key, F.explode_outer(windows).alias("_w")).where(F.col("_w").isNotNull())
-    cand = rows.join(reg, "_w").select(*key, phrase_id, "_p")
-    return cand.join(body, list(key)).where(F.contains("_t", "_p")).select(*key, phrase_id)

@@ -84,3 +84,13 @@ def youden(df: DataFrame, by: Sequence[str], label: str, score: str, min_class:
     return r.groupBy(*by).agg(F.max("_p").alias("n_pos"), F.max("_q").alias("n_neg"), best.alias("b")).select(
         *by, "n_pos", "n_neg", F.when(F.col("b._j").isNotNull(), -F.col("b.v")).alias("cut"),
         F.col("b._j").alias("j"))
+
+
+def calibrate(scored: DataFrame, family: str, domain: str, order: str, label: str, score: str, cap: int = 150,
+              width: float = 1e-3) -> DataFrame:
+    """AUC and Youden cut per family from the first `cap` labelled units of each domain (a group-limited top-k)."""
+    rank = F.row_number().over(Window.partitionBy(family, domain).orderBy(order))
+    kept = scored.where(F.col(label).isNotNull()).withColumn("_r", rank).where(F.col("_r") <= cap)
+    a = auc(kept, [family], label, score, width)
+    y = youden(kept, [family], label, score, width=width).select(family, "cut", "j")
+    return a.join(y, family)

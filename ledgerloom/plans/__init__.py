@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["provenance", "estimators", "detection", "hygiene", "sources"]
+MODULES = ["provenance", "estimators", "detection", "hygiene", "sources", "labels", "probes"]
 
 
 def load():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import detection as D
+from ledgerloom.operators import dictation as D
 from ledgerloom.operators import hygiene as P
 from ledgerloom.plans import sqlkit as K
 from ledgerloom.plans.catalog import query, rounded
@@ -147,9 +147,10 @@ def p10_heading_buckets(t):
     return b.select("run_id", "bucket", F.md5("body").alias("body"))
 
 
-@query("p10_prompt_blocks", f"""{W} SELECT run_id, md5(alpha || {NL} || beta) AS blocks, {_TR.format('alpha')} AS legal_q, {_TR.format('beta')} AS finance_q FROM runs""")
+@query("p10_prompt_blocks", f"""{W} SELECT run_id, md5(alpha || {NL} || beta) AS blocks, CASE WHEN alpha = '' THEN {_TR.format("'Finance sub-question: ' || beta")} ELSE {_TR.format('alpha')} END AS legal_q,
+   CASE WHEN beta = '' THEN 'Specialists consulted: two' ELSE {_TR.format('beta')} END AS finance_q FROM runs""")
 def p10_prompt_blocks(t):
-    """Contribution blocks of synthesis prompts and labelled sub-questions."""
+    """Contribution blocks of synthesis prompts and labelled sub-questions (an empty one runs on to the next label)."""
     prompt = F.concat(F.lit("Head\n---\nLEGAL CONTRIBUTION:\n"), "alpha", F.lit("\n---\nFINANCE CONTRIBUTION:\n"), "beta")
     subs = P.sub_questions(F.concat(F.lit("Legal sub-question: "), "alpha", F.lit("\nFinance sub-question: "), "beta",
                                     F.lit("\nSpecialists consulted: two")), ["legal", "finance"])
@@ -179,11 +180,9 @@ def p11_decode_plans(t):
   SELECT run_id, len(q)::INT AS quotes_checked, run_id % 4 <> 0 OR len(q) = 0 AS verified FROM s""")
 def p13_ground_quotes(t):
     """Quotes are a seat's sentences; every fourth run quotes words the text does not hold."""
-    spoilt = F.transform(X.sentences("alpha"), lambda s: F.when(F.col("run_id") % 4 == 0, F.concat(s, F.lit(" QQXZ"))).otherwise(s))
     kept = F.filter(X.sentences("alpha"), lambda s: F.length(X.strip(s)) >= 15)
     d = t.dealt.select("run_id", "alpha", F.when(F.col("run_id") % 4 == 0, F.transform(kept, lambda s: F.concat(s, F.lit(" QQXZ"))))
                        .otherwise(X.sentences("alpha")).alias("q"))
-    del spoilt
     return P.ground_quotes(d, "q", "alpha").select("run_id", "quotes_checked", "verified")
 
 
