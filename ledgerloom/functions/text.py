@@ -27,6 +27,15 @@ def as_col(text) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def let(value, fn) -> Column:
+    """fn(value) with the value computed once per row.
+
+    An expression mentioned inside a lambda is evaluated for every element; bound as a lambda variable
+    of its own it is not.
+    """
+    return F.get(F.transform(F.array(as_col(value)), fn), F.lit(0))
+
+
 def has(text, pattern: str) -> Column:
     return F.coalesce(as_col(text).rlike(FLAGS + pattern), F.lit(False))
 
@@ -148,7 +157,7 @@ def strip(text) -> Column:
 _BREAK = re.compile(SENTENCE_BREAK)
 
 
-def _offsets(t: str) -> list[tuple[int, int]]:
+def offsets_of(t: str) -> list[tuple[int, int]]:
     cuts = [(m.start(), m.end()) for m in _BREAK.finditer(t)]
     starts = [0] + [e for _, e in cuts]
     ends = [b for b, _ in cuts] + [len(t)]
@@ -159,7 +168,7 @@ def sentence_offsets(text) -> Column:
     """Array of (start, end) of the boundary-rule sentences; offsets need every match, hence Arrow."""
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def locate(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _offsets(t) if t else [])
+        return texts.map(lambda t: offsets_of(t) if t else [])
 
     return locate(as_col(text))
 

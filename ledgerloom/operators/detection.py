@@ -135,12 +135,16 @@ def quoted(text) -> Column:
 def examples(text, markers: Sequence[str] = EXAMPLE_MARKERS) -> Column:
     """What follows each example marker, up to a blank line or else 320 characters."""
     def after(m):
-        cut = F.split(X.as_col(text), "\\Q" + m + "\\E", -1)
-        tails = F.transform(F.sequence(F.lit(2), F.size(cut)), lambda i: F.array_join(F.slice(cut, i, F.size(cut)), m))
-        seg = F.transform(tails, lambda t: F.when(F.contains(t, F.lit("\n\n")), F.substring_index(t, "\n\n", 1))
-                          .otherwise(F.substring(t, 1, EXAMPLE_CHARS)))
-        return F.when(F.size(cut) > 1, F.transform(
-            seg, lambda t: X.strip(F.regexp_replace(X.strip(t), "^-+|-+$", "")))).otherwise(F.array().cast("array<string>"))
+        def tails(cut):
+            return F.when(F.size(cut) > 1, F.transform(
+                F.sequence(F.lit(2), F.size(cut)), lambda i: clean(F.array_join(F.slice(cut, i, F.size(cut)), m)))
+            ).otherwise(F.array().cast("array<string>"))
+
+        return X.let(F.split(X.as_col(text), "\\Q" + m + "\\E", -1), tails)
+
+    def clean(t):
+        seg = F.when(F.contains(t, F.lit("\n\n")), F.substring_index(t, "\n\n", 1)).otherwise(F.substring(t, 1, EXAMPLE_CHARS))
+        return X.strip(F.regexp_replace(X.strip(seg), "^-+|-+$", ""))
 
     return F.flatten(F.array(*[after(m) for m in markers]))
 

@@ -19,10 +19,23 @@ POWERS = {"sx": "x", "sy": "y", "sxx": "x*x", "sxy": "x*y", "syy": "y*y", "sx3":
           "sxxy": "x*x*y"}
 
 
+def precount(audited: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Runs counted by everything the estimators read (column _runs).
+
+    Estimators built on one precounted frame share its exchange, so texts are scanned and matched once.
+    """
+    keys = list(dict.fromkeys([*by, "prompt_id", "condition", "writer_id", "floor_guard", "supply", "emitted", "n_invented"]))
+    return audited.groupBy(*keys).agg(F.count("*").alias("_runs"))
+
+
+def _runs(df: DataFrame) -> Column:
+    return F.col("_runs") if "_runs" in df.columns else F.lit(1).cast("bigint")
+
+
 def supply_cells(audited: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Runs above the floor counted by (by, supply, emitted)."""
     return audited.where(~F.col("floor_guard")).groupBy(
-        *by, F.col("supply").alias("x"), F.col("emitted").alias("y")).agg(F.count("*").alias("_m"))
+        *by, F.col("supply").alias("x"), F.col("emitted").alias("y")).agg(F.sum(_runs(audited)).alias("_m"))
 
 
 def sums(cells: DataFrame, by: Sequence[str], weight: str = "_m") -> DataFrame:
@@ -155,8 +168,10 @@ def corner_verdict(cards: DataFrame, strata_table: DataFrame, by: Sequence[str]
 def clean_cells(audited: DataFrame, by: Sequence[str]) -> DataFrame:
     """Redraw cells (by, prompt, condition, writer, supply): runs, clean runs, inventions."""
     cell = list(dict.fromkeys([*by, "prompt_id", "condition", "writer_id", "supply"]))
+    m = _runs(audited)
     return audited.where(~F.col("floor_guard")).groupBy(*cell).agg(
-        F.count("*").alias("n"), F.count_if(F.col("n_invented") == 0).alias("k"), F.sum("n_invented").alias("inv"))
+        F.sum(m).alias("n"), F.sum(F.when(F.col("n_invented") == 0, m).otherwise(0)).alias("k"),
+        F.sum(F.col("n_invented") * m).alias("inv"))
 
 
 def worst_stratum(cells: DataFrame, by: Sequence[str], min_n: int = 5) -> DataFrame:

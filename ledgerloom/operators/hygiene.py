@@ -203,11 +203,9 @@ def decode_plans(turns: DataFrame, raw: str, query: str, valid: Sequence[str]) -
 
 def ground_quotes(df: DataFrame, quotes: str, text: str, min_len: int = 15, rule: str = "markup") -> DataFrame:
     """Every quote of at least 15 characters must occur in its text after normalisation."""
-    body = X.norm(text, rule)
-    used = F.filter(quotes, lambda q: F.length(X.strip(q)) >= min_len)
-    grounded = df.withColumn("_b", body).withColumn("_q", F.transform(used, lambda q: X.norm(q, rule)))
-    return grounded.withColumn("quotes_checked", F.size("_q")).withColumn(
-        "verified", F.forall("_q", lambda q: F.contains(F.col("_b"), q))).drop("_b", "_q")
+    used = F.transform(F.filter(quotes, lambda q: F.length(X.strip(q)) >= min_len), lambda q: X.norm(q, rule))
+    return df.withColumn("quotes_checked", F.size(used)).withColumn(
+        "verified", X.let(X.norm(text, rule), lambda body: F.forall(used, lambda q: F.contains(body, q))))
 
 
 def hold_out(runs: DataFrame, reserved: DataFrame, key: str, text: str = "output", min_chars: int = 800) -> DataFrame:

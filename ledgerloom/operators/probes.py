@@ -12,8 +12,8 @@ from ledgerloom.functions import text as X
 
 
 def contains_any(text: Column, probes, rule: str) -> Column:
-    """Some probe of the array occurs in the (already normalised) text."""
-    return F.exists(X.as_col(probes), lambda p: F.contains(text, X.norm(p, rule)))
+    """Some probe of the array occurs in the (already normalised) text, which is computed once."""
+    return X.let(text, lambda t: F.exists(X.as_col(probes), lambda p: F.contains(t, X.norm(p, rule))))
 
 
 def adoption(runs: DataFrame, right: str, wrong: str, arm: str, output: str = "output", rule: str = "money",
@@ -97,7 +97,7 @@ def carriage(runs: DataFrame, caveats: DataFrame, case: str, output: str = "outp
     app = F.concat(F.col(output), F.lit("\n\n---\n"), F.array_join(F.transform("_c", lambda s: F.concat(F.lit("- "), X.strip(s))), "\n"))
     j = j.select(case, "_c", flat(F.col(output)).alias("_b"), flat(app).alias("_f"))
     def held(t):
-        return F.size(F.filter("_c", lambda s: F.contains(F.col(t), flat(X.strip(s)))))
+        return X.let(t, lambda body: F.size(F.filter("_c", lambda s: F.contains(body, flat(X.strip(s))))))
     return j.groupBy(case).agg(
         F.count("*").alias("runs"), F.sum(F.size("_c")).alias("caveats"), F.sum(held("_b")).alias("carried_bare"),
         F.sum(held("_f")).alias("carried_appendix")).select(

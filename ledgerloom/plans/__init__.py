@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["provenance", "estimators", "detection", "hygiene", "sources", "labels", "probes"]
+MODULES = ["provenance", "estimators", "detection", "hygiene", "sources", "labels", "probes", "cards", "pairs"]
 
 
 def load():

@@ -235,10 +235,10 @@ CALLS = """cl AS MATERIALIZED (SELECT user_id::VARCHAR AS ledger_id, ts, event_i
      + (o * 25.00::DECIMAL(10,2) / 1000000)::DECIMAL(18,8))::DECIMAL(18,8) AS cost FROM cl)"""
 
 
-@query("p17_call_cost", f"WITH {CALLS} SELECT ledger_id, count(*) AS n, round(sum(cost)::DOUBLE, 6) AS usd FROM cost GROUP BY 1")
+@query("p17_call_cost", f"WITH {CALLS} SELECT ledger_id, count(*) AS n, round(sum(cost), 4)::DOUBLE AS usd FROM cost GROUP BY 1")
 def p17_call_cost(t):
     c = P.call_cost(calls(t))
-    return rounded(c.groupBy("ledger_id").agg(F.count("*").alias("n"), F.sum("cost").cast("double").alias("usd")))
+    return c.groupBy("ledger_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).cast("double").alias("usd"))
 
 
 @query("p18_duplicates", """SELECT lang, md5(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS digest, count(*) AS copies
