@@ -577,13 +577,11 @@ def span_fraction(outputs: DataFrame, lex, by: Sequence[str] = ("condition",), m
         lambda a, s: a + tokens(F.substr(F.col("output"), s["start"] + 1, s["end"] - s["start"])))
     vals = cut.select(*by, (total / F.length("output")).alias("f"),
                       (hit_tokens / F.greatest(F.lit(1), tokens(F.col("output")))).alias("ft"))
-    q = ranks.quantiles(vals, by, "f", {"f_median": "median", "f_p25": 0.25, "f_p75": 0.75})
-    qt = ranks.quantiles(vals, by, "ft", {"f_median_tokens": "median"}).drop("n")
-    zero = vals.groupBy(*by).agg(F.count_if(F.col("f") == 0).alias("zero_runs"))
+    q = ranks.many_quantiles(vals, by, {"f": {"f_median": "median", "f_p25": 0.25, "f_p75": 0.75}, "ft": {"f_median_tokens": "median"}})
     med = F.col("f_median")
-    return q.join(qt, by).join(zero, by).select(
+    return q.select(
         *by, F.col("n").alias("n_runs"), "f_median", "f_p25", "f_p75", "f_median_tokens",
-        F.when(med > 0, 1 / med).alias("dilution"), (F.col("zero_runs") > F.col("n") * 0.5).alias("mostly_zero"),
+        F.when(med > 0, 1 / med).alias("dilution"), (F.col("f_zeros") > F.col("n") * 0.5).alias("mostly_zero"),
         F.when(med >= 0.5, "low dilution").otherwise("high dilution").alias("verdict"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -196,24 +196,25 @@ def diagnose_pairs(pairs: DataFrame, lex, keep: Sequence[str], chosen: str = "ch
         starts = [m.start() for rx in compiled for m in rx.finditer(t)]
         return [(a, b) for a, b in X.offsets_of(t) if any(a <= s < b for s in starts)]
 
-    @F.pandas_udf("struct<differing:double,off_feature:double>")
-    def align(c: pd.Series, r: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_diff(x, y, feature) for x, y in zip(c, r)], columns=["differing", "off_feature"])
+    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parts = [_diff(c, r, feature) for c, r in zip(f[chosen], f[rejected])]
+            out = f[list(keep)].assign(differing=[d for d, _ in parts], off_feature=[o for _, o in parts])
+            yield out.assign(_c=f[chosen].str.len(), _r=f[rejected].str.len())
 
-    d = pairs.withColumn("_d", align(chosen, rejected))
-    same = F.col("_d.differing") == 0
-    ratio = F.when(same, F.lit(1.0)).when(F.length(rejected) > 0, F.length(chosen) / F.length(rejected))
-    return d.select(*keep, "_d.differing", "_d.off_feature", ratio.alias("length_ratio"))
+    body = pairs.select(*keep, chosen, rejected)
+    schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keep).dtypes) + ", differing double, off_feature double, _c long, _r long"
+    ratio = F.when(F.col("differing") == 0, F.lit(1.0)).when(F.col("_r") > 0, F.col("_c") / F.col("_r"))
+    return body.mapInPandas(align, schema).select(*keep, "differing", "off_feature", ratio.alias("length_ratio"))
 
 
 def diagnose(diagnosed: DataFrame, by: Sequence[str]) -> DataFrame:
     """Medians per set; minimal below 0.15 off-feature, a note when lengths differ by more than 15 %."""
-    from ledgerloom.operators.ranks import quantiles
+    from ledgerloom.operators.ranks import many_quantiles
 
-    by = list(by)
-    parts = [quantiles(diagnosed, by, c, {c: "median"}) for c in ("differing", "off_feature", "length_ratio")]
-    out = parts[0].join(parts[1].drop("n"), by, "left").join(parts[2].drop("n"), by, "left")
-    return out.withColumn("minimal", F.col("off_feature") < 0.15).withColumn("length_note", F.abs(F.col("length_ratio") - 1) > 0.15)
+    out = many_quantiles(diagnosed, by, {c: {c: "median"} for c in ("differing", "off_feature", "length_ratio")})
+    return out.select(*by, "n", "differing", "off_feature", "length_ratio", (F.col("off_feature") < 0.15).alias("minimal"),
+                      (F.abs(F.col("length_ratio") - 1) > 0.15).alias("length_note"))
 
 
 # ---------------------------------------------------------------- gates, rewards, selection of pairs

@@ -13,25 +13,27 @@ from pyspark.sql import functions as F
 
 
 def running(df: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], width: float = 1e-3) -> DataFrame:
-    """Sum `counts` per distinct value and add <count>_below, the total over smaller values."""
+    """Sum `counts` per distinct value; add <count>_below, the total over smaller values, and <count>_all."""
     by = list(by)
     dist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(x).alias(x) for x in counts])
     dist = dist.withColumn("_bucket", F.floor(F.col(value) / width))
     outer = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = dist.groupBy(*by, "_bucket").agg(*[F.sum(x).alias(x) for x in counts])
-    tops = tops.select(*by, "_bucket", *[F.coalesce(F.sum(x).over(outer), F.lit(0)).alias(f"_{x}0") for x in counts])
+    tops = tops.select(*by, "_bucket", *[F.coalesce(F.sum(x).over(outer), F.lit(0)).alias(f"_{x}0") for x in counts],
+                       *[F.sum(x).over(whole).alias(f"{x}_all") for x in counts])
     inner = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     joined = dist.join(tops, [*by, "_bucket"])
-    return joined.select(*by, value, *counts, *[
+    return joined.select(*by, value, *counts, *[f"{x}_all" for x in counts], *[
         (F.col(f"_{x}0") + F.coalesce(F.sum(x).over(inner), F.lit(0))).alias(f"{x}_below") for x in counts])
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float | str], width: float = 1e-3) -> DataFrame:
-    """Nearest-rank quantiles (banker's rounding of q (n - 1)) or 'median' (mean of the middle two)."""
+    """Nearest-rank quantiles (banker's rounding of q (n - 1)), 'median' (mean of the middle two), and the
+    count of zeros, in one pass over the values."""
     by = list(by)
     ranked = running(df.withColumn("_n", F.lit(1)), by, value, ["_n"], width)
-    totals = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_t"))
-    ranked = ranked.join(totals, by)
+    total = F.col("_n_all")
 
     def at(rank):
         inside = (rank >= F.col("_n_below")) & (rank < F.col("_n_below") + F.col("_n"))
@@ -40,10 +42,31 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float
     out = []
     for name, q in qs.items():
         if q == "median":
-            out.append(((at(F.floor((F.col("_t") - 1) / 2)) + at(F.floor(F.col("_t") / 2))) / 2).alias(name))
+            out.append(((at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2).alias(name))
         else:
-            out.append(at(F.bround(F.lit(q) * (F.col("_t") - 1), 0)).alias(name))
-    return ranked.groupBy(*by).agg(F.max("_t").alias("n"), *out)
+            out.append(at(F.bround(F.lit(q) * (total - 1), 0)).alias(name))
+    zeros = F.coalesce(F.max(F.when(F.col(value) == 0, F.col("_n"))), F.lit(0))
+    return ranked.groupBy(*by).agg(F.max(total).alias("n"), zeros.alias("zeros"), *out)
+
+
+def many_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, dict[str, float | str]], width: float = 1e-3) -> DataFrame:
+    """Quantiles of several columns in one pass: the columns are laid under each other, ranked, and set back.
+
+    qs  column -> {output name: q}; also <column>_zeros
+    """
+    by = list(by)
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("_metric"), F.col(c).cast("double").alias("_v")) for c in qs]))
+    long = df.select(*by, rows.alias("_e")).select(*by, "_e.*")
+    wanted = {}
+    for spec in qs.values():
+        wanted.update({f"q_{v}": v for v in spec.values()})
+    q = quantiles(long, [*by, "_metric"], "_v", wanted, width)
+    out = [F.max("n").alias("n")]
+    for c, spec in qs.items():
+        on = F.col("_metric") == c
+        out += [F.max(F.when(on, F.col("zeros"))).alias(f"{c}_zeros")]
+        out += [F.max(F.when(on, F.col(f"`q_{v}`"))).alias(name) for name, v in spec.items()]
+    return q.groupBy(*by).agg(*out)
 
 
 def auc(df: DataFrame, by: Sequence[str], label: str, score: str, width: float = 1e-3) -> DataFrame:
@@ -75,7 +98,8 @@ def youden(df: DataFrame, by: Sequence[str], label: str, score: str, min_class:
                       F.lit(0).alias("_neg"), F.lit(1).alias("_cand"))
     points = scores.select(*by, F.col(score).alias("_v"), "_pos", "_neg", F.lit(0).alias("_cand")).unionByName(
         cands).unionByName(ends)
-    r = running(points, by, "_v", ["_pos", "_neg", "_cand"], width).where("_cand > 0").join(tot, by)
+    r = running(points, by, "_v", ["_pos", "_neg", "_cand"], width).where("_cand > 0")
+    r = r.withColumnsRenamed({"_pos_all": "_p", "_neg_all": "_q"})
     usable = (F.col("_p") >= min_class) & (F.col("_q") >= min_class)
     j = F.when(usable, (F.col("_p") - F.col("_pos_below")) / F.col("_p")
                - (F.col("_q") - F.col("_neg_below")) / F.col("_q"))

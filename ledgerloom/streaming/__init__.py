@@ -1,0 +1 @@
+"""Structured Streaming operators over run events, calls and arriving runs."""
