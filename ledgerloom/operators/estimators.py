@@ -34,8 +34,8 @@ def _runs(df: DataFrame) -> Column:
 
 def supply_cells(audited: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Runs above the floor counted by (by, supply, emitted)."""
-    return audited.where(~F.col("floor_guard")).groupBy(
-        *by, F.col("supply").alias("x"), F.col("emitted").alias("y")).agg(F.sum(_runs(audited)).alias("_m"))
+    counted = F.sum(F.when(~F.col("floor_guard"), _runs(audited))).alias("_m")
+    return audited.groupBy(*by, F.col("supply").alias("x"), F.col("emitted").alias("y")).agg(counted).where("_m > 0")
 
 
 def sums(cells: DataFrame, by: Sequence[str], weight: str = "_m") -> DataFrame:
@@ -169,9 +169,11 @@ def clean_cells(audited: DataFrame, by: Sequence[str]) -> DataFrame:
     """Redraw cells (by, prompt, condition, writer, supply): runs, clean runs, inventions."""
     cell = list(dict.fromkeys([*by, "prompt_id", "condition", "writer_id", "supply"]))
     m = _runs(audited)
-    return audited.where(~F.col("floor_guard")).groupBy(*cell).agg(
-        F.sum(m).alias("n"), F.sum(F.when(F.col("n_invented") == 0, m).otherwise(0)).alias("k"),
-        F.sum(F.col("n_invented") * m).alias("inv"))
+    # the floor is applied inside the aggregate: as a filter it would repeat the text work below the exchange
+    m = F.when(~F.col("floor_guard"), m)
+    return audited.groupBy(*cell).agg(
+        F.sum(m).alias("n"), F.coalesce(F.sum(F.when(F.col("n_invented") == 0, m)), F.lit(0)).alias("k"),
+        F.sum(F.col("n_invented") * m).alias("inv")).where("n > 0")
 
 
 def worst_stratum(cells: DataFrame, by: Sequence[str], min_n: int = 5) -> DataFrame:

@@ -334,10 +334,13 @@ def manifest_restored(seats: DataFrame, discarded: DataFrame, lex) -> DataFrame:
 
     seats      run_id, seat, text       discarded  run_id, discarded_mask
     """
-    s = X.explode_rows(seats, ["run_id", "seat"], X.sentences("text", "quoted"), "pos", "sentence")
-    s = s.withColumn("m", X.families_mask("sentence", lex)).where("m <> 0")
-    hits = s.join(discarded.where("discarded_mask <> 0"), "run_id").withColumn(
-        "m", F.col("m").bitwiseAND(F.col("discarded_mask"))).where("m <> 0")
+    # masks are found inside the sentence array, so sentences without a family never become rows
+    marked = F.filter(
+        F.transform(X.sentences("text", "quoted"), lambda t, i: F.struct(
+            i.alias("at"), t.alias("sentence"), X.families_mask(t, lex).alias("m"))), lambda e: e["m"] != 0)
+    s = X.explode_rows(seats, ["run_id", "seat"], marked, "_p", "e").select(
+        "run_id", "seat", F.col("e.at").alias("pos"), "e.sentence", "e.m")
+    hits = s.join(discarded, "run_id").withColumn("m", F.col("m").bitwiseAND(F.col("discarded_mask"))).where("m <> 0")
     each = F.explode(F.filter(
         F.array(*[F.when(X.mask_has("m", i), F.lit(f)) for i, f in enumerate(lexicon(lex))]),
         lambda f: f.isNotNull()))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 def running(df: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], width: float = 1e-3) -> DataFrame:
     """Sum `counts` per distinct value; add <count>_below, the total over smaller values, and <count>_all."""
     by = list(by)
-    dist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(x).alias(x) for x in counts])
+    # nulls are dropped by a counted aggregate: a filter on the value itself would be pushed down and make
+    # a costly value expression run twice
+    dist = df.groupBy(*by, value).agg(*[F.sum(x).alias(x) for x in counts], F.count(value).alias("_c")).where("_c > 0").drop("_c")
     dist = dist.withColumn("_bucket", F.floor(F.col(value) / width))
     outer = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -86,12 +88,12 @@ def youden(df: DataFrame, by: Sequence[str], label: str, score: str, min_class:
 
     The candidates are all rounded scores plus 0 and 1.
     """
-    marked = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn(
-        "_pos", F.col(label).cast("int")).withColumn("_neg", 1 - F.col("_pos"))
+    marked = df.where(F.col(label).isNotNull()).withColumn("_pos", F.col(label).cast("int")).withColumn("_neg", 1 - F.col("_pos"))
     by = list(by)
-    tot = marked.groupBy(*by).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
     # every rounded score is a candidate; a score counts as flagged when it is not below the candidate
-    scores = marked.groupBy(*by, score).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    scores = marked.groupBy(*by, score).agg(
+        F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), F.count(score).alias("_c")).where("_c > 0").drop("_c")
+    tot = scores.groupBy(*by).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
     cands = scores.select(*by, F.round(score, 4).alias("_v"), F.lit(0).alias("_pos"), F.lit(0).alias("_neg"),
                           F.lit(1).alias("_cand")).distinct()
     ends = tot.select(*by, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("_v"), F.lit(0).alias("_pos"),
