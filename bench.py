@@ -11,13 +11,11 @@ from ledgerloom.plans import load
 from ledgerloom.session import local_session
 
 HEADLINE = [
-    "v1_audit", "v1_audit_chat", "v2_dose_response", "v2_dose_response_chat", "v3_manifest_restored", "v4_gate_report",
-    "v5_select_best", "v6_transmission", "v7_corroboration", "v11_literal_hits", "v12_shortlist", "v14_adoption_four_way",
-    "v20_instrument_divergence", "t1_families", "t2_counts", "t4_spans", "t13_profile", "t15_ngram_overlap",
-    "e1_ols", "e3_bootstrap_ols", "e5_shrinkage", "e8_span_fraction", "e10_clean_rate", "e11_best_of_n", "e13_quantiles",
-    "e15_compare_arms", "e19_cluster_difference", "e22_meta", "e23_icc", "e26_auc", "e28_agreement", "e32_win_share",
-    "e47_parameter_cards", "p2_partition_dropped", "p11_decode_plans", "p18_duplicates", "s10_labels_long", "d2_supply_variants",
-    "d7_drop_pairs", "d13_extreme_pairs", "d16_dedup_sentences", "r1_event_feed", "r2_lifecycle", "r5_budget_guard",
+    "v1_audit", "v1_audit_chat", "v2_dose_response", "v2_dose_response_chat", "v3_manifest_restored", "v5_select_best",
+    "v6_transmission", "v11_literal_hits", "v12_shortlist", "v14_adoption_four_way", "t1_families", "t2_counts", "t4_spans",
+    "t13_profile", "e1_ols", "e5_shrinkage", "e10_clean_rate", "e13_quantiles", "e15_compare_arms", "e28_agreement",
+    "p11_decode_plans", "p18_duplicates", "s10_labels_long", "d7_drop_pairs", "d16_dedup_sentences", "r1_event_feed",
+    "r2_lifecycle", "r5_budget_guard",
 ]
 
 

@@ -44,8 +44,8 @@ def partition(runs: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     """(usable runs, dropped-reason counts). The counts carry a normalised reason beside the exact one."""
     v = validate(runs, **kw).withColumn("_reason", first_fatal("problems"))
     usable = v.where(F.col("_reason").isNull()).drop("_reason", "problems")
-    dropped = v.where(F.col("_reason").isNotNull()).groupBy(F.col("_reason").alias("reason")).agg(
-        F.count("*").alias("n")).withColumn(
+    # usable runs fall out after counting: a filter before it would repeat the text checks below the exchange
+    dropped = v.groupBy(F.col("_reason").alias("reason")).agg(F.count("_reason").alias("n")).where("n > 0").withColumn(
         "normalised", F.regexp_replace("reason", r"^output \d+ chars", "output"))
     return usable, dropped
 

@@ -140,10 +140,10 @@ def _dn(c):
   SELECT prompt_id, round(a, 6) AS a, round(b, 6) AS b, round(CASE WHEN a > 0 AND b > 0 THEN a / b END, 6) AS lift FROM g""")
 def t10_lift_ratio(t):
     modes = t.dealt.select("prompt_id", F.explode(F.array(
-        F.struct(F.lit("council").alias("mode"), F.col("output").alias("text")),
+        F.struct(F.lit("panel").alias("mode"), F.col("output").alias("text")),
         F.struct(F.lit("single").alias("mode"), F.col("alpha").alias("text")))).alias("e")).select("prompt_id", "e.*")
     scored = modes.select("prompt_id", "mode", D.density("text", LEX).alias("d"))
-    return rounded(D.lift_ratio(scored, "prompt_id", "mode", "d", "council", "single"))
+    return rounded(D.lift_ratio(scored, "prompt_id", "mode", "d", "panel", "single"))
 
 
 _fd = " UNION ALL ".join(

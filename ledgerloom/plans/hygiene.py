@@ -252,7 +252,7 @@ def p18_coverage(t):
     return P.integrity_coverage(t.dealt, "condition", "prompt_id", "output")
 
 
-_bk = "[{'p': 'alpha', 'b': CASE WHEN run_id % 3 = 0 THEN 'ollama' ELSE writer_id END}, {'p': 'beta', 'b': CASE WHEN run_id % 2 = 0 THEN 'ollama' ELSE writer_id END}, {'p': 'lead', 'b': CASE WHEN run_id % 5 = 0 THEN 'opus' ELSE writer_id END}]"
+_bk = "[{'p': 'alpha', 'b': CASE WHEN run_id % 3 = 0 THEN 'ollama' ELSE writer_id END}, {'p': 'beta', 'b': CASE WHEN run_id % 2 = 0 THEN 'ollama' ELSE writer_id END}, {'p': 'lead', 'b': CASE WHEN run_id % 5 = 0 THEN 'other' ELSE writer_id END}]"
 
 
 @query("p19_composition", f"""{W}, e AS (SELECT run_id, unnest({_bk}) AS s FROM runs), x AS (SELECT run_id, s.p AS p, s.b AS b FROM e),
@@ -264,5 +264,5 @@ _bk = "[{'p': 'alpha', 'b': CASE WHEN run_id % 3 = 0 THEN 'ollama' ELSE writer_i
 def p19_composition(t):
     b = F.create_map(F.lit("alpha"), F.when(F.col("run_id") % 3 == 0, "ollama").otherwise(F.col("writer_id")),
                      F.lit("beta"), F.when(F.col("run_id") % 2 == 0, "ollama").otherwise(F.col("writer_id")),
-                     F.lit("lead"), F.when(F.col("run_id") % 5 == 0, "opus").otherwise(F.col("writer_id")))
+                     F.lit("lead"), F.when(F.col("run_id") % 5 == 0, "other").otherwise(F.col("writer_id")))
     return P.composition(t.dealt.select("run_id", b.alias("backends")), "run_id", "backends")

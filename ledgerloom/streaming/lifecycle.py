@@ -48,20 +48,22 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator
         last = top if last is None or top > last else last
     status = ("completed" if done else "failed") if ended else ("running" if started else "pending")
     state.update((started, ended, done, failed, refused, last.to_pydatetime() if hasattr(last, "to_pydatetime") else last))
-    state.setTimeoutDuration(24 * 3600 * 1000)
+    state.setTimeoutTimestamp(int(pd.Timestamp(last).timestamp() * 1000) + ABANDONED_MS)
     yield pd.DataFrame([(key[0], status, done, failed, refused, last)], columns=LIFECYCLE_COLUMNS)
 
 
+ABANDONED_MS = 24 * 3600 * 1000
 LIFECYCLE_COLUMNS = ["run_id", "status", "modes_completed", "modes_failed", "modes_refused", "last_ts"]
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """The same as state per run: counters only, dropped after a day without events (such runs count as ended).
+def lifecycle_stream(events: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """The same as state per run: counters only, dropped once event time is a day past the run's last event
+    (such runs count as ended).
 
     Emits the run's current row whenever it changes.
     """
-    return events.select("run_id", "ts", "type").groupBy("run_id").applyInPandasWithState(
-        _advance, LIFECYCLE, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("run_id", "ts", "type").withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
+        _advance, LIFECYCLE, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- budget guard

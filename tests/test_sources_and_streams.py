@@ -14,7 +14,7 @@ from ledgerloom.streaming import lifecycle as Y
 
 
 def envelope(**kw):
-    base = {"schema_version": 2, "source": "bench", "case_id": "case_1", "mode": "council", "model": "m", "final_output": "final" ,
+    base = {"schema_version": 2, "source": "bench", "case_id": "case_1", "mode": "panel", "model": "m", "final_output": "final" ,
             "execution_path": {"quarantined": False, "routes": ["gate"]},
             "deliberation": {"plan": {"routes": ["legal"]}, "turns": [{"seat": "legal", "output_text": "said"}, {"seat": "x", "output_text": " "}],
                              "synthesis": {"input_messages": [{"role": "system", "content": "be brief"}]}}}
