@@ -5,9 +5,10 @@ rank j + random to the j-th slot of its permutation, and a text stops at the ste
 later ranks are larger. All texts of a piece walk the steps together.
 
 Texts with the same shingle set are one node. Nodes that share a band are compared on their full sets: first each with
-the smallest node of the band, which settles groups of near copies without listing their pairs; then, in bands that still
-hold several components, all nodes outside the largest component with all nodes of the band, in blocks. No bucket is
-capped. Components come from minimum labels with pointer jumping, cut to the shared folder at each round.
+the most central node of the band (the one that meets most others over all bands), which settles groups of near copies
+without listing their pairs; then, in bands that still hold several components, all nodes outside the largest component
+with all nodes of the band. Small bands list the pairs whose signatures allow a link; larger ones carry the full sets in
+blocks and return only links that join components. No bucket is capped. Components come from minimum labels with pointer jumping, cut to the shared folder at each round.
 
 Null and empty texts have no shingles and stay alone. Repeated rows share a node. A null doc_id takes no part in the
 smallest id; a component of such rows only has a null component_id.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import GOLD, cut, fresh, keyed, mix, pieces, runs, settled, shingle_sets
 
 SLOTS, ROWS = 112, 4
-#: Rows of a band that one comparison step holds on either side.
-BLOCK = 512
+#: Nodes up to which a band lists pairs, and rows that one comparison step of a larger band holds on either side.
+SMALL, BLOCK = 32, 256
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -131,7 +132,7 @@ def _compare(slots: int, percent: int):
         for group in runs(batches, ["band", "i", "j"]):
             node = group.column("node").to_pylist()
             comp = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)[1]
-            n, rest = group.column("n").to_numpy(), group.column("rest").to_numpy()
+            n, rest = group.column("n").to_numpy(), group.column("rest").to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, slots)
             pairs = set()
             for at in np.flatnonzero(rest):
@@ -145,6 +146,44 @@ def _compare(slots: int, percent: int):
     return compare
 
 
+def _sets(width: int):
+    def sets(batches):
+        for part, data, offs in pieces(batches):
+            yield pa.RecordBatch.from_pydict({"node": part.column("node"), "set": pa.array(
+                [s.tobytes() for s in shingle_sets(data, offs, width)], pa.binary())})
+    return sets
+
+
+def _settle(percent: int):
+    """Links of a block between components, no more than join them: full sets, counted for one node against all."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def settle(batches):
+        for group in runs(batches, ["band", "i", "j"]):
+            node = group.column("node").to_pylist()
+            label = np.unique(np.array(group.column("comp").to_pylist(), object), return_inverse=True)[1]
+            flat = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+            n = np.array([len(s) for s in flat])
+            names, ids = np.unique(np.concatenate(flat), return_inverse=True)
+            first = np.cumsum(n) - n
+            mark, links = np.zeros(len(names), np.int32), []
+            for r in np.flatnonzero(group.column("rest").to_numpy(zero_copy_only=False)):
+                if (label == label[r]).all():
+                    continue
+                own = ids[first[r]:first[r] + n[r]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[ids], first)
+                mark[own] = 0
+                hit = np.flatnonzero((100 * both >= percent * (n + n[r] - both)) & (label != label[r]))
+                for h in hit[np.unique(label[hit], return_index=True)[1]]:
+                    links.append((node[r], node[h]))
+                    label[label == label[h]] = label[r]
+            if links:
+                a, b = zip(*links)
+                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+    return settle
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, the row's key k1, k2, and the component's root.
 
@@ -161,9 +200,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: i
         F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
 
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("size"))
-                 .where("size > 1"), "bands")
-    member = cut(banded.join(shared, "band").select("band", "size", "node", "n", "pivot"), "members")
+    size = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    member = cut(banded.join(size, "band"), "members")
+    reach = member.groupBy("node").agg(F.sum("size").alias("reach"))
+    central = F.struct((-F.col("reach")).alias("reach"), "node", "n")
+    member = cut(member.join(reach, "node").select("band", "size", "node", "n", central.alias("pivot")), "reach")
+    pivot = member.groupBy("band").agg(F.min("pivot").alias("pivot"))
+    member = cut(member.drop("pivot").join(pivot, "band"), "pivots")
     fits = f"least(n, pivot.n) * 100 >= {percent} * greatest(n, pivot.n)"
     star = cut(member.where("node <> pivot.node").where(fits)
                .select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
@@ -176,19 +219,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: i
     per = placed.groupBy("band", "comp").agg(F.count("*").alias("m"))
     mixed = cut(per.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("k"))
                 .where("top.m < k").select(
-        "band", F.col("top.comp").alias("main"), F.ceil(F.col("k") / BLOCK).cast("int").alias("nk"),
-        F.ceil((F.col("k") - F.col("top.m")) / BLOCK).cast("int").alias("nr")), "mixed")
+        "band", (F.col("k") > SMALL).alias("large"), F.col("top.comp").alias("main"),
+        F.when(F.col("k") > SMALL, F.ceil(F.col("k") / BLOCK)).otherwise(1).cast("int").alias("nk"),
+        F.when(F.col("k") > SMALL, F.ceil((F.col("k") - F.col("top.m")) / BLOCK)).otherwise(1).cast("int").alias("nr")), "mixed")
     side = placed.join(mixed, "band").withColumn("rest", F.col("comp") != F.col("main"))
     spot = F.xxhash64("node")
     as_all = side.withColumns({"i": F.pmod(spot, F.col("nk")), "j": F.explode(F.sequence(F.lit(0), F.col("nr") - 1))})
     as_rest = side.where("rest").withColumns({
         "j": F.pmod(spot, F.col("nr")), "i": F.explode(F.sequence(F.lit(0), F.col("nk") - 1))})
-    blocks = as_all.select("band", "i", "j", "node", "comp", F.lit(False).alias("rest")).unionByName(
-        as_rest.select("band", "i", "j", "node", "comp", "rest"), allowMissingColumns=False)
-    blocks = blocks.join(nodes.select("node", "n", "sig"), "node")
-    blocks = blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = cut(blocks.mapInArrow(_compare(slots, percent), "a binary, b binary").distinct(), "rest")
-    late = cut(confirmed(more, nodes, base, width, percent), "late")
+    key = ["band", "i", "j"]
+    blocks = cut(as_all.select("large", *key, "node", "comp", F.lit(False).alias("rest")).unionByName(
+        as_rest.select("large", *key, "node", "comp", "rest")), "blocks")
+    small, large = blocks.where("not large"), blocks.where("large")
+    small = small.join(nodes.select("node", "n", "sig"), "node").repartition(*key).sortWithinPartitions(*key)
+    more = cut(small.mapInArrow(_compare(slots, percent), "a binary, b binary").distinct(), "rest")
+    sets = texts_for(large.select("node").distinct(), nodes, base).mapInArrow(_sets(width), "node binary, set binary")
+    large = large.join(cut(sets, "sets"), "node").repartition(*key).sortWithinPartitions(*key)
+    joined = cut(large.mapInArrow(_settle(percent), "a binary, b binary"), "joined")
+    late = cut(confirmed(more, nodes, base, width, percent).union(joined), "late")
     if late.limit(1).count():
         comps = components(linked.union(late))
 
@@ -201,11 +249,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: i
                       F.coalesce(F.col("doc_id") == whose, F.lit(False)).alias("kept"), "k1", "k2", "root")
 
 
+def texts_for(need: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """node, text of one document of each node needed."""
+    at = need.join(nodes, "node").select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
+    return base.join(at, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of nodes (a, b) whose full shingle sets are similar enough."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    need = need.join(nodes, "node").select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
-    texts = cut(base.join(need, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = cut(texts_for(need, nodes, base), "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return both.mapInArrow(_verify(width, percent), "a binary, b binary")

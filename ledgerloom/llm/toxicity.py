@@ -23,7 +23,7 @@ from ledgerloom.llm.common import factors, mix, pieces, settled
 
 WINDOW, STEP = 64, 48
 HIDDEN, VEC, BUCKETS, STAT = 8, 4, 1 << 12, 1 << 16
-PER_CLASS, LONGEST = 2000, 1 << 16
+PER_CLASS, LONGEST = 1500, 1 << 14
 BATCH, DECAY = 128, 2.0
 #: Windows that one recurrent step holds.
 LANES = 1024
@@ -66,6 +66,14 @@ def odds(pos, neg, share: float, weight: float = 4.0):
     return np.log((pos + weight * share) / (neg + weight * (1 - share))) - np.log(share / (1 - share))
 
 
+def word_slot(word):
+    return (word >> np.uint64(20) & np.uint64(STAT - 1)).astype(np.int32)
+
+
+def gram_slot(gram):
+    return (gram >> np.uint32(16)).astype(np.int32)
+
+
 class Model:
     """Weights of the network and the document counts of both channels; small enough to be sent with a task."""
 
@@ -84,8 +92,8 @@ class Model:
         cuts = np.cumsum(own) - own
         chars = np.stack([np.add.reduceat(self.p["char"][:, k][c], cuts) for k in range(VEC)], 1) / np.sqrt(own, dtype=np.float32)[:, None]
         return np.concatenate([
-            self.word_odds[(word >> np.uint64(20) & np.uint64(STAT - 1)).astype(np.int32)][:, None],
-            np.maximum.reduceat(self.char_odds[(gram >> np.uint32(16)).astype(np.int32)], cuts)[:, None],
+            self.word_odds[word_slot(word)][:, None],
+            np.maximum.reduceat(self.char_odds[gram_slot(gram)], cuts)[:, None],
             self.p["word"][w], chars], 1).astype(np.float32), (w, c, cuts)
 
 
@@ -218,23 +226,31 @@ def train(texts: list[str], labels: np.ndarray, updates: int = 400, seed: int =
         return None
     rng = np.random.default_rng(seed)
     m = Model(rng)
-    word, doc, own, gram = features(texts)
-    if not len(word):
-        return None
-    gdoc, gslot = np.repeat(doc, own), (gram >> np.uint32(16)).astype(np.int64)
-    wslot = (word >> np.uint64(20) & np.uint64(STAT - 1)).astype(np.int64)
     share, held = float(y.mean()), []
-    for slot, owner in ((wslot, doc), (gslot, gdoc)):
-        seen = np.unique(owner * STAT + slot)
-        d, s = seen // STAT, seen % STAT
-        pos = np.bincount(s, y[d], STAT)
-        neg = np.bincount(s, 1 - y[d], STAT)
-        left = odds(pos[slot] - y[owner], neg[slot] - 1 + y[owner], share)  # without the text itself
-        held.append((np.where(pos + neg >= 2, odds(pos, neg, share), 0).astype(np.float32),
-                     np.where(pos[slot] + neg[slot] >= 3, left, 0).astype(np.float32)))
-    m.word_odds, m.char_odds = held[0][0], held[1][0]
+    step = max(1, len(texts) // 64)
+    parts = [features(texts[i:i + step]) for i in range(0, len(texts), step)]
+    parts = [(w, d + i * step, o, g) for i, (w, d, o, g) in enumerate(parts)]
+    if not sum(len(p[0]) for p in parts):
+        return None
+    count = np.zeros((2, 2, STAT))
+    slots = lambda p: ((p[1], word_slot(p[0])), (np.repeat(p[1], p[2]), gram_slot(p[3])))
+    for p in parts:
+        for channel, (owner, slot) in enumerate(slots(p)):
+            d, s = np.divmod(np.unique(owner * STAT + slot), STAT)
+            for c in (0, 1):
+                count[channel, c] += np.bincount(s[y[d] == c], minlength=STAT)
+    m.word_odds, m.char_odds = (np.where(neg + pos >= 2, odds(pos, neg, share), 0).astype(np.float32) for neg, pos in count)
+    for p in parts:
+        left = []  # log-odds without the text itself
+        for (owner, slot), (neg, pos) in zip(slots(p), count):
+            v = odds(pos[slot] - y[owner], neg[slot] - 1 + y[owner], share)
+            left.append(np.where(pos[slot] + neg[slot] >= 3, v, 0).astype(np.float32))
+        if len(p[0]):
+            held.append(np.stack([left[0], np.maximum.reduceat(left[1], np.cumsum(p[2]) - p[2])], 1))
+    word, doc, own, gram = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    del parts
     x, (w, c, cuts) = m.inputs(word, own, gram)
-    x[:, 0], x[:, 1] = held[0][1], np.maximum.reduceat(held[1][1], cuts)
+    x[:, :2] = np.concatenate(held)
     count = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(count) - count
     at, size, owner = windows(count)
