@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from ledgerloom.llm import decontaminate, exact_dedup, minhash
+from ledgerloom.llm import decontaminate, exact_dedup, minhash, suffix_dedup
 
 WHITE = "[\x20\x09-\x0d]"
 
@@ -123,3 +123,22 @@ def test_leaks_empty(spark, docs, none):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.matches(none, bench).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_suffix(docs, corpus, none, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    raw = [(i, (t or "").encode()) for i, t in corpus]
+    seen = Counter(t[s:s + 100] for _, t in raw for s in range(len(t) - 99))
+    want = Counter()
+    for i, t in raw:
+        gone = [False] * len(t)
+        for s in range(len(t) - 99):
+            if seen[t[s:s + 100]] > 1:
+                gone[s:s + 100] = [True] * 100
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        left = bytes(b for b, g in zip(t, gone) if not g)
+        want[(i, len(t), sum(gone), spans, hashlib.sha256(left).hexdigest())] += 1
+    got = Counter(tuple(r) for r in suffix_dedup.cut_out(docs, length=100, gram=16).collect())
+    assert got == want
+    assert any(w[3] > 1 for w in want) and suffix_dedup.cut_out(none).count() == 0
