@@ -10,8 +10,11 @@ included. Strings never cross documents and are judged on the input.
    several contexts, one copy of each is refined: buckets of eight bytes are split by the bucket identifiers at later
    offsets, three at a time, each round reusing the identifiers of the round before (8, 24, 72, 216 bytes, ..., `length`);
    a suffix alone in its bucket is left out of later rounds. Starts that still share a bucket are repeats, byte for byte.
-3. Buckets with more than HOT contexts are not held by one task: their windows are shuffled by digest instead, with counts
-   combined where they are read. The result is the same.
+3. Buckets with more than HOT contexts are not held by one task. They are refined by shuffles: the window starts, counted
+   from the place, are halved again and again; each half of a context goes to the bucket of the bytes that all its windows
+   share. A half that is alone there has no repeat; contexts that agree on all bytes of the half repeat there as a whole,
+   and one of them goes on to meet those that differ. Halves of one window end it. A context is carried by one row per
+   halving and open half, however many there are. The result is the same.
 4. The repeated windows of all copies are merged per document, and the bytes cut out.
 
 Null texts are empty. Repeated rows are two places of the same text. Texts shorter than `length` stay whole.
@@ -134,18 +137,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
             begin = offs[d]
             ctx = [int.from_bytes(blake2b(whole[a:b], digest_size=8, salt=(p % (1 << 32)).to_bytes(8, "little")).digest(), "little", signed=True)
                    for a, b, p in zip((begin + lo).tolist(), (begin + hi + length).tolist(), (place - lo).tolist())]
-            yield pa.RecordBatch.from_pydict({"q": pa.array(q.view(np.int64)), "ctx": pa.array(ctx, pa.int64()), "k1": part.column("k1").take(pa.array(d)),
+            yield pa.RecordBatch.from_pydict({"q": pa.array(q.view(np.int64)), "off": pa.array((place - lo).astype(np.int32)), "ctx": pa.array(ctx, pa.int64()), "k1": part.column("k1").take(pa.array(d)),
                                               "k2": part.column("k2").take(pa.array(d)), "lo": pa.array(lo), "hi": pa.array(hi)})
 
-    named = cut(base.mapInArrow(name, "q long, ctx long, k1 long, k2 long, lo long, hi long"), "places")
+    named = cut(base.mapInArrow(name, "q long, off int, ctx long, k1 long, k2 long, lo long, hi long"), "places")
     twice = cut(named.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select("q"), "twice")
     hits = cut(named.join(twice, "q", "left_semi"), "hits")
-    classes = cut(hits.groupBy("q", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("at")), "contexts")
+    classes = cut(hits.groupBy("q", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi", "off")).alias("at")), "contexts")
     several = classes.groupBy("q").agg(F.count("*").alias("kinds")).where("kinds > 1")
     ask = cut(classes.join(several, "q").select("q", "ctx", "kinds", "at.*"), "ask")
-    wanted = ask.groupBy("k1", "k2").agg(F.collect_set(F.struct("q", "ctx", "kinds", "lo", "hi")).alias("all"))
+    wanted = ask.groupBy("k1", "k2").agg(F.collect_set(F.struct("q", "ctx", "kinds", "lo", "hi", "off")).alias("all"))
     found = base.join(wanted, ["k1", "k2"]).select(F.col("text").cast("binary").alias("text"), F.explode("all").alias("r"))
-    contexts = cut(found.select("r.q", "r.ctx", (F.col("r.kinds") > HOT).alias("hot"), F.substring(
+    contexts = cut(found.select("r.q", "r.ctx", "r.off", (F.col("r.kinds") > HOT).alias("hot"), F.substring(
         "text", F.col("r.lo").cast("int") + 1, (F.col("r.hi") - F.col("r.lo")).cast("int") + length).alias("bytes"))
         .dropDuplicates(["q", "ctx"]), "bytes")
 
@@ -174,18 +177,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     kind = "q long, ctx long, runs array<struct<a:long,b:long>>"
     usual = contexts.where("not hot").repartition("q").sortWithinPartitions("q").select("q", "ctx", "bytes").mapInArrow(refine, kind)
 
-    def windows(batches):
-        for batch in batches:
-            for q, ctx, raw in zip(*(batch.column(k).to_pylist() for k in ("q", "ctx", "bytes"))):
-                n = len(raw) - length + 1
-                view = memoryview(raw)
-                yield pa.RecordBatch.from_pydict({
-                    "q": pa.array([q] * n, pa.int64()), "ctx": pa.array([ctx] * n, pa.int64()), "a": pa.array(range(n), pa.int64()),
-                    "w": pa.array([blake2b(view[i:i + length], digest_size=16).digest() for i in range(n)], pa.binary())})
-
-    hot = cut(contexts.where("hot").mapInArrow(windows, "q long, ctx long, a long, w binary"), "windows")
-    again = cut(hot.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"), "again")
-    large = hot.join(again, "w").groupBy("q", "ctx").agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("runs"))
+    large = narrowed(contexts.where("hot").select("q", "ctx", "off", "bytes"), length)
     partial = usual.unionByName(large).where("size(runs) > 0")
     whole = classes.where("n > 1").select("q", "ctx", F.array(F.struct(
         F.lit(0).cast("long").alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))).alias("runs"))
@@ -195,6 +187,37 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     return base, each.select("k1", "k2", F.explode("s").alias("s")).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
 
+def narrowed(contexts: DataFrame, length: int) -> DataFrame:
+    """q, ctx, runs of the repeated windows of large buckets, by halving (see 3. above)."""
+    width = 1
+    while 2 * width < length:
+        width *= 2
+    span = lambda start, size: F.md5(F.substring("bytes", (start + F.col("off") + 1).cast("int"), size.cast("int")))
+    ends = (F.col("b") - F.col("a")).cast("int") + length
+    # Starts relative to the place lie in (-length, 0]; halves are [g * width, (g + 1) * width).
+    open_ = contexts.withColumn("g", F.explode(F.sequence(F.lit(length // -width), F.lit(0))))
+    open_ = open_.withColumns({"first": -F.col("off"), "last": F.octet_length("bytes") - length - F.col("off")})
+    found = None
+    while True:
+        part = open_.withColumns({"a": F.greatest("first", F.col("g") * width), "b": F.least("last", F.col("g") * width + (width - 1))}).where("a <= b")
+        part = part.withColumns({"core": span(F.col("g") * width + (width - 1), F.lit(length - width + 1)), "same": span(F.col("a"), ends)})
+        part = cut(part, "halves")
+        key = ["q", "g", "core"]
+        kinds = part.groupBy(*key, "a", "b", "same").agg(F.count("*").alias("n"), F.min("ctx").alias("one"))
+        kinds = cut(kinds, "kinds")
+        mixed = kinds.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1")
+        whole = part.join(kinds.where("n > 1"), [*key, "a", "b", "same"]).select("q", "ctx", (F.col("a") + F.col("off")).alias("a"), (F.col("b") + F.col("off")).alias("b"))
+        found = whole if found is None else found.unionByName(whole)
+        if width == 1:
+            break
+        go = cut(part.join(kinds.join(mixed, key, "left_semi").select(*key, "a", "b", "same", F.col("one").alias("ctx")), [*key, "a", "b", "same", "ctx"], "left_semi"), "open")
+        if not go.limit(1).count():
+            break
+        width //= 2
+        open_ = go.select("q", "ctx", "off", "bytes", "first", "last", F.explode(F.array(F.col("g") * 2, F.col("g") * 2 + 1)).alias("g"))
+    return found.groupBy("q", "ctx").agg(F.collect_set(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("runs"))
+
+
 def run_list(ok: np.ndarray) -> list[dict]:
     """Runs of true values as first and last position."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False])).astype(np.int8)))
