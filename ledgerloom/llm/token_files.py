@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from ledgerloom.llm.common import cut, keyed, pieces, settled
 
 LIMIT, BLOCK, STRIDE = 16, 1 << 14, 64
 #: Words of one generation of a worker's memory, some 200 bytes each.
-KEPT = 250_000
+KEPT = 500_000
 
 _OTHER = re.compile("[^\\x00-\\u012f]")
 _STOP = re.compile(r"(?<=[^\W_])([.,!?;:]+)(?=\s)")
@@ -120,24 +121,34 @@ class Code:
         self.symbol = np.repeat(ids, step.astype(np.int64)).astype(np.uint32)
         self.length = np.repeat(lengths, step.astype(np.int64)).astype(np.uint8)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
-        """Bits, byte offsets of the blocks, bit offsets of the strides."""
+    def encode(self, ids: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
+        """Bits, byte offsets of the blocks and bit offsets of the strides of each document; `ids` holds all, `counts` how many each."""
+        if not len(ids):
+            return [(b"", b"", b"")] * len(counts)
         bits = self.bits[ids]
         end = np.cumsum(bits)
         at = end - bits
-        head = np.arange(0, len(ids), BLOCK)
-        lead = at[head]
-        size = -(-(np.append(lead[1:], end[-1:]) - lead) // 8)
+        begin = np.cumsum(counts) - counts
+
+        def every(step):  # each document's first id and every step-th after it, and how many those are
+            n = -(-counts // step)
+            return np.repeat(begin - step * (np.cumsum(n) - n), n) + step * np.arange(int(n.sum())), np.append(0, np.cumsum(n))
+        head, block_of = every(BLOCK)
+        size = -(-(np.append(at[head[1:]], end[-1]) - at[head]) // 8)
         offset = np.cumsum(size) - size
-        block = np.arange(len(ids)) // BLOCK
-        at = at - lead[block] + 8 * offset[block]
+        at += np.repeat(8 * offset - at[head], np.diff(np.append(head, len(ids))))
         # A code meets at most three 16-bit cells; no two codes share a bit, so sums in floating point are exact.
         cell, shift = at >> 4, (48 - bits - (at & 15)).astype(np.uint64)
         wide = self.code[ids] << shift
         n = (int(size.sum()) + 1) // 2 + 3
-        out = sum(np.bincount(cell + k, (wide >> np.uint64(32 - 16 * k) & np.uint64(0xFFFF)).astype(np.float64), n) for k in range(3))
-        marks = at[::STRIDE] - 8 * offset[block[::STRIDE]]
-        return (out.astype(">u2").tobytes()[:int(size.sum())], offset.astype("<i8").tobytes(), marks.astype("<u4").tobytes())
+        reach = 3 if self.most > 17 else 2
+        out = sum(np.bincount(cell + k, (wide >> np.uint64(32 - 16 * k) & np.uint64(0xFFFF)).astype(np.float64), n) for k in range(reach))
+        out = out.astype(">u2").tobytes()
+        spot, mark_of = every(STRIDE)
+        marks = (at[spot] - 8 * offset[np.searchsorted(head, spot, "right") - 1]).astype("<u4")
+        edge = np.append(offset, size.sum())
+        return [(out[edge[a]:edge[b]], (offset[a:b] - edge[a]).astype("<i8").tobytes(), marks[c:d].tobytes())
+                for a, b, c, d in zip(block_of[:-1], block_of[1:], mark_of[:-1], mark_of[1:])]
 
     def decode(self, payloads: list[bytes], blocks: list[bytes], marks: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
         """Ids of several documents, all strides side by side."""
@@ -168,6 +179,25 @@ class Code:
         return np.split(flat, np.cumsum(counts)[:-1])
 
 
+def parts(batches, column: str, limit: int):
+    """Slices of the batches with about `limit` bytes in a binary column, or one longer row."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows of a batch, and how many each row has."""
+    if not batch.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    raw, wide = batch.column("ids").to_pylist(), batch.column("wide")[0].as_py()
+    return np.frombuffer(b"".join(raw), f"<u{wide}"), np.array([len(x) // wide for x in raw], np.int64)
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
     """Encode all documents, end id appended, and write the folder.
 
@@ -188,10 +218,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for wide, x in zip(batch.column("wide").to_pylist(), batch.column("ids").to_pylist()):
-                more = np.bincount(np.frombuffer(x, f"<u{wide}"), minlength=len(total))
-                more[:len(total)] += total
-                total = more
+            more = np.bincount(joined(batch)[0], minlength=len(total))
+            more[:len(total)] += total
+            total = more
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
@@ -204,12 +233,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
 
     def pack(batches):
         code, before = sent.value, 0
-        for batch in batches:
-            rows = []
-            for wide, x in zip(batch.column("wide").to_pylist(), batch.column("ids").to_pylist()):
-                x = np.frombuffer(x, f"<u{wide}")
-                rows.append((before, len(x), *code.encode(x)))
-                before += len(x)
+        for batch in parts(batches, "ids", 1 << 20):
+            ids, n = joined(batch)
+            local = before + np.cumsum(n) - n
+            before += len(ids)
+            rows = [(int(a), int(b), *x) for a, b, x in zip(local, n, code.encode(ids, n))]
             a, b, c, d, e = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "shard": batch.column("shard"), "local": pa.array(a, pa.int64()), "n": pa.array(b, pa.int64()),
@@ -236,20 +264,14 @@ def read(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
 
     def unpack(batches):
         code = sent.value
-        for whole in batches:
-            size = np.cumsum([len(x) for x in whole.column("bits").to_pylist()])
-            at = 0
-            while at < whole.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), "right")))
-                b = whole.slice(at, to - at)
-                got = code.decode(b.column("bits").to_pylist(), b.column("blocks").to_pylist(), b.column("marks").to_pylist(), b.column("n").to_numpy())
-                out = {"doc_id": b.column("doc_id"), "shard": b.column("shard"), "local": b.column("local"),
-                       "n_tokens": pa.array([len(x) for x in got], pa.int64()),
-                       "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], pa.int64())}
-                if ids:
-                    out["ids"] = pa.array([x.astype(np.int64) for x in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_pydict(out)
-                at = to
+        for b in parts(batches, "bits", 1 << 20):
+            got = code.decode(b.column("bits").to_pylist(), b.column("blocks").to_pylist(), b.column("marks").to_pylist(), b.column("n").to_numpy())
+            out = {"doc_id": b.column("doc_id"), "shard": b.column("shard"), "local": b.column("local"),
+                   "n_tokens": pa.array([len(x) for x in got], pa.int64()),
+                   "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], pa.int64())}
+            if ids:
+                out["ids"] = pa.array([x.astype(np.int64) for x in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(out)
 
     rows = spark.read.parquet(f"{folder}/documents").mapInArrow(unpack, schema)
     shards = spark.read.parquet(f"{folder}/shards")

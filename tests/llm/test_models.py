@@ -5,7 +5,7 @@ import random
 import numpy as np
 from corpus_text import prose
 
-from ledgerloom.llm import toxicity
+from ledgerloom.llm import quality, toxicity
 
 
 def test_gradients():
@@ -67,3 +67,26 @@ def test_toxicity_rows(docs, none):
 def test_toxicity_fit_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs, labels) is None
+
+
+def test_quality(spark, docs, none):
+    rng = random.Random(8)
+
+    def text(good):
+        words = prose(rng, rng.randint(10, 200)).split()
+        return " ".join(words if good else [w.upper() + "!!" for w in words] if rng.random() < .5 else [w for w in words for _ in range(4)])
+    train = [(text(k % 3), int(k % 3 > 0)) for k in range(400)]
+    v = quality.Voters(*zip(*train))
+    test = [(text(k % 3), int(k % 3 > 0)) for k in range(200)]
+    score = v.score(*quality._joined([t.encode() for t, _ in test]))
+    assert ((score >= 0.3) == np.array([y for _, y in test])).mean() > 0.95
+    # Blocked products choose the same neighbours as one text at a time.
+    one = [v.score(*quality._joined([t.encode()]))[0] for t, _ in test]
+    assert np.allclose(score, one, atol=1e-4)
+    got = quality.scores(docs, v, ["doc_id", "text"]).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["score"] == 0 for r in got if not (r["text"] or "").strip())
+    assert quality.scores(none, v, ["doc_id"]).count() == 0
+    assert {r["score"] for r in quality.scores(docs, None, ["doc_id"]).collect()} == {0.0}
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    assert len(quality.fit(docs, labels).labels) > 10 and quality.fit(docs, labels.limit(0)) is None

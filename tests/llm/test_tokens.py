@@ -3,12 +3,16 @@
 import base64
 import hashlib
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe
+from ledgerloom.llm import bpe, chat, token_counts, token_files
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -46,3 +50,95 @@ def test_bpe_long_and_odd(library):
     assert len(odd) > bpe.LONG
     for t in (odd, "a" * 50_000, " " * 3000 + "x", "\U0001f600" * 50):
         assert [i for part in c.encode(t) for i in part] == library.encode_ordinary(t)
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(4)
+    for n, limit in ((1, 16), (2, 16), (7, 16), (300, 10), (5000, 16)):
+        counts = np.maximum(1, (1e9 / (1 + np.arange(n)) ** 3).astype(np.int64))
+        rng.shuffle(counts)
+        bits = token_files.code_lengths(counts, limit)
+        assert bits.max() <= limit and (n == 1 or abs((0.5 ** bits).sum() - 1) < 1e-12)
+    import heapq
+    heap = [(int(c), 0) for c in counts[:200]]
+    heapq.heapify(heap)
+    cost = 0
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        cost += a[0] + b[0]
+        heapq.heappush(heap, (a[0] + b[0], 0))
+    assert (token_files.code_lengths(counts[:200], 40) * counts[:200]).sum() == cost
+
+
+def test_code_round_trip(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 256)
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.3, n) % 3000 for n in (1, 63, 64, 65, 1, 256, 257, 5000, 2)]
+    ids = np.concatenate(docs)
+    seen, n = np.unique(ids, return_counts=True)
+    for limit in (12, 20):
+        code = token_files.Code(seen, token_files.code_lengths(n, limit))
+        packed = code.encode(ids, np.array([len(d) for d in docs]))
+        back = code.decode(*(list(x) for x in zip(*packed)), np.array([len(d) for d in docs]))
+        assert all((a == b).all() for a, b in zip(docs, back))
+
+
+def test_token_files(spark, docs, corpus, none, tmp_path):
+    path, lib = P.path("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    more = spark.createDataFrame([(900, "ÀÉ Straße, İstanbul; ẖi ΣΑΣ é x<|endoftext|>y <|ENDOFTEXT|> 'S can'T a.b, c)."), (901, "\x1c\x85 a")],
+                                 "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    token_files.write(both, path, str(tmp_path / "a"), end=2)
+    rows = token_files.read(spark, str(tmp_path / "a")).collect()
+    assert len(rows) == both.count()
+    want = Counter((r["doc_id"], tuple(lib.encode(r["text"] or "", add_special_tokens=False).ids) + (2,)) for r in both.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows) == want
+    before = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == before and r["n_tokens"] == len(r["ids"])
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        before += r["n_tokens"]
+    named = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] is not None]
+    assert named == sorted(named)
+    token_files.write(none, path, str(tmp_path / "b"), end=2)
+    assert token_files.read(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_token_counts(docs, corpus, none):
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    n = lambda t: len(lib.encode(t or "", add_special_tokens=False))
+    got = Counter(tuple(r) for r in token_counts.counts(docs, path, ["doc_id"]).collect())
+    assert got == Counter((i, len((t or "").encode()), n(t), n(t) > 512) for i, t in corpus)
+    assert token_counts.counts(none, path, ["doc_id"]).count() == 0
+    rng = random.Random(3)
+    odd = "".join(rng.choice(["ab", " ", "  ", "\n", " 's", "'s", "<|endoftext|>", " é", "　", "12"]) for _ in range(20_000))
+    cut = token_counts.split(odd, 50)
+    assert "".join(cut) == odd and len(cut) > 100 and sum(map(n, cut)) == n(odd)
+
+
+def test_chat(spark, tmp_path):
+    rng = random.Random(6)
+    say = lambda: "".join(rng.choice(["<|im_end|>", "<|im_start|>", "<", "|", "\\", "<\\|im_sep|>", " ", "\n", "hi", "é", "\U0001f600", "<|endoftext|>"])
+                          for _ in range(rng.randint(0, 12)))
+    rows = [(c, t, rng.choice(["user", "assistant", None, "a\nb", "<|im_sep|>"]), rng.choice([None, "", say(), say(), say()]), 1)
+            for c in range(40) for t in range(rng.randint(1, 9))]
+    rows += [(77, t, "assistant" if t % 2 else "user", say() * 40, 1) for t in range(400)] + [(None, 1, "assistant", "x", 1), rows[0]]
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss int").repartition(7)
+    parts = chat.format_parts(turns, P.path("byte_bpe_50k.json"))
+    whole = parts.collect()
+    assert sum(r["conv_id"] == 77 for r in whole) > 1
+    groups = {}
+    for c, t, role, text, _ in rows:
+        groups.setdefault(c, []).append((t, role or "", text or ""))
+    got = {r["conv_id"]: r for r in chat.read_back(parts).collect()}
+    assert set(got) == set(groups)
+    for c, g in groups.items():
+        g.sort()
+        said = "".join(x for _, role, x in g if role == "assistant")
+        assert got[c]["n_turns"] == len(g)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in g).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert got[c]["formatted_chars"] == sum(len(r["formatted"]) for r in whole if r["conv_id"] == c)
+    assert chat.read_back(chat.format_parts(turns.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
