@@ -30,7 +30,7 @@ LIMIT, BLOCK, STRIDE = 16, 1 << 14, 64
 KEPT = 500_000
 
 _OTHER = re.compile("[^\\x00-\\u012f]")
-_STOP = re.compile(r"(?<=[^\W_])([.,!?;:]+)(?=\s)")
+_STOP = re.compile(r"(?<=[^\W_])([^\w\s]+)(?=\s)")
 
 
 def plain(text: str) -> str:
@@ -38,7 +38,7 @@ def plain(text: str) -> str:
 
     Only texts of characters up to U+012F, which neither compose nor lower-case by context, and without a special string.
     """
-    if "<|" in text or _OTHER.search(text):
+    if "<|" in text or not text.isascii() and _OTHER.search(text):
         return text
     return _STOP.sub(r" \1", text.lower())
 
@@ -53,20 +53,29 @@ class Ids:
 
         self.tok = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        young, old, new = self.young, self.old, []
-        for w in set().union(*words) if words else ():
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
+        young, old = self.young, self.old
+        new = set().union(*words).difference(young)
+        known = new.intersection(old)
+        young.update((w, old[w]) for w in known)
+        new = list(new.difference(known))
+        simple = [w for w in new if w.decode().isalpha()]
+        for at in range(0, len(simple), 1 << 14):
+            # Words of letters are one pre-token each: many are one text, parted again at the ids that end a word.
+            some = simple[at:at + (1 << 14)]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
+            raw, edge = ids.tobytes(), [0, *ends.tolist()]
+            if len(ends) == len(some):  # else a letter is none to the tokenizer: word by word below
+                young.update(zip(some, [raw[a:b] for a, b in zip(edge, edge[1:])]))
         for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
+            some = [w for w in new[at:at + 4096] if w not in young]
             for w, e in zip(some, self.tok.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
                 young[w] = np.array(e.ids, self.kind).tobytes()
         out = [b"".join(map(young.__getitem__, w)) for w in words]
@@ -165,16 +174,17 @@ class Code:
         at = np.concatenate(where) if where else np.empty(0, np.int64)
         doc = np.repeat(np.arange(len(counts)), lanes)
         left = counts[doc] - STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
-        out = np.zeros((len(at), STRIDE), np.uint32)
-        mask = np.uint64((1 << self.most) - 1)
+        order = np.argsort(-left, kind="stable")  # lanes with ids left are always the first ones
+        left, at = left[order], at[order]
+        out = np.zeros((STRIDE, len(at)), np.uint32)
+        mask, spare = np.uint64((1 << self.most) - 1), np.uint64(40 - self.most)
         for s in range(STRIDE):
-            if s and s == STRIDE - 1 or s % 8 == 0:
-                on = np.flatnonzero(left > s)
-            live = on[left[on] > s]
-            here = at[live]
-            look = (window[here >> 3] >> (np.uint64(40 - self.most) - (here & 7).astype(np.uint64)) & mask).astype(np.int64)
-            out[live, s] = self.symbol[look]
-            at[live] = here + self.length[look]
+            live = int(np.searchsorted(-left, -s, "left"))
+            here = at[:live]
+            look = (window[here >> 3] >> (spare - (here & 7).astype(np.uint64)) & mask).astype(np.int64)
+            out[s, :live] = self.symbol[look]
+            here += self.length[look]
+        out, left = out.T[np.argsort(order)], left[np.argsort(order)]
         flat = out[np.arange(STRIDE) < left[:, None]]
         return np.split(flat, np.cumsum(counts)[:-1])
 

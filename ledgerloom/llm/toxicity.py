@@ -302,8 +302,8 @@ def train(texts: list[str], labels: np.ndarray, updates: int = 400, seed: int =
             for k in range(VEC):
                 x[part, 2 + VEC + k] = np.add.reduceat(m.p["char"][:, k][c[lo:hi]], cuts[part] - lo) / np.sqrt(own[part])
             x[part, 2:2 + VEC] = m.p["word"][w[part]]
-        for a in range(0, len(at), 4 * LANES):
-            g = slice(a, a + 4 * LANES)
+        for a in range(0, len(at), LANES):
+            g = slice(a, a + LANES)
             step = np.arange(int(size[g].max()))[:, None]
             on = (step < size[g][None, :]).astype(np.float32)
             idx = np.where(on > 0, at[g][None, :] + step, 0)
