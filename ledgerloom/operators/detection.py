@@ -162,8 +162,15 @@ def extract_phrases(prompts: DataFrame, symbol: str, text: str, markers: Sequenc
 
 
 def registry_digest(registry: DataFrame, order: str, *fields: str, fan: int = 1024, levels: int = 3) -> DataFrame:
-    """Order-sensitive digest of a table of any size: hashes of at most `fan` ordered hashes, level by level."""
-    cur = registry.select(F.col(order).cast("bigint").alias("_o"), F.sha2(F.to_json(F.array(*[
+    """Order-sensitive digest of a table of any size: hashes of at most `fan` ordered hashes, level by level.
+
+    At least `levels` levels; more where the order keys need them for one digest to be left.
+    """
+    ends = registry.agg(F.min(F.col(order).cast("bigint")), F.max(F.col(order).cast("bigint"))).first()
+    low, reach = min(ends[0] or 0, 0), (ends[1] or 0) - min(ends[0] or 0, 0)
+    while reach >= fan ** levels:
+        levels += 1
+    cur = registry.select((F.col(order).cast("bigint") - low).alias("_o"), F.sha2(F.to_json(F.array(*[
         F.col(f).cast("string") for f in fields])), 256).alias("_h"))
     for _ in range(levels):
         g = cur.groupBy(F.floor(F.col("_o") / fan).alias("_g")).agg(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import stats as S
+from ledgerloom.functions.groups import join_groups
 from ledgerloom.operators.bootstrap import draws_of, draws_of_cells, intervals
 
 POWERS = {"sx": "x", "sy": "y", "sxx": "x*x", "sxy": "x*y", "syy": "y*y", "sx3": "x*x*x", "sx4": "x*x*x*x",
@@ -46,10 +47,13 @@ def sums(cells: DataFrame, by: Sequence[str], weight: str = "_m") -> DataFrame:
 
 
 def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Least squares per group with Spark's regression aggregates; null slope when x is constant."""
-    return df.groupBy(*by).agg(
-        F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.when(F.regr_syy(y, x) > 0, F.regr_r2(y, x)).alias("r2"))
+    """Least squares per group from power sums, exact for whole numbers; null slope when x is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    u, v = F.when(both, F.col(x)), F.when(both, F.col(y))
+    power = df.groupBy(*by).agg(F.count(u).alias("n"), F.sum(u).alias("_x"), F.sum(v).alias("_y"), F.sum(u * u).alias("_xx"),
+                                F.sum(u * v).alias("_xy"), F.sum(v * v).alias("_yy"))
+    t = S.ols_terms("n", "_x", "_y", "_xx", "_xy", "_yy")
+    return power.select(*by, "n", t["slope"].alias("slope"), t["intercept"].alias("intercept"), t["r2"].alias("r2"))
 
 
 def quadratic(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -91,7 +95,7 @@ def shrinkage(audited: DataFrame, by: Sequence[str] = ("condition",), families:
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("_m") < 10, F.col("x")))), ",").alias("thin"))
     fit = sums(cells, by).drop("levels")
     t = S.ols_terms("n", "sx", "sy", "sxx", "sxy", "syy")
-    out = fit.join(per, by).join(ols_interval(cells, by, draws, seed), by, "left")
+    out = join_groups(join_groups(fit, per, by), ols_interval(cells, by, draws, seed), by, "left")
     identifiable = (F.col("levels") >= min_levels) & (F.col("n") >= min_runs)
 
     def only(e: Column) -> Column:
@@ -130,18 +134,22 @@ def strata(audited: DataFrame, by: Sequence[str] = ("condition",)) -> DataFrame:
         F.count("*").alias("n"), F.avg("emitted").alias("mean_emitted"))
 
 
+#: Below this a fitted value counts as zero.
+TINY = 1e-9
+
+
 def predict(w, c, s) -> Column:
     return S.c(w) * s + S.c(c)
 
 
 def prior_trust(w) -> Column:
-    """(1 - w) / w, null when w is not positive."""
-    return F.when(S.c(w) > 0, (1 - S.c(w)) / S.c(w))
+    """(1 - w) / w, null when w is not positive (beyond rounding)."""
+    return F.when(S.c(w) > TINY, (1 - S.c(w)) / S.c(w))
 
 
 def compression(w, c, lo: float, hi: float) -> Column:
     """How far the step between two supplies is compressed; null where a ratio is undefined."""
-    down = F.when(predict(w, c, lo) > 0, predict(w, c, hi) / predict(w, c, lo))
+    down = F.when(predict(w, c, lo) > TINY, predict(w, c, hi) / predict(w, c, lo))
     return down / (hi / lo)
 
 
@@ -258,10 +266,10 @@ def mean_difference(audited: DataFrame, baseline: str, arm: str = "condition", v
     drawn = draws_of(use.select(arm, value), [arm], [value], draws=draws, seed=seed).select(
         arm, "draw", S.ratio(value, "n").alias("_mean"))
     ref = drawn.where(F.col(arm) == baseline).select("draw", F.col("_mean").alias("_ref"))
-    ci = intervals(drawn.where(F.col(arm) != baseline).join(ref, "draw"), [arm], rule="truncate", draws=draws,
+    ci = intervals(drawn.where(~F.col(arm).eqNullSafe(F.lit(baseline))).join(ref, "draw"), [arm], rule="truncate", draws=draws,
                    diff=F.col("_mean") - F.col("_ref"))
     rows = lam.where(F.col(arm) == baseline).select(F.col("lam").alias("lam_baseline"), F.col("n").alias("n_baseline"))
-    return lam.join(ci, arm).join(F.broadcast(rows)).select(
+    return join_groups(lam, ci, [arm]).join(F.broadcast(rows)).select(
         arm, "n", "n_baseline", "lam", "lam_baseline", "diff_lo", "diff_hi", "runs_with_invention",
         F.when(F.col("diff_lo").isNull(), "not evaluable").when(F.col("diff_hi") < 0, "lower than baseline")
         .when(F.col("diff_lo") > 0, "higher than baseline").otherwise("not distinguishable").alias("verdict"))

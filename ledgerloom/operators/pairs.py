@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,27 +151,6 @@ def invention_pairs(refs: DataFrame, text: str, targets: str, injections: dict[s
                        F.array(F.struct(F.col("_at").alias("start"), (F.col("_at") + F.length("_e.s")).alias("end"))).alias("rejected_spans"))
 
 
-_WORD = re.compile(r"\S+")
-
-
-def _diff(a: str, b: str, feature) -> tuple[float, float]:
-    """Differing-token share and the share of differing tokens outside the feature sentences."""
-    ta = [m.span() for m in _WORD.finditer(a)]
-    tb = [m.span() for m in _WORD.finditer(b)]
-    ops = difflib.SequenceMatcher(a=[a[s:e] for s, e in ta], b=[b[s:e] for s, e in tb]).get_opcodes()
-    left = [ta[i] for tag, i1, i2, _, _ in ops if tag != "equal" for i in range(i1, i2)]
-    right = [tb[j] for tag, _, _, j1, j2 in ops if tag != "equal" for j in range(j1, j2)]
-    n = len(left) + len(right)
-    if n == 0:
-        return 0.0, 0.0
-
-    def on(tokens, text):
-        mask = feature(text) if tokens else []
-        return sum(any(e > lo and s < hi for lo, hi in mask) for s, e in tokens)
-
-    return n / (len(ta) + len(tb)), 1.0 - (on(left, a) + on(right, b)) / n
-
-
 def feature_mask(df: DataFrame, text: str, lex, out: str = "mask", sentence_level: bool = True) -> DataFrame:
     """Character spans of the feature: whole sentences in which a span starts, or the bare spans."""
     d = _located(df, text, lex)
@@ -188,24 +165,51 @@ def token_mask(offsets, mask) -> Column:
         X.as_col(mask), lambda s: (o["end"] > s["start"]) & (o["start"] < s["end"])).cast("int"))
 
 
-def diagnose_pairs(pairs: DataFrame, lex, keep: Sequence[str], chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """Differing-token share, off-feature share and length ratio per pair (token alignment runs per row)."""
-    compiled = [re.compile(p, re.I) for ps in lexicon(lex).values() for p in ps]
+def _pieces(text) -> Column:
+    """Words with the white space behind them; joined they give the text back."""
+    return F.filter(F.split(F.col(text), r"(?<=\s)(?=\S)", -1), lambda p: p != "")
 
-    def feature(t):
-        starts = [m.start() for rx in compiled for m in rx.finditer(t)]
-        return [(a, b) for a, b in X.offsets_of(t) if any(a <= s < b for s in starts)]
 
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = [_diff(c, r, feature) for c, r in zip(f[chosen], f[rejected])]
-            out = f[list(keep)].assign(differing=[d for d, _ in parts], off_feature=[o for _, o in parts])
-            yield out.assign(_c=f[chosen].str.len(), _r=f[rejected].str.len())
+def _agree(a, b) -> Column:
+    """How many leading words of two arrays are equal."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(F.regexp_replace(x, r"\s+$", "") == F.regexp_replace(y, r"\s+$", ""), F.lit(False)))
+    at = F.array_position(equal, False)
+    return F.when(at > 0, at - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
 
-    body = pairs.select(*keep, chosen, rejected)
-    schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keep).dtypes) + ", differing double, off_feature double, _c long, _r long"
-    ratio = F.when(F.col("differing") == 0, F.lit(1.0)).when(F.col("_r") > 0, F.col("_c") / F.col("_r"))
-    return body.mapInPandas(align, schema).select(*keep, "differing", "off_feature", ratio.alias("length_ratio"))
+
+def _words_in(text: str):
+    """Words of the differing stretch of a text that lie in a mask span."""
+    def count(m):
+        start = F.greatest(m["start"], F.col(f"{text}s"))
+        part = F.substr(F.col(text), start + 1, F.greatest(F.least(m["end"], F.col(f"{text}e")) - start, F.lit(0)))
+        return F.size(F.regexp_extract_all(part, F.lit(r"\S+"), F.lit(0)))
+    return count
+
+
+def diagnose_pairs(pairs: DataFrame, lex, keep: Sequence[str], chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """Differing-word share, off-feature share and length ratio per pair.
+
+    What differs is what lies between the longest common beginning and the longest common end, in words. That is exact
+    for pairs made by cutting or inserting one stretch of text; of pairs edited in several places all words from the first
+    to the last edit count as differing. A differing word is on the feature when it lies in a sentence that holds it.
+    """
+    d = pairs.select(*keep, F.coalesce(chosen, F.lit("")).alias("_a"), F.coalesce(rejected, F.lit("")).alias("_b"))
+    for t in ("_a", "_b"):
+        d = feature_mask(d, t, lex, f"{t}m").withColumn(f"{t}p", _pieces(t))
+    d = d.withColumn("_lead", _agree("_ap", "_bp"))
+    d = d.withColumn("_tail", F.least(_agree(F.reverse("_ap"), F.reverse("_bp")), F.least(F.size("_ap"), F.size("_bp")) - F.col("_lead")))
+    n, on = [], []
+    for t in ("_a", "_b"):
+        size = F.size(f"{t}p")
+        start = F.length(F.array_join(F.slice(f"{t}p", F.lit(1), F.col("_lead")), ""))
+        end = F.length(t) - F.length(F.array_join(F.slice(f"{t}p", size - F.col("_tail") + 1, F.col("_tail")), ""))
+        d = d.withColumns({f"{t}s": start, f"{t}e": end, f"{t}n": size - F.col("_lead") - F.col("_tail")})
+        on.append(F.aggregate(F.transform(f"{t}m", _words_in(t)), F.lit(0), lambda a, x: a + x))
+        n.append(F.col(f"{t}n"))
+    total, all_ = n[0] + n[1], F.size("_ap") + F.size("_bp")
+    d = d.withColumns({"differing": F.when(total > 0, total / all_).otherwise(0.0), "off_feature": F.when(total > 0, 1 - (on[0] + on[1]) / total).otherwise(0.0)})
+    ratio = F.when(F.col("differing") == 0, F.lit(1.0)).when(F.length("_b") > 0, F.length("_a") / F.length("_b"))
+    return d.select(*keep, "differing", "off_feature", ratio.alias("length_ratio"))
 
 
 def diagnose(diagnosed: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -288,14 +292,14 @@ def ordered_ranks(df: DataFrame, order: str, buckets: int = 4096) -> DataFrame:
 
 def split(pairs: DataFrame, key: str, seed: int = 42, share: int = 20, least: int = 4, cap: int | None = None) -> DataFrame:
     """valid, test and train by hashed order: a twentieth (at least four) each for valid and test, train optionally
-    capped to match a dose."""
+    limited to a dose, beyond which rows are "unused"."""
     n = pairs.agg(F.count("*").alias("_n"))
     r = ordered_ranks(pairs.withColumn("_h", _hash(seed, key)), "_h").join(F.broadcast(n))
     k = F.greatest(F.lit(least), F.floor(F.col("_n") / share))
     part = F.when(F.col("rank") <= k, "valid").when(F.col("rank") <= 2 * k, "test").otherwise("train")
     r = r.withColumn("split", part)
     if cap is not None:
-        r = r.where((F.col("split") != "train") | (F.col("rank") <= 2 * k + cap))
+        r = r.withColumn("split", F.when((F.col("split") == "train") & (F.col("rank") > 2 * k + cap), "unused").otherwise(F.col("split")))
     return r.drop("_h", "_n", "rank")
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.groups import join_groups
+
 
 def running(df: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], width: float = 1e-3) -> DataFrame:
     """Sum `counts` per distinct value; add <count>_below, the total over smaller values, and <count>_all."""
@@ -25,7 +27,7 @@ def running(df: DataFrame, by: Sequence[str], value: str, counts: Sequence[str],
     tops = tops.select(*by, "_bucket", *[F.coalesce(F.sum(x).over(outer), F.lit(0)).alias(f"_{x}0") for x in counts],
                        *[F.sum(x).over(whole).alias(f"{x}_all") for x in counts])
     inner = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = dist.join(tops, [*by, "_bucket"])
+    joined = join_groups(dist, tops, [*by, "_bucket"])
     return joined.select(*by, value, *counts, *[f"{x}_all" for x in counts], *[
         (F.col(f"_{x}0") + F.coalesce(F.sum(x).over(inner), F.lit(0))).alias(f"{x}_below") for x in counts])
 

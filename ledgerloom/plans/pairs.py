@@ -173,7 +173,7 @@ def _minimal(t):
 
 @query("d9_diagnose_pairs")
 def d9_diagnose_pairs(t):
-    """Token alignment of every drop pair (per-row, so no SQL oracle; unit tests hold known cases)."""
+    """What differs within every drop pair (unit tests hold known cases)."""
     return rounded(_minimal(t))
 
 
@@ -236,10 +236,10 @@ def d14_preservation_reward(t):
 
 
 @query("d15_split", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id)) AS rank, count(*) OVER () AS n FROM documents), k AS (SELECT *, greatest(4, n // 20) AS k FROM r)
-  SELECT doc_id, CASE WHEN rank <= k THEN 'valid' WHEN rank <= 2 * k THEN 'test' ELSE 'train' END AS split FROM k WHERE rank <= 2 * k + 600""")
+  SELECT doc_id, CASE WHEN rank <= k THEN 'valid' WHEN rank <= 2 * k THEN 'test' ELSE 'train' END AS split FROM k""")
 def d15_split(t):
-    """Seeded split with a train dose of 600, ranked without a global window."""
-    return D.split(t.read("documents").select("doc_id"), "doc_id", cap=600)
+    """Seeded split of all documents, ranked without a global window."""
+    return D.split(t.read("documents").select("doc_id"), "doc_id")
 
 
 @query("d16_dedup_sentences", f"{SENT} SELECT min((doc_id, pos)).doc_id AS doc_id, count(*) AS copies, md5(arg_min(s, (doc_id, pos))) AS sentence FROM (SELECT doc_id, pos, s, trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS k FROM se) GROUP BY md5(k)".replace("min((doc_id, pos)).doc_id", "arg_min(doc_id, (doc_id, pos))"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -15,16 +13,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured."""
-    ctx = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or ctx.getCheckpointDir()
-    folder = named or tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
-    if ctx.getCheckpointDir() is None:
-        ctx.setCheckpointDir(folder)
-    return folder
-
-
 def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
     """A single-machine session for tests and the bench."""
     spark = (

@@ -12,6 +12,8 @@ from ledgerloom.operators import dictation, labels as L, pairs as D
 from ledgerloom.operators import estimators as E
 from ledgerloom.operators import hygiene as P
 from ledgerloom.operators import provenance as V
+from ledgerloom.operators import detection as T
+from ledgerloom.operators import ranks as R
 
 MARK = {"cutoff": "Please verify current figures.", "modeled": "We assume steady demand.",
         "jurisd": "Rules differ in each country.", "hedging": "Outcomes may vary by site."}
@@ -235,3 +237,33 @@ def test_kept_and_invented_make_up_the_output(spark):
 def test_lexicon_limits():
     with pytest.raises(ValueError):
         lexicon({f"f{i}": ["x"] for i in range(63)})
+
+
+def test_null_group_keeps_its_numbers(spark):
+    rows = [("x" if k % 2 else None, k % 5, (k % 5) // 2 + 1) for k in range(200)]
+    a = spark.createDataFrame([(c, s, e, False) for c, s, e in rows], "condition string, supply int, emitted int, floor_guard boolean")
+    got = {r.condition: r for r in E.shrinkage(a, ["condition"], draws=400).collect()}
+    assert set(got) == {None, "x"} and got[None].n_runs == 100 and got[None].w_lo is not None
+    assert abs(got[None].w - got["x"].w) < 1e-9
+    q = {r.condition: r.n for r in R.quantiles(a, ["condition"], "supply", {"m": "median"}).collect()}
+    assert q == {None: 100, "x": 100}
+
+
+def test_compression_of_nothing_is_null(spark):
+    flat = spark.createDataFrame([("a", float(s), float(s - 1)) for s in (1, 2, 3, 4) for _ in range(3)], "g string, x double, y double")
+    f = E.ols(flat, "x", "y", ["g"]).select(E.compression("slope", "intercept", 1.0, 4.0).alias("c")).first()
+    assert f.c is None
+
+
+def test_digest_is_one_row_at_any_reach(spark):
+    t = spark.range(40).selectExpr("id * 1000 - 5000 AS id")
+    assert T.registry_digest(t, "id", "id", fan=2, levels=3).count() == 1
+
+
+def test_diagnosis_of_splices(spark):
+    a = "One two three. Four modeled at five. Six seven."
+    rows = [("cut", a, "One two three. Six seven."), ("same", a, a), ("word", a, a.replace("seven", "eight")), ("none", "", "")]
+    got = {r.id: r for r in D.diagnose_pairs(spark.createDataFrame(rows, "id string, chosen string, rejected string"), {"m": ["modeled at"]}, ["id"]).collect()}
+    assert (got["cut"].differing, got["cut"].off_feature) == (4 / 13, 0.0)
+    assert (got["same"].differing, got["none"].differing) == (0.0, 0.0)
+    assert (got["word"].differing, got["word"].off_feature) == (2 / 18, 1.0)
