@@ -16,6 +16,10 @@ HEADLINE = [
     "t13_profile", "e1_ols", "e5_shrinkage", "e10_clean_rate", "e13_quantiles", "e15_compare_arms", "e28_agreement",
     "p11_decode_plans", "p18_duplicates", "s10_labels_long", "d7_drop_pairs", "d16_dedup_sentences", "r1_event_feed",
     "r2_lifecycle", "r5_budget_guard",
+    "e47_parameter_cards", "v7_corroboration", "e3_bootstrap_ols", "e8_span_fraction", "e11_best_of_n",
+    "e19_cluster_difference", "e22_meta", "e23_icc", "e26_auc", "e32_win_share",
+    "d2_supply_variants", "d13_extreme_pairs", "v4_gate_report", "t15_ngram_overlap", "v20_instrument_divergence",
+    "p2_partition_dropped",
 ]
 
 

@@ -264,6 +264,6 @@ def test_diagnosis_of_splices(spark):
     a = "One two three. Four modeled at five. Six seven."
     rows = [("cut", a, "One two three. Six seven."), ("same", a, a), ("word", a, a.replace("seven", "eight")), ("none", "", "")]
     got = {r.id: r for r in D.diagnose_pairs(spark.createDataFrame(rows, "id string, chosen string, rejected string"), {"m": ["modeled at"]}, ["id"]).collect()}
-    assert (got["cut"].differing, got["cut"].off_feature) == (4 / 13, 0.0)
+    assert (got["cut"].differing, got["cut"].off_feature) == (4 / 14, 0.0)
     assert (got["same"].differing, got["none"].differing) == (0.0, 0.0)
     assert (got["word"].differing, got["word"].off_feature) == (2 / 18, 1.0)
