@@ -30,6 +30,7 @@ LIMIT, BLOCK, STRIDE = 16, 1 << 14, 64
 KEPT = 500_000
 
 _OTHER = re.compile("[^\\x00-\\u012f]")
+_PAIR = re.compile(r"[^\w\s]{2}|_")
 _STOP = re.compile(r"(?<=[^\W_])([^\w\s]+)(?=\s)")
 
 
@@ -40,7 +41,12 @@ def plain(text: str) -> str:
     """
     if "<|" in text or not text.isascii() and _OTHER.search(text):
         return text
-    return _STOP.sub(r" \1", text.lower())
+    text = text.lower()
+    if _PAIR.search(text):
+        return _STOP.sub(r" \1", text)
+    for mark in (". ", ", ", ".\n", ",\n", "? ", "! ", ": ", "; "):  # each stands alone here
+        text = text.replace(mark, " " + mark)
+    return text
 
 
 class Ids:
