@@ -30,7 +30,8 @@ LIMIT, BLOCK, STRIDE = 16, 1 << 14, 64
 KEPT = 500_000
 
 _OTHER = re.compile("[^\\x00-\\u012f]")
-_PAIR = re.compile(r"[^\w\s]{2}|_")
+#: Two characters up to U+012F in a row that are no letter, number or usual white space.
+_PAIR = re.compile(r"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7]{2}")
 _STOP = re.compile(r"(?<=[^\W_])([^\w\s]+)(?=\s)")
 
 
@@ -44,9 +45,7 @@ def plain(text: str) -> str:
     text = text.lower()
     if _PAIR.search(text):
         return _STOP.sub(r" \1", text)
-    for mark in (". ", ", ", ".\n", ",\n", "? ", "! ", ": ", "; "):  # each stands alone here
-        text = text.replace(mark, " " + mark)
-    return text
+    return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")  # each mark stands alone here
 
 
 class Ids:

@@ -142,3 +142,11 @@ def test_chat(spark, tmp_path):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
         assert got[c]["formatted_chars"] == sum(len(r["formatted"]) for r in whole if r["conv_id"] == c)
     assert chat.read_back(chat.format_parts(turns.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_plain_keeps_ids():
+    lib, rng = Tokenizer.from_file(P.path("word_bpe_49k.json")), random.Random(9)
+    signs = [chr(c) for c in range(0x130) if c != 0x130] + [". ", ", ", ".\n", "...", "'s ", "'S", "_.", "<|endoftext|>", "<|EndOfText|>", "Word", "é", "12"] * 8
+    for _ in range(3000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(1, 12)))
+        assert lib.encode(token_files.plain(t), add_special_tokens=False).ids == lib.encode(t, add_special_tokens=False).ids, repr(t)
