@@ -27,7 +27,7 @@ from ledgerloom.llm.common import cut, keyed, pieces, settled
 
 LIMIT, BLOCK, STRIDE = 16, 1 << 14, 64
 #: Words of one generation of a worker's memory, some 200 bytes each.
-KEPT = 500_000
+KEPT = 250_000
 
 _OTHER = re.compile("[^\\x00-\\u012f]")
 #: Two characters up to U+012F in a row that are no letter, number or usual white space.
@@ -231,6 +231,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
     raw = cut(keyed(docs).mapInArrow(tokens, "doc_id long, k1 long, k2 long, wide int, ids binary"), "ids")
 
     def count(batches):
+        encoder.cache_clear()  # a reused worker still holds the words of the stage before
         total = np.zeros(0, np.int64)
         for batch in batches:
             more = np.bincount(joined(batch)[0], minlength=len(total))
@@ -247,6 +248,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
     sent = spark.sparkContext.broadcast(Code(ids, lengths))
 
     def pack(batches):
+        encoder.cache_clear()
         code, before = sent.value, 0
         for batch in parts(batches, "ids", 1 << 20):
             ids, n = joined(batch)
