@@ -4,10 +4,11 @@ Two methods share one interface:
 
 poisson      (default) each unit of each draw gets a Poisson(1) weight from a hash. Identical units
              are first counted into cells, so the cost follows the number of distinct statistics and
-             not the number of rows; a cell of m units gets Poisson(m), summed unit by unit up to
-             `EXACT_UNITS` and from the normal limit above. One pass, no join, map-side combined.
-multinomial  the classical scheme, slots filled by hashed unit index. Only for groups whose size is
-             checked against `limit`, because it generates n rows per draw and joins them back.
+             not the number of rows. A cell of m units gets exactly Poisson(m) at every m: the sum of m
+             unit weights, or from `REJECTION` units on one transformed rejection sample of that same
+             law. One pass, no join, map-side combined.
+multinomial  the classical scheme, n slots filled by hashed unit index. It makes n rows per draw and
+             joins them back, so its cost is rows times draws.
 
 Every draw depends on (seed, draw, unit key) alone: results do not change with partitioning or retries.
 """
@@ -16,12 +17,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import stats as S
+from ledgerloom.functions.groups import join_groups
+from ledgerloom.functions.text import let
 
-EXACT_UNITS = 64
+#: Units from which a cell's weight comes from the rejection sampler, whose bounds hold for means of 10 and more.
+REJECTION = 16
+#: Tries of the sampler. One is accepted with probability 0.8 or more, so all of them fail in less than one of 10^16 draws.
+TRIES = 24
 
 
 def _key(cols: Sequence[str]):
@@ -59,7 +65,7 @@ def _draw(cells, by, stats, ident, draws, seed, single):
     # Units are few, small rows; the work is in the draws. Cells spread by draw block and keyed units by
     # unit, so no task holds all of it; the sums combine map-side before the second exchange.
     tasks = max(1, cells.sparkSession.sparkContext.defaultParallelism)
-    few = cells.where(F.col("_m") <= EXACT_UNITS)
+    few = cells.where(F.col("_m") < REJECTION)
     if single:
         few = few.repartition(tasks, "_id")
     few = few.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))))
@@ -78,13 +84,10 @@ def _draw(cells, by, stats, ident, draws, seed, single):
     if single:
         return small
 
-    large = (
-        cells.where(F.col("_m") > EXACT_UNITS)
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_d", F.md5(F.concat_ws("|", F.lit(seed), F.lit("z"), F.col("draw"), F.col("_id"))))
-    )
-    z = F.sqrt(-2 * F.log(1 - S.hex_uniform("_d", 1))) * F.cos(F.lit(6.283185307179586) * S.hex_uniform("_d", 9))
-    w = F.greatest(F.lit(0.0), F.floor(F.col("_m") + F.sqrt(F.col("_m")) * z + 0.5).cast("double"))
+    large = cells.where(F.col("_m") >= REJECTION).withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))))
+    large = large.repartition(min(tasks, draws // 4), "_blk").withColumn(
+        "draw", F.explode(F.array(*[F.col("_blk") * 4 + q for q in range(4)])))
+    w = poisson_many("_m", lambda i: F.md5(F.concat_ws("|", F.lit(seed), F.lit("z"), F.col("draw"), i, F.col("_id"))))
     large = large.select(*by, "draw", w.alias("_w"), *stats)
     large = large.groupBy(*by, "draw").agg(
         F.sum("_w").alias("n"), *[F.sum(F.col("_w") * F.col(s)).alias(s) for s in stats])
@@ -92,28 +95,63 @@ def _draw(cells, by, stats, ident, draws, seed, single):
         F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in stats])
 
 
+def poisson_many(m, digest):
+    """An exact Poisson(m) count for m of 10 and more by Hoermann's transformed rejection.
+
+    digest  function of the try's number, giving 16 hex digits or more
+    """
+    m = S.c(m).cast("double")
+    b = F.lit(0.931) + F.lit(2.53) * F.sqrt(m)
+    par = F.struct(m.alias("m"), b.alias("b"), (F.lit(-0.059) + F.lit(0.02483) * b).alias("a"),
+                   F.log(F.lit(1.1239) + F.lit(1.1328) / (b - 3.4)).alias("q"), (F.lit(0.9277) - F.lit(3.6224) / (b - 2)).alias("r"))
+
+    def log_mass(k, p):
+        tail = 1 / (12 * k) - 1 / (360 * k * k * k) + 1 / (1260 * F.pow(k, F.lit(5)))
+        near = -k * F.log1p((k - p["m"]) / p["m"]) + (k - p["m"]) - F.log(F.lit(6.283185307179586) * k) / 2 - tail
+        return F.when(k >= 16, near).otherwise(k * F.log(p["m"]) - p["m"] - F.log(F.factorial(k.cast("int"))))
+
+    def judged(e, p):
+        near = F.log(e["v"]) + p["q"] - F.log(p["a"] / (e["s"] * e["s"]) + p["b"]) <= log_mass(e["k"], p)
+        sure = (e["s"] >= 0.07) & (e["v"] <= p["r"])
+        outside = (e["k"] < 0) | ((e["s"] < 0.013) & (e["v"] > e["s"]))
+        return F.when(sure, e["k"]).when(outside, F.lit(None).cast("double")).when(near, e["k"])
+
+    def tried(d, p):
+        u = let(S.hex_uniform(d, 1) - 0.5, lambda x: F.struct(
+            x.alias("u"), F.greatest(0.5 - F.abs(x), F.lit(2.0 ** -33)).alias("s"), (1 - S.hex_uniform(d, 9)).alias("v")))
+        e = let(u, lambda t: F.struct(
+            F.floor((2 * p["a"] / t["s"] + p["b"]) * t["u"] + p["m"] + 0.43).cast("double").alias("k"), t["s"].alias("s"), t["v"].alias("v")))
+        return let(e, lambda x: judged(x, p))
+
+    first = let(par, lambda p: F.aggregate(
+        F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"),
+        lambda got, i: F.when(got.isNotNull(), got).otherwise(let(digest(i), lambda d: tried(d, p)))))
+    return F.coalesce(first, m)
+
+
 def multinomial_draws(units: DataFrame, by: Sequence[str], stats: Sequence[str], key: Sequence[str],
-                      draws: int = 2000, seed: int = 0, limit: int = 20_000) -> DataFrame:
-    """Classical resampling with replacement for groups of at most `limit` units (checked).
+                      draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Classical resampling with replacement: `draws_of`'s columns, every draw of a group's own size.
 
-    Slots are hashed to unit ranks; weights are the slot counts, so only (group, draw, rank) counts
-    are joined back to the units.
+    Slots are hashed to unit ranks; weights are the slot counts, so only (group, draw, rank) counts are joined
+    back to the units. Units rank by the digest of their key in two levels, its first digits and the rest, so
+    that no task ranks a whole group.
     """
     by, stats = list(by), list(stats)
-    largest = units.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest > limit:
-        raise ValueError(f"a group holds {largest} units, above {limit}: use draws_of")
-    from pyspark.sql import Window
-
-    ranked = units.withColumn("_j", F.row_number().over(
-        Window.partitionBy(*by).orderBy(*key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    slots = ranked.select(
-        *by, "_n", "_j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col("_j")))
-    idx = F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("bigint") % F.col("_n")
-    picked = slots.groupBy(*by, "draw", idx.alias("_pick")).agg(F.count("*").alias("_w"))
-    units2 = ranked.select(*by, F.col("_j").cast("bigint").alias("_pick"), *stats)
-    return picked.join(units2, [*by, "_pick"]).groupBy(*by, "draw").agg(
+    marked = units.select(*by, *stats, *[k for k in key if k not in by and k not in stats], F.md5(_key(key)).alias("_h"))
+    marked = marked.withColumn("_top", F.substring("_h", 1, 3))
+    tops = marked.groupBy(*by, "_top").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    before = F.sum("_c").over(group.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(*by, "_top", F.coalesce(before, F.lit(0)).alias("_b"), F.sum("_c").over(group).alias("_n"))
+    inner = Window.partitionBy(*by, "_top").orderBy("_h", *key)
+    ranked = join_groups(marked.withColumn("_i", F.row_number().over(inner)), tops, [*by, "_top"]).select(
+        *by, *stats, "_n", (F.col("_b") + F.col("_i") - 1).alias("_pick"))
+    slots = ranked.select(*by, "_n", "_pick", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col("_pick")))
+    at = F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("bigint") % F.col("_n")
+    picked = slots.select(*by, "draw", at.alias("_pick")).groupBy(*by, "draw", "_pick").agg(F.count("*").alias("_w"))
+    return join_groups(picked, ranked.drop("_n"), [*by, "_pick"]).groupBy(*by, "draw").agg(
         F.sum("_w").cast("double").alias("n"), *[F.sum(F.col("_w") * F.col(s)).alias(s) for s in stats])
 
 

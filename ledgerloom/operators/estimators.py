@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import stats as S
 from ledgerloom.functions.groups import join_groups
-from ledgerloom.operators.bootstrap import draws_of, draws_of_cells, intervals
+from ledgerloom.operators.bootstrap import draws_of, draws_of_cells, intervals, multinomial_draws
 
 POWERS = {"sx": "x", "sy": "y", "sxx": "x*x", "sxy": "x*y", "syy": "y*y", "sx3": "x*x*x", "sx4": "x*x*x*x",
           "sxxy": "x*x*y"}
@@ -75,6 +75,17 @@ def ols_interval(cells: DataFrame, by: Sequence[str], draws: int = 2000, seed: i
                      w=t["slope"], c=t["intercept"], quad=quad)
 
 
+def ols_interval_classical(audited: DataFrame, by: Sequence[str], key: Sequence[str], draws: int = 2000, seed: int = 0,
+                           rule: str = "floor_ceil") -> DataFrame:
+    """Intervals of slope and intercept over runs above the floor, resampled with replacement; key identifies a run."""
+    runs = audited.where(~F.col("floor_guard")).select(
+        *by, *[k for k in key if k not in by], F.col("supply").cast("bigint").alias("x"), F.col("emitted").cast("bigint").alias("y"))
+    stats = {k: POWERS[k] for k in ("sx", "sy", "sxx", "sxy")}
+    runs = runs.select(*by, *[k for k in key if k not in by], *[F.expr(e).alias(k) for k, e in stats.items()])
+    t = S.ols_terms("n", "sx", "sy", "sxx", "sxy")
+    return intervals(multinomial_draws(runs, by, list(stats), key, draws, seed), by, rule=rule, draws=draws, w=t["slope"], c=t["intercept"])
+
+
 def shrinkage(audited: DataFrame, by: Sequence[str] = ("condition",), families: int = 0, draws: int = 2000,
               seed: int = 0, min_levels: int = 3, min_runs: int = 10, min_zero: int = 5,
               max_width: float = 0.35) -> DataFrame:

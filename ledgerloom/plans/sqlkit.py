@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.functions.stats import POISSON_CDF
+import math
+
 from ledgerloom.lexicons import lexicon
-from ledgerloom.operators.bootstrap import EXACT_UNITS
 
 # RE2's classes are ASCII, so oracles match on text whose other letters are replaced by one letter.
 def ascii_text(t: str) -> str:
@@ -98,6 +98,10 @@ def quad() -> str:
     return f"(CASE WHEN abs({base}) > 1e-6 THEN {top} / {base} END)"
 
 
+# Poisson(1) cumulative probabilities up to 12, stated here anew and not taken from the engine.
+POISSON_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
 def poisson(u: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {p!r} THEN {k}" for k, p in enumerate(POISSON_CDF)) \
         + f" ELSE {len(POISSON_CDF)} END"
@@ -118,20 +122,28 @@ def boot(name: str, src: str, by: list[str], stats: list[str], key: list[str] |
     else:
         cells = f"SELECT {by_s}{', '.join(stats)}, 1::BIGINT AS m_, {ident} AS id_ FROM {src}"
     dig = f"md5(concat_ws('|', '{seed}', (draw // 4)::VARCHAR, slot_::VARCHAR, id_))"
-    zdig = f"md5(concat_ws('|', '{seed}', 'z', draw::VARCHAR, id_))"
-    z = f"sqrt(-2 * ln(1 - {_uni('zd_', '1')})) * cos(6.283185307179586 * {_uni('zd_', '9')})"
+    zdig = f"md5(concat_ws('|', '{seed}', 'z', draw::VARCHAR, try_::VARCHAR, id_))"
     sums = ", ".join(f"sum(w_ * {s}) AS {s}" for s in stats)
     return f"""{name}_cells AS MATERIALIZED ({cells}),
 {name}_w AS (
   SELECT {by_s}{', '.join(stats)}, draw, ({poisson('u_')})::DOUBLE AS w_ FROM (
     SELECT *, {_uni('d_', '(1 + 8 * (draw % 4))::INT')} AS u_ FROM (
       SELECT *, {dig} AS d_ FROM (
-        SELECT c.*, unnest(range(1, (c.m_ + 1)::BIGINT)) AS slot_ FROM {name}_cells c WHERE c.m_ <= {EXACT_UNITS}
+        SELECT c.*, unnest(range(1, (c.m_ + 1)::BIGINT)) AS slot_ FROM {name}_cells c WHERE c.m_ < 16
       ) CROSS JOIN (SELECT unnest(range(0, {draws})) AS draw)))
   UNION ALL
-  SELECT {by_s}{', '.join(stats)}, draw, greatest(0.0, floor(m_ + sqrt(m_) * {z} + 0.5)) AS w_ FROM (
-    SELECT c.*, draw, {zdig} AS zd_ FROM {name}_cells c CROSS JOIN (SELECT unnest(range(0, {draws})) AS draw)
-    WHERE c.m_ > {EXACT_UNITS})),
+  SELECT {by_s}{', '.join(stats)}, draw, w_ FROM (
+    SELECT {', '.join(f'any_value({c}) AS {c}' for c in by + stats)}, draw, id_,
+      arg_min(k_, try_) FILTER ((s_ >= 0.07 AND v_ <= 0.9277 - 3.6224 / (b_ - 2))
+        OR (k_ >= 0 AND NOT (s_ < 0.013 AND v_ > s_)
+            AND ln(v_) + ln(1.1239 + 1.1328 / (b_ - 3.4)) - ln((-0.059 + 0.02483 * b_) / (s_ * s_) + b_)
+                <= k_ * ln(m_) - m_ - lgamma(greatest(k_, 0) + 1))) AS w_
+    FROM (SELECT *, floor((2 * (-0.059 + 0.02483 * b_) / s_ + b_) * u_ + m_ + 0.43) AS k_ FROM (
+      SELECT *, greatest(0.5 - abs(u_), pow(2.0::DOUBLE, -33)) AS s_ FROM (
+      SELECT *, 0.931 + 2.53 * sqrt(m_) AS b_, {_uni('zd_', '1')} - 0.5 AS u_, 1 - {_uni('zd_', '9')} AS v_ FROM (
+      SELECT c.*, draw, try_, {zdig} AS zd_ FROM {name}_cells c CROSS JOIN (SELECT unnest(range(0, {draws})) AS draw)
+        CROSS JOIN (SELECT unnest(range(0, 12)) AS try_) WHERE c.m_ >= 16))))
+    GROUP BY draw, id_)),
 {name} AS MATERIALIZED (SELECT {by_s}draw, sum(w_) AS n, {sums} FROM {name}_w GROUP BY {by_s}draw)"""
 
 

@@ -1,7 +1,9 @@
 """Synthetic runs with known answers: the estimators must recover them and the guards must refuse."""
 
+import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,8 +219,23 @@ def test_multinomial_and_poisson_agree(spark):
     p = B.intervals(B.draws_of(units, ["g"], ["v"], draws=400), ["g"], draws=400, m=rate).first()
     m = B.intervals(B.multinomial_draws(units, ["g"], ["v"], ["k"], draws=400), ["g"], draws=400, m=rate).first()
     assert abs(p.m_lo - m.m_lo) < 0.12 and abs(p.m_hi - m.m_hi) < 0.12
-    with pytest.raises(ValueError):
-        B.multinomial_draws(units, ["g"], ["v"], ["k"], limit=10)
+    sizes = {r.n for r in B.multinomial_draws(units, ["g"], ["v"], ["k"], draws=40).collect()}
+    assert sizes == {80.0}
+
+
+@pytest.mark.parametrize("m", [15, 16, 64, 65, 1000, 10**7])
+def test_cell_weights_follow_poisson(spark, m):
+    """Cells on both sides of the sampler's bound, and very large ones, follow the same law."""
+    from ledgerloom.operators import bootstrap as B
+
+    cells = spark.createDataFrame([("a", 1.0, m)], "g string, v double, _m long")
+    got = np.sort([r.n for r in B.draws_of_cells(cells, ["g"], ["v"], draws=4000).collect()])
+    assert len(got) == 4000 and abs(got.mean() - m) < 4 * (m / 4000) ** 0.5
+    assert 0.9 < got.var() / m < 1.1
+    k = np.arange(max(0, m - int(12 * m ** 0.5)), m + int(12 * m ** 0.5) + 30)
+    mass = np.exp(k * math.log(m) - m - np.array([math.lgamma(x + 1) for x in k]))
+    steps = np.abs(np.searchsorted(got, k, "right") / 4000 - np.cumsum(mass) / mass.sum())
+    assert steps.max() < 1.63 / 4000 ** 0.5
 
 
 def test_partitioning_changes_nothing(spark):
