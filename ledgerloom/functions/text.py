@@ -1,15 +1,9 @@
-"""Text detection as column expressions.
-
-Everything here stays on the JVM except `spans`, which needs every match offset and runs as an
-Arrow-batched UDF.
-"""
+"""Text detection as column expressions: one regular-expression engine finds families, counts, matches and offsets."""
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,16 +97,59 @@ def family_matches(text, lex, limit: int = 5, mask=None) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull() & (F.size(e["v"]) > 0)))
 
 
+def running_lengths(lengths: Column, block: int = 256) -> Column:
+    """Sum of the elements in front of each element of an int array.
+
+    Appending to an array copies it, so sums run inside blocks and over block totals.
+    """
+    def grow(values, start):
+        return F.aggregate(values, F.array(start), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+
+    def over(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, v: a + v))
+        each = F.zip_with(blocks, F.slice(grow(totals, F.lit(0)), F.lit(1), F.size(blocks)), lambda b, at: F.slice(grow(b, at), F.lit(1), F.size(b)))
+        return F.flatten(each)
+
+    def split(ls):
+        starts = F.sequence(F.lit(1), F.size(ls), F.lit(block))
+        return F.when(F.size(ls) > 0, F.transform(starts, lambda i: F.slice(ls, i, F.lit(block)))).otherwise(F.array().cast("array<array<int>>"))
+
+    return let(let(lengths, split), over)
+
+
+def _stretches(text, pattern: str, matches: Column) -> Column:
+    """Lengths of the matches (`m`), of the gaps around them (`g`, one more), and where each gap starts (`at`)."""
+    gaps = F.transform(F.split(as_col(text), pattern, -1), lambda x: F.length(x))
+    marks = F.transform(matches, lambda x: F.length(x))
+    return let(F.struct(gaps.alias("g"), marks.alias("m")), lambda e: F.struct(
+        e["g"].alias("g"), e["m"].alias("m"),
+        running_lengths(F.zip_with(e["g"], e["m"], lambda g, m: g + F.coalesce(m, F.lit(0)))).alias("at")))
+
+
 def spans(text, lex) -> Column:
-    """Sorted (start, end, family) character offsets of every match."""
-    compiled = [(fam, re.compile(p, re.I)) for fam, pats in lexicon(lex).items() for p in pats]
+    """Sorted (start, end, family) character offsets of every match; empty for a null text.
 
-    @F.pandas_udf("array<struct<start:int,end:int,family:string>>")
-    def locate(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(
-            (m.start(), m.end(), fam) for fam, rx in compiled for m in rx.finditer(t)) if t else [])
+    What lies between matches and the matches themselves give the offsets by their lengths. Meant for patterns that
+    match no empty string.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,family:string>>")
 
-    return locate(as_col(text))
+    def located(fam, pattern):
+        matches = F.regexp_extract_all(as_col(text), F.lit(FLAGS + pattern), F.lit(0))
+        found = let(_stretches(text, FLAGS + pattern, matches), lambda e: F.transform(e["m"], lambda m, i: let(
+            F.get(e["at"], i) + F.get(e["g"], i), lambda at: F.struct(at.alias("start"), (at + m).alias("end"), F.lit(fam).alias("family")))))
+        return F.when(has(text, pattern), found).otherwise(none)
+
+    return F.sort_array(F.flatten(F.array(*[located(fam, p) for fam, pats in lexicon(lex).items() for p in pats])))
+
+
+def held(df, name: str, value):
+    """withColumn of a costly value that is computed once per row.
+
+    A column that the optimizer may merge into later projections, lambda bodies or filters is evaluated again in each;
+    the output of a generator is not.
+    """
+    return df.select("*", F.explode_outer(F.array(F.struct(value.alias("v")))).alias("_held")).withColumn(name, F.col("_held.v")).drop("_held")
 
 
 # ---------------------------------------------------------------- sentences
@@ -154,23 +191,12 @@ def strip(text) -> Column:
     return F.regexp_replace(as_col(text), r"(?U)^\s+|\s+$", "")
 
 
-_BREAK = re.compile(SENTENCE_BREAK)
-
-
-def offsets_of(t: str) -> list[tuple[int, int]]:
-    cuts = [(m.start(), m.end()) for m in _BREAK.finditer(t)]
-    starts = [0] + [e for _, e in cuts]
-    ends = [b for b, _ in cuts] + [len(t)]
-    return [(a, b) for a, b in zip(starts, ends) if b > a]
-
-
 def sentence_offsets(text) -> Column:
-    """Array of (start, end) of the boundary-rule sentences; offsets need every match, hence Arrow."""
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def locate(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: offsets_of(t) if t else [])
-
-    return locate(as_col(text))
+    """Array of (start, end) of the boundary-rule sentences; empty for a null text."""
+    t = F.coalesce(as_col(text), F.lit(""))
+    pieces = let(_stretches(t, SENTENCE_BREAK, F.regexp_extract_all(t, F.lit(SENTENCE_BREAK), F.lit(0))), lambda e: F.zip_with(
+        e["at"], e["g"], lambda at, g: F.struct(at.alias("start"), (at + g).alias("end"))))
+    return F.filter(pieces, lambda p: p["end"] > p["start"])
 
 
 # ---------------------------------------------------------------- normalisers

@@ -2,81 +2,52 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import stats as S
 from ledgerloom.functions import text as X
+from ledgerloom.functions.groups import join_groups
 
-BROADCAST_PHRASES = 100_000
-
-
-def _bounded(registry: DataFrame, limit: int) -> list | None:
-    """The registry's rows when their counted number is within the limit, else None."""
-    rows = registry.take(limit + 1)
-    return rows if len(rows) <= limit else None
-
-
-def _scanner(spark, phrases: list[tuple[str, str]]):
-    """Arrow UDF: ids of the phrases a text contains, all phrases in one pass over the text."""
-    shared = spark.sparkContext.broadcast(phrases)
-
-    @F.pandas_udf("array<string>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = defaultdict(list)
-        for pid, phrase in shared.value:
-            ids[phrase].append(pid)
-        try:
-            import ahocorasick
-
-            auto = ahocorasick.Automaton()
-            for phrase in ids:
-                auto.add_word(phrase, phrase)
-            auto.make_automaton()
-
-            def found(t):
-                return {p for _, p in auto.iter(t)}
-        except ImportError:
-            def found(t):
-                return {p for p in ids if p in t}
-
-        for texts in batches:
-            yield texts.map(lambda t: sorted(i for p in found(t) for i in ids[p]) if t else [])
-
-    return scan
+#: Rows up to which the anchors of a registry, a hash and a length each, are hinted to be broadcast: some 32 MB.
+BROADCAST_ANCHORS = 1_000_000
+WINDOWS = (32, 16, 8, 4, 2, 1)
 
 
 def literal_hits(texts: DataFrame, key: Sequence[str], text: str, registry: DataFrame, phrase_id: str = "id",
-                 phrase: str = "phrase", min_len: int = 8, limit: int = BROADCAST_PHRASES) -> DataFrame:
+                 phrase: str = "phrase", min_len: int = 8) -> DataFrame:
     """(key..., phrase_id) for every phrase of at least `min_len` characters the text contains, case-folded.
 
-    Within the counted limit the phrases travel to the tasks and one multi-pattern pass answers for all
-    of them: no shuffle, no pairs. Beyond it texts and phrases meet by equi-join on the phrase's leading
-    character window, and candidates are verified against the text.
+    A phrase is anchored at its leading window of 32, 16, ... characters, the longest it has. The windows of a text are
+    hashed in place and meet the anchors before anything is shuffled, where the counted anchors are few enough to be
+    broadcast; Spark joins larger ones by shuffle. Candidates are verified against the text. Every row of `texts` has
+    its own hits, null keys included; a phrase_id with the same phrase twice is one entry.
     """
-    reg = registry.where(F.length(phrase) >= min_len).select(
-        F.col(phrase_id).cast("string").alias("_id"), F.lower(phrase).alias("_p"))
-    rows = _bounded(reg, limit)
-    low = F.lower(X.as_col(text))
-    kind = registry.schema[phrase_id].dataType
-    if rows == []:
-        return texts.select(*key, F.lit(None).cast(kind).alias(phrase_id)).where("false")
-    if rows is not None:
-        scan = _scanner(texts.sparkSession, [(r["_id"], r["_p"]) for r in rows])
-        hits = texts.select(*key, F.explode_outer(scan(low)).alias(phrase_id)).where(F.col(phrase_id).isNotNull())
-        return hits.withColumn(phrase_id, F.col(phrase_id).cast(kind))
-    body = texts.select(*key, low.alias("_t")).where(F.length("_t") >= min_len)
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - (min_len - 1)),
-                                           lambda i: F.xxhash64(F.substr(F.col("_t"), i, F.lit(min_len)))))
-    grams = body.select(*key, F.explode_outer(windows).alias("_w")).where(F.col("_w").isNotNull())
-    anchored = reg.withColumn("_w", F.xxhash64(F.substring("_p", 1, min_len)))
-    cand = grams.join(anchored, "_w").select(*key, "_id", "_p")
-    return cand.join(body, list(key)).where(F.contains("_t", "_p")).select(
-        *key, F.col("_id").cast(kind).alias(phrase_id))
+    size = F.coalesce(*[F.when(F.length("_p") >= w, F.lit(w)) for w in WINDOWS])
+    reg = registry.select(F.col(phrase_id).alias("_id"), F.lower(phrase).alias("_p")).where(
+        F.length("_p") >= max(1, min_len)).distinct().withColumn("_n", size)
+    reg = reg.withColumn("_w", F.xxhash64("_n", F.substr("_p", F.lit(1), F.col("_n"))))
+    anchors = reg.select("_w", "_n").distinct()
+    counts = {r["_n"]: r["c"] for r in anchors.groupBy("_n").agg(F.count("*").alias("c")).collect()}  # six rows at most
+    small = F.broadcast if sum(counts.values()) <= BROADCAST_ANCHORS else (lambda df: df)
+    body = texts.select(*key, F.lower(X.as_col(text)).alias("_t")).where(F.length("_t") >= max(1, min_len))
+    body = body.withColumn("_h", F.xxhash64("_t"))
+
+    def windows(n):
+        # a position in a long string is found by walking there, so windows are taken in pieces that reach into the next
+        def inside(x):
+            each = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.substr(x, i, F.lit(n))))
+            return F.when(F.length(x) >= n, each).otherwise(F.array().cast("array<bigint>"))
+        return lambda ps: F.flatten(F.transform(ps, lambda p, i: X.let(F.concat(
+            p, F.coalesce(F.substr(F.get(ps, i + 1), F.lit(1), F.lit(n - 1)), F.lit(""))), inside)))
+
+    pieces = F.regexp_extract_all("_t", F.lit("(?s).{1,128}"), F.lit(0))
+    seen = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[X.let(pieces, windows(n)) for n in counts]))
+    grams = body.select(*key, "_h", F.explode_outer(seen).alias("_w")).where(F.col("_w").isNotNull())
+    cand = grams.join(small(anchors.select("_w")), "_w", "left_semi").join(reg, "_w").select(*key, "_h", "_id", "_p").distinct()
+    return join_groups(cand, body, [*key, "_h"]).where(F.contains("_t", "_p")).select(*key, F.col("_id").alias(phrase_id))
 
 
 def dictation_gate(prompts: DataFrame, label: str, text: str, registry: DataFrame, min_len: int = 1, **kw) -> DataFrame:
@@ -89,57 +60,55 @@ TRIM = ".,;:()[]\"'"
 # --- end of fixed value ---
 
 
-def _tokens(text: str) -> set[str]:
-    return {w.strip(TRIM).lower() for w in text.split() if len(w) > 3}
+def _tokens(text) -> Column:
+    """Distinct lower-case words of more than three characters, their punctuation stripped."""
+    words = F.filter(F.split(F.coalesce(X.as_col(text), F.lit("")), r"(?U)\s+", -1), lambda w: F.length(w) > 3)
+    return F.array_distinct(F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(TRIM)))))
 
 
 def shortlist(texts: DataFrame, key: Sequence[str], text: str, registry: DataFrame, order: str = "id",
-              phrase: str = "phrase", k: int = 8, limit: int = BROADCAST_PHRASES) -> DataFrame:
+              phrase: str = "phrase", k: int = 8) -> DataFrame:
     """The k registry phrases sharing most tokens with a text, registry order on ties and as padding.
 
-    The registry's token index travels to the tasks (its size is checked), so ranking stays in the row.
+    `key` identifies a text. Texts meet the registry's inverted index on tokens and keep their best k by a group-limited
+    top-k; what is missing is filled from the registry's first 2k entries, the only rows sent to every task.
     """
-    rows = _bounded(registry.select(order, phrase), limit)
-    if rows is None:
-        raise ValueError(f"registry above {limit} phrases: shortlist a narrower registry")
-    rows = sorted((r[order], r[phrase]) for r in rows)
-    shared = texts.sparkSession.sparkContext.broadcast(rows)
-
-    @F.pandas_udf("array<struct<id:bigint,overlap:int>>")
-    def rank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index, ids = defaultdict(list), [i for i, _ in shared.value]
-        for n, (_, p) in enumerate(shared.value):
-            for tok in _tokens(p):
-                index[tok].append(n)
-
-        def best(t):
-            votes = Counter(n for tok in _tokens(t) for n in index.get(tok, ()))
-            top = sorted(votes, key=lambda n: (-votes[n], n))[:k]
-            pad = iter(range(len(ids)))
-            while len(top) < min(k, len(ids)):
-                n = next(pad)
-                if n not in votes:
-                    top.append(n)
-            return [(ids[n], votes.get(n, 0)) for n in top]
-
-        for chunk in batches:
-            yield chunk.map(lambda t: best(t or ""))
-
-    out = X.explode_rows(texts, list(key), rank(X.as_col(text)), "rank", "e")
+    key = list(key)
+    index = registry.select(F.col(order).alias("_id"), F.explode_outer(_tokens(phrase)).alias("_tok")).where(F.col("_tok").isNotNull())
+    toks = texts.select(*key, F.explode_outer(_tokens(text)).alias("_tok")).where(F.col("_tok").isNotNull())
+    votes = toks.join(index, "_tok").groupBy(*key, "_id").agg(F.count("*").cast("int").alias("_o"))
+    best = Window.partitionBy(*key).orderBy(F.col("_o").desc(), "_id")
+    top = votes.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    top = top.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_r", "_id", "_o"))).alias("_top"))
+    first = registry.select(F.col(order).alias("_id")).orderBy("_id").limit(2 * k).agg(F.sort_array(F.collect_list("_id")).alias("_first"))
+    rows = join_groups(texts.select(*key), top, key, "left").crossJoin(F.broadcast(first))
+    found = F.transform(F.coalesce("_top", F.array().cast(top.schema["_top"].dataType)), lambda e: F.struct(e["_id"].alias("id"), e["_o"].alias("overlap")))
+    pad = F.filter("_first", lambda i: ~F.exists(found, lambda e: e["id"] == i))
+    fill = F.transform(F.slice(pad, F.lit(1), k - F.size(found)), lambda i: F.struct(i.alias("id"), F.lit(0).alias("overlap")))
+    out = X.explode_rows(rows, key, F.concat(found, fill), "rank", "e")
     return out.select(*key, (F.col("rank") + 1).alias("rank"), F.col("e.id").alias(order), F.col("e.overlap").alias("overlap"))
 
 
-def pools(spans: DataFrame, key: Sequence[str], cap: int = 100) -> DataFrame:
-    """Validation pools with flags dictated, literal, construct: POS, OVER and NEG, `cap` of each by hash order.
+def pools(spans: DataFrame, key: Sequence[str], sample: int | None = None) -> DataFrame:
+    """Validation pools with flags dictated, literal, construct: POS, OVER and NEG, whole.
 
-    The ranking is a group-limited top-k, so no task holds a whole pool.
+    sample  take only so many of each pool, by hash order (a group-limited top-k, so no task holds a whole pool)
     """
     pool = (F.when(F.col("dictated") & F.col("literal"), "POS").when(~F.col("dictated") & F.col("literal"), "OVER")
             .when(~F.col("dictated") & F.col("construct"), "NEG"))
     p = spans.withColumn("pool", pool).where(F.col("pool").isNotNull())
+    if sample is None:
+        return p
     p = p.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])))
     rank = F.row_number().over(Window.partitionBy("pool").orderBy("_h"))
-    return p.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r", "_h")
+    return p.withColumn("_r", rank).where(F.col("_r") <= sample).drop("_r", "_h")
+
+
+def pool_counts(pooled: DataFrame, floor: int = 30) -> DataFrame:
+    """Available spans per pool, pools without any included, and whether a registered floor is met."""
+    g = pooled.agg(*[F.count_if(F.col("pool") == p).alias(p) for p in ("POS", "OVER", "NEG")])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pool"), F.col(p).alias("available")) for p in ("POS", "OVER", "NEG")]))
+    return g.select(each.alias("e")).select("e.pool", "e.available", (F.col("e.available") >= floor).alias("enough"))
 
 
 def over_attribution(pooled: DataFrame, fired: str) -> DataFrame:

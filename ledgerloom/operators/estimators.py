@@ -584,14 +584,14 @@ def span_fraction(outputs: DataFrame, lex, by: Sequence[str] = ("condition",), m
     from ledgerloom.operators import ranks
 
     by = list(by)
-    base = outputs.where(F.length("output") >= min_chars).select(
-        *by, "output", X.spans("output", lex).alias("_sp"), X.sentence_offsets("output").alias("_so"))
+    base = X.held(outputs.where(F.length("output") >= min_chars).select(*by, "output"), "_sp", X.spans("output", lex))
+    base = X.held(base, "_so", X.sentence_offsets("output"))
 
     def tokens(t):
         return F.size(F.regexp_extract_all(t, F.lit(r"(?U)\S+"), F.lit(0)))
 
     hit = F.filter("_so", lambda s: F.exists("_sp", lambda p: (p["start"] >= s["start"]) & (p["start"] < s["end"])))
-    cut = base.withColumn("_hit", hit)
+    cut = X.held(base, "_hit", hit)
     total = F.aggregate("_hit", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     hit_tokens = F.aggregate(
         "_hit", F.lit(0),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import stats as S
+from ledgerloom.functions.text import let
 from ledgerloom.functions import text as X
 from ledgerloom.operators import ranks as R
 
@@ -166,17 +167,29 @@ def attenuation(counts: DataFrame, slope: DataFrame, a: str = "a", b: str = "b",
 def sign_test(wins, losses) -> Column:
     """Two-sided exact sign test; 1 when there is nothing to test.
 
-    The upper tail of the fair binomial is summed with log binomials, so counts of any size work in the row.
+    The first term of the fair binomial's upper tail comes in closed form; the terms behind it fall so fast that some
+    ten square roots of the count hold all that a double can show.
     """
-    w, l = S.c(wins).cast("bigint"), S.c(losses).cast("bigint")
+    w, l = S.c(wins).cast("double"), S.c(losses).cast("double")
     n, k = w + l, F.greatest(w, l)
-    first = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(n - k, F.lit(1))), F.lit(0.0),
-                        lambda a, i: F.when(n - k >= i, a + F.log((k + i) / i)).otherwise(a))
-    walk = F.aggregate(
-        F.sequence(k, n), F.struct(first.alias("lg"), F.lit(0.0).alias("s")),
-        lambda a, i: F.struct((a["lg"] + F.when(i < n, F.log((n - i) / (i + 1))).otherwise(0.0)).alias("lg"),
-                              (a["s"] + F.exp(a["lg"] - n * F.log(F.lit(2.0)))).alias("s")))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * walk["s"]))
+
+    def rest(x):
+        """ln x! beyond x ln x - x + ln(2 pi x) / 2."""
+        exact = F.log(F.factorial(x.cast("int"))) - x * F.log(x) + x - F.log(F.lit(6.283185307179586) * x) / 2
+        return F.when(x < 16, exact).otherwise(1 / (12 * x) - 1 / (360 * x * x * x))
+
+    def tail(e):
+        n, k = e["n"], e["k"]
+        m = n - k
+        d = (2 * k - n) / n
+        log_first = -k * F.log1p(d) - m * F.log1p(-d) + F.log(n / (F.lit(6.283185307179586) * k * m)) / 2 + rest(n) - rest(k) - rest(m)
+        first = F.exp(F.when(m > 0, log_first).otherwise(-n * F.log(F.lit(2.0))))
+        steps = F.least(m, F.ceil(10 * F.sqrt(n)) + 10).cast("bigint")
+        walk = F.aggregate(F.sequence(F.lit(0).cast("bigint"), steps), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")),
+                           lambda a, j: F.struct((a["t"] * (m - j) / (k + j + 1)).alias("t"), (a["s"] + a["t"]).alias("s")))
+        return F.least(F.lit(1.0), 2 * first * walk["s"])
+
+    return F.when(n == 0, F.lit(1.0)).otherwise(let(F.struct(n.alias("n"), k.alias("k")), tail))
 
 
 # ---------------------------------------------------------------- preference

@@ -24,7 +24,7 @@ def starts_in(spans: Column, sentence: Column, drop: Column | None = None) -> Co
 
 
 def _located(df: DataFrame, text: str, lex) -> DataFrame:
-    return df.withColumn("_sp", X.spans(text, lex)).withColumn("_so", X.sentence_offsets(text))
+    return X.held(X.held(df, "_sp", X.spans(text, lex)), "_so", X.sentence_offsets(text))
 
 
 def _cut(text, s: Column) -> Column:
@@ -36,12 +36,16 @@ def ablate(df: DataFrame, text: str, lex, drop: str | None = None, out: str = "a
 
     drop  array column of family names. Text without such a span is returned unchanged.
     """
-    d = _located(df, text, lex)
+    return _without(_located(df, text, lex), text, drop, out).drop("_sp", "_so")
+
+
+def _without(d: DataFrame, text: str, drop: str | None, out: str) -> DataFrame:
+    """`ablate` of texts whose spans and sentences are located."""
     dropped = F.col(drop) if drop else None
     named = F.col("_sp") if drop is None else F.filter("_sp", lambda p: F.array_contains(dropped, p["family"]))
     keep = F.filter("_so", lambda s: ~starts_in(F.col("_sp"), s, dropped))
     rebuilt = X.strip(F.array_join(F.transform(keep, lambda s: _cut(text, s)), " "))
-    return d.withColumn(out, F.when(F.size(named) == 0, F.col(text)).otherwise(rebuilt)).drop("_sp", "_so")
+    return d.withColumn(out, F.when(F.size(named) == 0, F.col(text)).otherwise(rebuilt))
 
 
 def supply_variants(runs: DataFrame, lex, keep: Sequence[str], upstream: str = "upstream", min_chars: int = 0) -> DataFrame:
@@ -51,12 +55,12 @@ def supply_variants(runs: DataFrame, lex, keep: Sequence[str], upstream: str = "
     """
     names = sorted(lexicon(lex))
     joined = F.array_join(F.filter(upstream, lambda t: t != ""), "\n\n")
-    present = runs.select(*keep, upstream, X.mask_names(X.families_mask(joined, lex), lex).alias("_fam"))
-    steps = present.select(*keep, upstream, "_fam", F.explode(F.sequence(F.lit(0), F.size("_fam"))).alias("kept"))
-    parts = steps.select(*keep, "kept", F.slice("_fam", F.col("kept") + 1, F.size("_fam")).alias("_drop"), F.posexplode_outer(upstream).alias("_i", "_t"))
-    # a removed sentence is removed from its own part, so parts are ablated one by one
-    cut = ablate(parts.where(F.col("_t").isNotNull()), "_t", lex, drop="_drop", out="_a")
-    cut = cut.withColumn("_m", X.families_mask("_a", lex))
+    present = X.held(runs.select(*keep, upstream), "_fam", X.mask_names(X.families_mask(joined, lex), lex))
+    # a removed sentence is removed from its own part, so parts are located and ablated one by one
+    parts = _located(present.select(*keep, "_fam", F.posexplode_outer(upstream).alias("_i", "_t")).where(F.col("_t").isNotNull()), "_t", lex)
+    steps = parts.select("*", F.explode(F.sequence(F.lit(0), F.size("_fam"))).alias("kept"))
+    cut = _without(steps.withColumn("_drop", F.slice("_fam", F.col("kept") + 1, F.size("_fam"))), "_t", "_drop", "_a")
+    cut = X.held(cut.select(*keep, "kept", "_i", "_a"), "_a", F.col("_a")).withColumn("_m", X.families_mask("_a", lex))
     # parts per run are as many as the run has sources
     g = cut.groupBy(*keep, "kept").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_i", "_a"))), lambda e: e["_a"]).alias("variant"),
@@ -142,7 +146,7 @@ def invention_pairs(refs: DataFrame, text: str, targets: str, injections: dict[s
             usable[fam] = s.strip()
     if not usable:
         raise ValueError("no injection exhibits its own family")
-    d = refs.withColumn("_so", X.sentence_offsets(text)).where(F.size("_so") > 0)
+    d = X.held(refs, "_so", X.sentence_offsets(text)).where(F.size("_so") > 0)
     at = F.get("_so", F.least(F.lit(1), F.size("_so") - 1))["start"]
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("s")) for f, s in usable.items()]))
     rows = d.select(*keep, text, targets, at.alias("_at"), each.alias("_e")).where(~F.array_contains(targets, F.col("_e.family")))

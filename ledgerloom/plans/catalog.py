@@ -45,10 +45,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def spread(self, name: str, *keys: str) -> DataFrame:
-        """A text table whose scan would leave cores idle is spread by key; larger scans stay as they are."""
-        df = self.read(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+        """A text table, spread by key where the session asks for it (`ledgerloom.spread`, off unless set).
+
+        One small file is one scan task; `local_session` sets it for that. On a cluster the scan's own splits stay.
+        """
+        tasks = int(self.spark.conf.get("ledgerloom.spread", "0"))
+        return self.read(name).repartition(tasks, *keys) if tasks else self.read(name)
 
     @cached_property
     def documents(self) -> DataFrame:

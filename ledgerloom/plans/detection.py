@@ -43,8 +43,8 @@ _covered = " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all(t, {
 
 @query("t4_spans", f"{DOC} SELECT doc_id, {K.total('t', LEX)}::INT AS n_spans, ({_covered})::BIGINT AS covered, least({_firsts})::INT AS first_start FROM d")
 def t4_spans(t):
-    """Exact character spans of every match (the one detector that needs Python), summarised per document."""
-    s = t.documents.select("doc_id", X.spans("text", LEX).alias("sp"))
+    """Exact character spans of every match, summarised per document."""
+    s = X.held(t.documents.select("doc_id", "text"), "sp", X.spans("text", LEX))
     return s.select("doc_id", F.size("sp").alias("n_spans"),
                     F.aggregate("sp", F.lit(0).cast("bigint"), lambda a, e: a + e["end"] - e["start"]).alias("covered"),
                     F.get("sp", F.lit(0))["start"].alias("first_start"))
@@ -56,7 +56,7 @@ def _t5_rows(fmt):
 
 
 def _hit(ps):
-    return " OR ".join(f"regexp_matches(t, {K.q('(?s)' + p if False else p)}, 'i')" for p in ps)
+    return " OR ".join(f"regexp_matches(t, {K.q(p)}, 'i')" for p in ps)
 
 
 @query("t5_property_classes", f"{DOC} " + " UNION ALL ".join(_t5_rows(

@@ -30,8 +30,8 @@ def v11_literal_hits(t):
 
 @query("v11_literal_hits_joined", f"""WITH {REG} SELECT doc_id, id FROM documents JOIN rg ON length(phrase) >= 8 AND contains(lower(text), lower(phrase))""")
 def v11_literal_hits_joined(t):
-    """The same containment through the window equi-join taken for registries above the broadcast limit."""
-    return D.literal_hits(t.documents, ["doc_id"], "text", registry(t), limit=0)
+    """The same containment in whole documents."""
+    return D.literal_hits(t.documents, ["doc_id"], "text", registry(t))
 
 
 @query("v11_dictation_gate", f"""WITH {REG} SELECT conv_id, turn, id FROM conversations JOIN rg ON contains(lower(text), lower(phrase))""")
@@ -59,7 +59,7 @@ _POOL = f"""{SENT}, {REG}, hit AS (SELECT DISTINCT doc_id, pos FROM se JOIN rg O
   fl AS (SELECT se.doc_id, se.pos, regexp_matches(source, '^src1?[02468]$') AS dictated, h.doc_id IS NOT NULL AS literal, {K.mask('t', LEX)} <> 0 AS construct
      FROM se LEFT JOIN hit h ON h.doc_id = se.doc_id AND h.pos = se.pos),
   pl AS (SELECT *, CASE WHEN dictated AND literal THEN 'POS' WHEN NOT dictated AND literal THEN 'OVER' WHEN NOT dictated AND construct THEN 'NEG' END AS pool FROM fl),
-  kp AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(doc_id || '|' || pos)) AS r FROM pl WHERE pool IS NOT NULL) WHERE r <= 100)"""
+  kp AS MATERIALIZED (SELECT * FROM pl WHERE pool IS NOT NULL)"""
 
 
 def _pools(t):
@@ -67,7 +67,7 @@ def _pools(t):
     hits = D.literal_hits(s, ["doc_id", "pos"], "s", registry(t)).select("doc_id", "pos").distinct().withColumn("literal", F.lit(True))
     f = s.select("doc_id", "pos", F.col("source").rlike("^src1?[02468]$").alias("dictated"), (X.families_mask("s", LEX) != 0).alias("construct"))
     f = f.join(hits, ["doc_id", "pos"], "left").withColumn("literal", F.coalesce("literal", F.lit(False)))
-    return D.pools(f, ["doc_id", "pos"], cap=100)
+    return D.pools(f, ["doc_id", "pos"])
 
 
 @query("v13_dictation_pools", f"{_POOL} SELECT doc_id, pos::INT AS pos, pool FROM kp")
@@ -75,6 +75,12 @@ def v13_dictation_pools(t):
     return _pools(t).select("doc_id", "pos", "pool")
 
 
+@query("v13_pool_counts", f"""{_POOL} SELECT pool, count(doc_id) AS available, count(doc_id) >= 30 AS enough
+  FROM (SELECT unnest(['POS', 'OVER', 'NEG']) AS pool) LEFT JOIN kp USING (pool) GROUP BY pool""")
+def v13_pool_counts(t):
+    return D.pool_counts(_pools(t))
+
+
 _olo, _ohi = K.wilson("k", "n")
 
 

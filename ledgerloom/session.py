@@ -25,4 +25,5 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("ledgerloom.spread", cores if cores.isdigit() else "8")
     return configure(spark)

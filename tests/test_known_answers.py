@@ -173,6 +173,20 @@ def test_spans_and_families_match_python(spark):
         assert [tuple(x) for x in row.s] == want and row.f == sorted({f for *_, f in want})
 
 
+def test_spans_and_families_share_an_engine(spark):
+    """Control characters and Unicode white space count alike for families and spans; long texts keep their offsets."""
+    samples = [f"each{c}country stands" for c in "\x1c\x1f\x85\u00a0\u2003\u200b\n\t"] + ["\U0001f600 each country. " * 700, "each country"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string")
+    got = df.select("i", "t", X.families("t", "epistemic").alias("f"), X.spans("t", "epistemic").alias("s"), X.sentence_offsets("t").alias("o"))
+    for r in got.collect():
+        assert r.f == sorted({x.family for x in r.s})
+    long = next(r for r in got.collect() if r.i == len(samples) - 2)
+    assert [x.start for x in long.s if x.family == "jurisd"] == [16 * k + 2 for k in range(700)]
+    assert [(x.start, x.end) for x in long.o] == [(16 * k, 16 * k + 15) for k in range(700)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_sentence_offsets_agree_with_sentences(spark):
     df = spark.createDataFrame([("One. Two?  Three\n\nfour! \n five",), ("",), ("no end",)], "t string")
     for r in df.select("t", X.sentences("t").alias("s"), X.sentence_offsets("t").alias("o")).collect():
@@ -183,8 +197,26 @@ def test_literal_hits_both_ways(spark):
     texts = spark.createDataFrame([(1, "Alpha bravo charlie delta"), (2, "xALPHA BRAVO Cy"), (3, "nothing"), (4, None)], "k int, t string")
     reg = spark.createDataFrame([(10, "alpha bravo c"), (11, "bravo charlie"), (12, "delta"), (13, "Alpha Bravo C")], "id int, phrase string")
     want = {(1, 10), (2, 10), (1, 11), (1, 13), (2, 13)}
-    for limit in (100, 1):
-        assert {tuple(r) for r in dictation.literal_hits(texts, ["k"], "t", reg, limit=limit).collect()} == want
+    assert {tuple(r) for r in dictation.literal_hits(texts, ["k"], "t", reg).collect()} == want
+    short = spark.createDataFrame([(1, "a"), (2, "zz"), (3, "delta" * 9)], "id int, phrase string")
+    assert {tuple(r) for r in dictation.literal_hits(texts, ["k"], "t", short, min_len=1).collect()} == {(1, 1), (2, 1)}
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_literal_hits_null_and_repeated_keys(spark, monkeypatch, limit):
+    """Broadcast or shuffled, every row of the texts has its own hits."""
+    monkeypatch.setattr(dictation, "BROADCAST_ANCHORS", limit)
+    texts = spark.createDataFrame([(None, "alpha bravo charlie"), (1, "alpha bravo charlie"), (1, "alpha bravo charlie"), (1, "other words")], "k int, t string")
+    reg = spark.createDataFrame([(10, "alpha bravo"), (10, "alpha bravo"), (11, "")], "id int, phrase string")
+    got = sorted((r.k is None, r.id) for r in dictation.literal_hits(texts, ["k"], "t", reg).collect())
+    assert got == [(False, 10), (False, 10), (True, 10)]
+
+
+def test_literal_hits_of_a_large_registry(spark):
+    """A registry beyond 100,000 phrases answers as its part that can hit."""
+    reg = spark.range(120_000).select(F.col("id"), F.concat(F.lit("phrase number "), F.col("id"), F.lit(" ends")).alias("phrase"))
+    texts = spark.createDataFrame([(1, "x phrase number 77 ends, Phrase Number 119999 ends"), (2, "phrase number 120001 ends")], "k int, t string")
+    assert {tuple(r) for r in dictation.literal_hits(texts, ["k"], "t", reg).collect()} == {(1, 77), (1, 119999)}
 
 
 def test_sign_test_is_exact(spark):
@@ -196,6 +228,9 @@ def test_sign_test_is_exact(spark):
         n, k = r.w + r.l, max(r.w, r.l)
         want = min(1.0, 2 * sum(comb(n, i) for i in range(k, n + 1)) / 2 ** n) if n else 1.0
         assert r.p == pytest.approx(want)
+    large = spark.createDataFrame([(50_000_000, 50_000_000), (50_005_000, 49_995_000), (10**9, 0)], "w long, l long")
+    p = [r.p for r in large.select(L.sign_test("w", "l").alias("p")).collect()]
+    assert p[0] == 1.0 and p[1] == pytest.approx(math.erfc(0.9999 / 2 ** 0.5), rel=1e-4) and p[2] == 0.0
 
 
 def test_auc_and_youden_by_brute_force(spark):
