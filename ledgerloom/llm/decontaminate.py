@@ -15,6 +15,7 @@ every window of L words of every document is judged by exact weighted Jaccard si
 4. Verification of the candidates on the full bags.
 
 Null and empty texts, and items of fewer than five words, match nothing. Rows that repeat id and text share a verdict.
+Items that share an item_id, or have none, are judged text by text, and the best one is reported.
 Items' shingles are broadcast up to BROADCAST_ROWS of them (24 bytes each), beyond that everything is an ordinary join.
 """
 
@@ -98,7 +99,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     near = prints.join(small(items.select("item_id", "item_key", "n", "ifp", "b.*")), ["n", "block", "value"]).where(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key, "item_id", "item_key").distinct()
     both = near.join(inside, key).join(small(bag.select("item_id", "item_key", "g", F.col("w").alias("iw"))), ["item_id", "item_key", "g"])
-    shared = both.groupBy(*key, "item_id").agg(F.sum(F.least("w", "iw")).alias("c"))
+    # Per text of an item: several may share an item_id, and all without one share -1.
+    shared = both.groupBy(*key, "item_id", "item_key").agg(F.sum(F.least("w", "iw")).alias("c"))
     sure = shared.withColumn("similarity", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).where(F.col("similarity") >= threshold - 1e-12)
     best = sure.groupBy("k1", "k2", "item_id").agg(F.max(F.struct("similarity", -F.col("at"))).alias("best"))
     return best.select(F.when(F.col("k1") != F.lit(-(1 << 63)), F.col("k1")).alias("doc_id"), "k1", "k2", "item_id",

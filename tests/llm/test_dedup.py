@@ -1,11 +1,14 @@
 """Exact and near deduplication, decontamination: against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
+from corpus_text import prose
+
 from ledgerloom.llm import decontaminate, exact_dedup, minhash, suffix_dedup
 
 WHITE = "[\x20\x09-\x0d]"
@@ -119,6 +122,26 @@ def test_leaks(spark, docs, corpus):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(r for r in corpus if r not in bad)
 
 
+@pytest.mark.parametrize("id", [3, None])
+def test_leaks_shared_id(spark, id):
+    rng = random.Random(11)
+    a, b, c, d = (prose(rng, 34).split() for _ in range(4))
+    other = lambda n: prose(rng, n).split()
+    half = a[:26] + other(8)  # two items that share most of a window each, neither of them enough
+    rest = other(8) + a[8:]
+    items = [(id, " ".join(half)), (id, " ".join(rest)), (id, " ".join(b)), (id, " ".join(b).upper()),
+             (id, ", ".join(c)), (id, " ".join(c)), (id, "; ".join(c).title()), (9, " ".join(d))]
+    corpus = [(0, " ".join(other(30) + a + other(30))), (1, " ".join(other(30) + b + other(30))),
+              (2, " ".join(c + other(30))), (4, " ".join(other(9) + d)), (5, " ".join(other(80)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontaminate.matches(docs, bench).collect()}
+    shared = -1 if id is None else id
+    assert got == {(1, shared, 1.0), (2, shared, 1.0), (4, 9, 1.0)}
+    assert {(i, k) for i, k, _ in got} == {(i, -1 if k is None else k) for i, k in leaks_brute(corpus, items)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {0, 5}
+
+
 def test_leaks_empty(spark, docs, none):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.matches(none, bench).count() == 0
