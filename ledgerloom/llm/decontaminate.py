@@ -8,11 +8,14 @@ every window of L words of every document is judged by exact weighted Jaccard si
    least 2nt / (1 + t) of its shingles are such positions, so windows that hold fewer are left out without loss; and as a
    window may be moved right past a position that is none, windows start at such positions or end with the text.
    A text shorter than the item is one window.
-2. Fingerprints: 64-bit SimHash of each window left and each item, every shingle voting with its weight.
+2. Fingerprints: 64-bit SimHash of each window left and each item in which no shingle repeats.
 3. Multi-index: the fingerprint is cut into RADIUS + 1 blocks. Two fingerprints within the radius agree in one block at
-   least, so joining on (L, block, value) finds all of them. RADIUS lies 4.6 deviations above the distance expected at
-   the threshold.
+   least, so joining on (L, block, value) finds all of them. Without repeats the cosine of a pair at THRESHOLD is 8/9 at
+   least, and RADIUS lies 4.6 deviations above the distance expected there: by the binomial tail one such window of
+   100,000 is lost. A lower threshold than THRESHOLD would need a wider radius.
 4. Verification of the candidates on the full bags.
+5. Where a shingle repeats in the window or the item, the cosine may be far lower at the same similarity. Such pairs are
+   judged by their exact overlap without fingerprints.
 
 Null and empty texts, and items of fewer than five words, match nothing. Rows that repeat id and text share a verdict.
 Items that share an item_id, or have none, are judged text by text, and the best one is reported.
@@ -46,6 +49,11 @@ def grams(df: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     return df.select(*columns, let(words(F.col(text)), shingles).alias("sh"))
 
 
+def repeats(sh):
+    """Whether a shingle occurs more than once."""
+    return let(F.col(sh), lambda g: F.size(F.array_distinct(g)) < F.size(g))
+
+
 def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
     """SimHash of the rows' `g` with weight `w`, per group."""
     votes = [F.sum(F.when(F.getbit("g", F.lit(b)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"v{b}") for b in range(BITS)]
@@ -68,8 +76,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     """One row per document and item found in it: doc_id, k1, k2, item_id, similarity, at (first word of the best window)."""
     bench = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bench = bench.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.xxhash64("text").alias("item_key"), "text").distinct()
-    bag = cut(grams(bench, ["item_id", "item_key"]).select("item_id", "item_key", F.size("sh").alias("n"), F.explode("sh").alias("g"))
-              .groupBy("item_id", "item_key", "n", "g").agg(F.count("*").alias("w")), "items")
+    bag = cut(grams(bench, ["item_id", "item_key"]).select(
+        "item_id", "item_key", F.size("sh").alias("n"), repeats("sh").alias("again"), F.explode("sh").alias("g"))
+              .groupBy("item_id", "item_key", "n", "again", "g").agg(F.count("*").alias("w")), "items")
     few = bag.count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
 
@@ -92,15 +101,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     texts = base.join(window.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     inside = grams(texts, ["k1", "k2"]).join(window, ["k1", "k2"])
     key = ["k1", "k2", "n", "at", "m"]
-    inside = cut(inside.select(*key, F.explode(F.slice("sh", F.col("at") + 1, F.col("m"))).alias("g"))
-                 .groupBy(*key, "g").agg(F.count("*").alias("w")), "bags")
-    prints = fingerprint(inside, key).select(*key, "fp", blocks(F.col("fp")).alias("b")).select(*key, "fp", "b.*")
-    items = fingerprint(bag, ["item_id", "item_key", "n"]).select("item_id", "item_key", "n", F.col("fp").alias("ifp"), blocks(F.col("fp")).alias("b"))
+    inside = inside.select(*key, F.slice("sh", F.col("at") + 1, F.col("m")).alias("sh"))
+    inside = cut(inside.select(*key, repeats("sh").alias("again"), F.explode("sh").alias("g"))
+                 .groupBy(*key, "again", "g").agg(F.count("*").alias("w")), "bags")
+    once, plain = inside.where(~F.col("again")).drop("again"), bag.where(~F.col("again"))
+    prints = fingerprint(once, key).select(*key, "fp", blocks(F.col("fp")).alias("b")).select(*key, "fp", "b.*")
+    items = fingerprint(plain, ["item_id", "item_key", "n"]).select("item_id", "item_key", "n", F.col("fp").alias("ifp"), blocks(F.col("fp")).alias("b"))
     near = prints.join(small(items.select("item_id", "item_key", "n", "ifp", "b.*")), ["n", "block", "value"]).where(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key, "item_id", "item_key").distinct()
-    both = near.join(inside, key).join(small(bag.select("item_id", "item_key", "g", F.col("w").alias("iw"))), ["item_id", "item_key", "g"])
+    weights = ["item_id", "item_key", "g", F.col("w").alias("iw")]
+    both = near.join(once, key).join(small(plain.select(*weights)), ["item_id", "item_key", "g"])
+    # Pairs with a repeat on either side, each met once.
+    exact = inside.where("again").drop("again").join(small(bag.select("n", *weights)), ["n", "g"]).unionByName(
+        once.join(small(bag.where("again").select("n", *weights)), ["n", "g"]))
     # Per text of an item: several may share an item_id, and all without one share -1.
-    shared = both.groupBy(*key, "item_id", "item_key").agg(F.sum(F.least("w", "iw")).alias("c"))
+    shared = both.unionByName(exact).groupBy(*key, "item_id", "item_key").agg(F.sum(F.least("w", "iw")).alias("c"))
     sure = shared.withColumn("similarity", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).where(F.col("similarity") >= threshold - 1e-12)
     best = sure.groupBy("k1", "k2", "item_id").agg(F.max(F.struct("similarity", -F.col("at"))).alias("best"))
     return best.select(F.when(F.col("k1") != F.lit(-(1 << 63)), F.col("k1")).alias("doc_id"), "k1", "k2", "item_id",

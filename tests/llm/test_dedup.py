@@ -142,6 +142,21 @@ def test_leaks_shared_id(spark, id):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {0, 5}
 
 
+def test_leaks_filler(spark):
+    """Where the tenth that differs is one repeated word, on the document's side or the item's."""
+    rng = random.Random(12)
+    plain = [prose(rng, 400).split() for _ in range(16)]
+    filled = [w[:360] + ["la"] * 40 for w in plain]
+    far = [w[:340] + ["la"] * 60 for w in plain]
+    items = [(k, " ".join(filled[k] if k % 2 else plain[k])) for k in range(16)]
+    corpus = [(k, " ".join(plain[k] if k % 2 else filled[k])) for k in range(16)]
+    corpus += [(20 + k, " ".join(plain[k] if k % 2 else far[k]) + " " + prose(rng, 9)) for k in range(0, 4)]
+    want = leaks_brute(corpus, items)
+    assert {(k, k) for k in range(16)} <= want and not {(20, 0), (22, 2)} & want
+    got = decontaminate.matches(spark.createDataFrame(corpus, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_leaks_empty(spark, docs, none):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert decontaminate.matches(none, bench).count() == 0
