@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators.dictation import literal_hits
 
 
 def problems(min_output_chars: int = 500, require_writer_prompt: bool = False) -> Column:
@@ -208,6 +209,16 @@ def ground_quotes(df: DataFrame, quotes: str, text: str, min_len: int = 15, rule
         "verified", X.let(X.norm(text, rule), lambda body: F.forall(used, lambda q: F.contains(body, q))))
 
 
+def leak_screen(prompts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
+    """The prompts that hold no reserved term, case-folded and of any length; null and empty terms reserve nothing.
+
+    Prompts are judged by their text: rows without a key or with a repeated one are told apart, null texts stay.
+    """
+    reserved = terms.select(F.col(term).alias("phrase"), F.lower(term).alias("id"))
+    hits = literal_hits(prompts.select(text).distinct(), [text], text, reserved, min_len=1)
+    return prompts.join(hits.select(text).distinct(), text, "left_anti").select(*prompts.columns)
+
+
 def hold_out(runs: DataFrame, reserved: DataFrame, key: str, text: str = "output", min_chars: int = 800) -> DataFrame:
     """Runs outside the reserved cases whose base text is long enough."""
     return runs.where(F.length(text) >= min_chars).join(reserved, key, "left_anti")

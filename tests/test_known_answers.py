@@ -319,3 +319,13 @@ def test_diagnosis_of_splices(spark):
     assert (got["cut"].differing, got["cut"].off_feature) == (4 / 14, 0.0)
     assert (got["same"].differing, got["none"].differing) == (0.0, 0.0)
     assert (got["word"].differing, got["word"].off_feature) == (2 / 18, 1.0)
+
+
+def test_leak_screen_of_short_terms(spark):
+    prompts = spark.createDataFrame(
+        [(1, "Early SEPSIS signs"), (1, "nothing here"), (None, "a DiGA app"), (None, "plain"), (2, "on GLP-1 now"), (3, None), (4, ""), (5, "a \u00b5 sign")],
+        "k int, text string")
+    terms = spark.createDataFrame([("sepsis",), ("diga",), ("GLP-1",), ("\u00b5",), ("",), (None,)], "term string")
+    kept = sorted((r.k or 0, r.text or "") for r in P.leak_screen(prompts, terms).collect())
+    assert kept == [(0, "plain"), (1, "nothing here"), (3, ""), (4, "")]
+    assert P.leak_screen(prompts, terms.limit(0)).count() == 8
