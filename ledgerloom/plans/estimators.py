@@ -513,10 +513,10 @@ def v10_stage_composition(t):
     return rounded(E.stage_composition(tr, "s", "l", "o"))
 
 
-def _e36() -> str:
+def _e36(draws: int = 400) -> str:
     return f"""WITH d AS MATERIALIZED (SELECT lang, doc_id, {K.total(K.ascii_text('text'), LEX)} / length(text)::DOUBLE * 1000 AS dn FROM documents WHERE length(text) > 0),
-  {K.boot('bo', 'd', ['lang'], ['dn'], key=['doc_id'], draws=400)},
-  ci AS (SELECT lang, {K.ci('dn / nullif(n, 0)', 'truncate', 400)[0]} AS lo, {K.ci('dn / nullif(n, 0)', 'truncate', 400)[1]} AS hi FROM bo GROUP BY 1),
+  {K.boot('bo', 'd', ['lang'], ['dn'], key=['doc_id'], draws=draws)},
+  ci AS (SELECT lang, {K.ci('dn / nullif(n, 0)', 'truncate', draws)[0]} AS lo, {K.ci('dn / nullif(n, 0)', 'truncate', draws)[1]} AS hi FROM bo GROUP BY 1),
   po AS (SELECT lang, count(*) AS n, avg(dn) AS mean FROM d GROUP BY 1)
   SELECT lang, n, round(mean, 5) AS mean, round(lo, 5) AS mean_lo, round(hi, 5) AS mean_hi FROM po JOIN ci USING (lang)"""
 
@@ -530,6 +530,15 @@ def e36_mean_interval(t):
     return rounded(out.select("lang", "n", "mean", F.col("mean_lo"), F.col("mean_hi")), 5)
 
 
+@query("e36_mean_interval_full", _e36(2000))
+def e36_mean_interval_full(t):
+    """The same with the operator's default draws."""
+    d = t.documents.where(F.length("text") > 0).select(
+        "lang", "doc_id", (X.total_count("text", LEX) / F.length("text") * 1000).alias("dn"))
+    out = E.mean_interval(d, ["lang"], ["doc_id"], "dn")
+    return rounded(out.select("lang", "n", "mean", F.col("mean_lo"), F.col("mean_hi")), 5)
+
+
 @query("e40_decorrelation", f"""{BASE}, j AS (SELECT prompt_id, supply::INT AS s, count(*) AS c FROM aud GROUP BY 1, 2),
   pm AS (SELECT prompt_id, sum(c) AS a FROM j GROUP BY 1), sm AS (SELECT s, sum(c) AS b FROM j GROUP BY 1),
   n AS (SELECT sum(c) AS n, count(DISTINCT prompt_id) AS n_prompts FROM j),
