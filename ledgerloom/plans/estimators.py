@@ -60,23 +60,31 @@ def e3_bootstrap_ols(t):
 
 
 # The classical scheme: n slots per draw, each hashed to one of the group's runs, which rank by the digest of their id.
-_SLOTS = f"""{BASE}, mu AS MATERIALIZED (SELECT condition, x, y, row_number() OVER g - 1 AS j, count(*) OVER (PARTITION BY condition) AS n
+def _slots(draws: int = 200) -> str:
+    return f"""{BASE}, mu AS MATERIALIZED (SELECT condition, x, y, row_number() OVER g - 1 AS j, count(*) OVER (PARTITION BY condition) AS n
     FROM use WINDOW g AS (PARTITION BY condition ORDER BY md5(run_id::VARCHAR), run_id)),
   sl AS (SELECT condition, draw, ('0x' || substr(md5(concat_ws('|', '0', draw::VARCHAR, j::VARCHAR)), 1, 15))::BIGINT % n AS j
-    FROM mu CROSS JOIN (SELECT unnest(range(0, 200)) AS draw)),
+    FROM mu CROSS JOIN (SELECT unnest(range(0, {draws})) AS draw)),
   md AS (SELECT sl.condition, draw, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy
     FROM sl JOIN mu ON mu.condition IS NOT DISTINCT FROM sl.condition AND mu.j = sl.j GROUP BY 1, 2),
   mv AS (SELECT condition, {K.slope()} AS w, {K.intercept()} AS c FROM md),
-  mq AS (SELECT condition, {K.ci("w", draws=200)[0]} AS w_lo, {K.ci("w", draws=200)[1]} AS w_hi,
-    {K.ci("c", draws=200)[0]} AS c_lo, {K.ci("c", draws=200)[1]} AS c_hi FROM mv GROUP BY condition)"""
+  mq AS (SELECT condition, {K.ci("w", draws=draws)[0]} AS w_lo, {K.ci("w", draws=draws)[1]} AS w_hi,
+    {K.ci("c", draws=draws)[0]} AS c_lo, {K.ci("c", draws=draws)[1]} AS c_hi FROM mv GROUP BY condition)"""
 
 
-@query("e3_bootstrap_multinomial", f"""{_SLOTS} SELECT condition, round(w_lo, 6) AS w_lo, round(w_hi, 6) AS w_hi,
+@query("e3_bootstrap_multinomial", f"""{_slots()} SELECT condition, round(w_lo, 6) AS w_lo, round(w_hi, 6) AS w_hi,
   round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM mq""")
 def e3_bootstrap_multinomial(t):
     return rounded(E.ols_interval_classical(t.audited(), ["condition"], ["run_id"], draws=200))
 
 
+@query("e3_bootstrap_multinomial_full", f"""{_slots(2000)} SELECT condition, round(w_lo, 6) AS w_lo, round(w_hi, 6) AS w_hi,
+  round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM mq""")
+def e3_bootstrap_multinomial_full(t):
+    """The same with the operator's default draws."""
+    return rounded(E.ols_interval_classical(t.audited(), ["condition"], ["run_id"]))
+
+
 @query("e4_bootstrap_quadratic", f"""{BASE}, {_fits()} SELECT condition, round(quad_lo, 6) AS quad_lo,
   round(quad_hi, 6) AS quad_hi FROM b_ci""")
 def e4_bootstrap_quadratic(t):
