@@ -38,6 +38,12 @@ def settled(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def byte_bound(spark: SparkSession, size: int = 16 << 20) -> SparkSession:
+    """As `settled`, with Arrow batches of at most `size` bytes or one longer row."""
+    settled(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, decontaminate, exact_dedup, minhash, quality, suffix_dedup, token_counts, token_files, toxicity
+from ledgerloom.llm import (bpe, chat, decontaminate, exact_dedup, minhash, quality, search, spelling, suffix_dedup, token_counts,
+                            token_files, toxicity, warc)
 from ledgerloom.llm.common import settled, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,72 @@ def op10(spark, sf_dir):
     folder = f"{shared_dir(spark)}/ledgerloom-tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end=2)
     return token_files.read(spark, folder, ids=False)
+
+
+@query("op11_warc", r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+    q AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+               (CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) // (32768 // (32 ** (i % 4))::BIGINT)) % 32 + 1 AS INT), 1)), '')
+               AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM q""")
+def op11(spark, sf_dir):
+    """Every page written to WARC archives and read back from them."""
+    folder = f"{shared_dir(spark)}/ledgerloom-warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    field = F.col("headers")
+    return warc.records(spark, folder, payload=False).select(
+        field["page-id"].cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        field["refers-to-page-id"].cast("long").alias("refers_to"))
+
+
+@query("op12_search", r"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM d WHERE len(t) > 0),
+    tf AS (SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+           FROM (SELECT row, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, c GROUP BY term, docs),
+    q AS (SELECT row, item_id, term, CAST(count(*) AS BIGINT) AS q FROM (SELECT row_number() OVER () AS row, item_id, unnest(regexp_extract_all(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+    s AS (SELECT q.row, item_id, tf.row AS doc, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op12(spark, sf_dir):
+    """The twenty documents that rank highest for each benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spelling", r"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0],
+                       lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t),
+    r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+              FROM documents) GROUP BY ALL),
+    b AS (SELECT doc_id, run, k, list_transform(flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128
+              THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)), lambda x: x::BIGINT) AS bytes, t FROM r, crc),
+    h AS (SELECT doc_id, run, k, xor(list_reduce(list_concat([4294967295::BIGINT], bytes),
+              lambda a, x: xor(t[xor(a % 256, x) + 1], a // 256)), 4294967295::BIGINT) AS h FROM b),
+    e AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) + 2 AS INT))
+                    ELSE run END AS word FROM h),
+    v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+    x AS (SELECT word, n, CAST(i AS INT) AS i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i + 2 AS INT)) AS cut
+          FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    p AS (SELECT a.word AS word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+                 AND length(a.word) = length(b.word)
+          UNION SELECT a.word, b.word, b.n FROM x a JOIN v b ON a.cut = b.word
+          UNION SELECT b.word, a.word, a.n FROM x a JOIN v b ON a.cut = b.word),
+    g AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM p GROUP BY word),
+    f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form,
+                 CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM v LEFT JOIN g USING (word)),
+    t AS (SELECT word, word AS at FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.at = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t USING (word) JOIN f e ON e.word = t.at WHERE e.form IS NULL""")
+def op13(spark, sf_dir):
+    """Words of all documents, some of them edited, with the frequent form near each."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
