@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+def cut(df: DataFrame, what: str = "cut", **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

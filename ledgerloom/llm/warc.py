@@ -61,7 +61,7 @@ def routed(pages: DataFrame, least: int, id: str, url: str, html: str) -> DataFr
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
     rows = cut(pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
-               .withColumn("digest", F.unhex(F.sha1("payload"))), "pages")
+               .withColumn("digest", F.unhex(F.sha1("payload"))), "pages", compression="zstd")
     rows = rows.select("*", F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
                        .alias("row")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     place = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row")
