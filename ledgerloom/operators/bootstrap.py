@@ -10,15 +10,25 @@ poisson      (default) each unit of each draw gets a Poisson(1) weight from a ha
 multinomial  the classical scheme, n slots filled by hashed unit index. It makes n rows per draw and
              joins them back, so its cost is rows times draws.
 
+Keyed units take Poisson weights too, each a row of its own: a task multiplies the weights of a block of units (draws
+wide, from digests) with their statistics and keeps the sums, so what it passes on is draws times statistics per group and
+not units times draws.
+
 Every draw depends on (seed, draw, unit key) alone: results do not change with partitioning or retries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.functions import stats as S
 from ledgerloom.functions.groups import join_groups
@@ -28,6 +38,8 @@ from ledgerloom.functions.text import let
 REJECTION = 16
 #: Tries of the sampler. One is accepted with probability 0.8 or more, so all of them fail in less than one of 10^16 draws.
 TRIES = 24
+#: Keyed units whose weights are held at once, and bytes of sums that a task holds before it passes them on.
+UNITS, HELD = 256, 64 << 20
 
 
 def _key(cols: Sequence[str]):
@@ -35,17 +47,65 @@ def _key(cols: Sequence[str]):
 
 
 def draws_of(units: DataFrame, by: Sequence[str], stats: Sequence[str], key: Sequence[str] | None = None,
-             draws: int = 2000, seed: int = 0) -> DataFrame:
+             draws: int = 2000, seed: int = 0, spread: bool = True) -> DataFrame:
     """Weighted sums per draw: columns by..., draw, n (total weight), and one sum per statistic.
 
-    units  one row per resampled unit, numeric statistic columns
-    key    unit identity columns; without it units with equal statistics are merged into cells
+    units   one row per resampled unit, numeric statistic columns
+    key     unit identity columns; without it units with equal statistics are merged into cells
+    spread  deal keyed units out to all tasks first; not needed where they come from a scan of many splits
     """
     by, stats = list(by), list(stats)
     if key is None:
         return draws_of_cells(units.groupBy(*by, *stats).agg(F.count("*").alias("_m")), by, stats, draws, seed)
-    cells = units.withColumn("_m", F.lit(1).cast("bigint"))
-    return _draw(cells, by, stats, _key(by + list(key)), draws, seed, single=True)
+    keyed = units.select(*by, *[F.col(x).cast("double").alias(x) for x in stats], _key(by + list(key)).alias("_id"))
+    if spread:
+        keyed = keyed.repartition(max(1, keyed.sparkSession.sparkContext.defaultParallelism), "_id")
+    return _keyed(keyed, by, stats, draws, seed)
+
+
+def unit_weights(ids: Sequence[str], draws: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights, units by draws: four to a digest of (seed, block of draws, 1, unit)."""
+    md5 = hashlib.md5
+    heads = [f"{seed}|{block}|1|".encode() for block in range(draws // 4)]
+    raw = b"".join([md5(h + i).digest() for i in [x.encode() for x in ids] for h in heads])
+    u = np.frombuffer(raw, ">u4").reshape(len(ids), draws) / 4294967296.0
+    return np.searchsorted(np.array(S.POISSON_CDF), u, side="right").astype(np.float64)
+
+
+def _keyed(units: DataFrame, by: list[str], stats: list[str], draws: int, seed: int) -> DataFrame:
+    """Sums per group and draw of units (by, stats as doubles, _id), reduced in the tasks first."""
+    if draws % 4:
+        raise ValueError("draws come four to a digest; use a multiple of four")
+    double = T.DoubleType()
+    schema = T.StructType([*[units.schema[b] for b in by], T.StructField("draw", T.IntegerType()),
+                           *[T.StructField(c, double) for c in ("n", *stats)]])
+    arrow = to_arrow_schema(schema)
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flushed():
+            for group, sums in held.items():
+                yield pa.record_batch([*[pa.array([g] * draws, f.type) for g, f in zip(group, arrow)], pa.array(range(draws), pa.int32()),
+                                       *[pa.array(col) for col in sums.T]], schema=arrow)
+            held.clear()
+        for batch in batches:
+            groups = list(zip(*[batch.column(b).to_pylist() for b in by])) if by else [()] * batch.num_rows
+            ids = batch.column("_id").to_pylist()
+            values = np.column_stack([np.ones(len(ids)), *[pc.fill_null(batch.column(x), 0.0).to_numpy(zero_copy_only=False) for x in stats]])
+            for at in range(0, len(ids), UNITS):
+                weights = unit_weights(ids[at:at + UNITS], draws, seed)
+                rows: dict[tuple, list[int]] = {}
+                for k, group in enumerate(groups[at:at + UNITS]):
+                    rows.setdefault(group, []).append(k)
+                for group, which in rows.items():
+                    sums = weights[which].T @ values[at:at + UNITS][which]
+                    held[group] = held[group] + sums if group in held else sums
+                if len(held) * draws * values.shape[1] * 8 > HELD:
+                    yield from flushed()
+        yield from flushed()
+
+    return units.mapInArrow(summed, schema).groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in ("n", *stats)])
 
 
 def draws_of_cells(cells: DataFrame, by: Sequence[str], stats: Sequence[str], draws: int = 2000,
@@ -54,23 +114,19 @@ def draws_of_cells(cells: DataFrame, by: Sequence[str], stats: Sequence[str], dr
 
     ident  columns that identify a cell, where not all of by and stats are needed
     """
-    return _draw(cells, list(by), list(stats), _key(list(ident or [*by, *stats])), draws, seed, single=False)
+    return _draw(cells, list(by), list(stats), _key(list(ident or [*by, *stats])), draws, seed)
 
 
-def _draw(cells, by, stats, ident, draws, seed, single):
+def _draw(cells, by, stats, ident, draws, seed):
     if draws % 4:
         raise ValueError("draws come four to a digest; use a multiple of four")
     cells = cells.select(*by, *stats, "_m", ident.alias("_id"))
 
-    # Units are few, small rows; the work is in the draws. Cells spread by draw block and keyed units by
-    # unit, so no task holds all of it; the sums combine map-side before the second exchange.
+    # Cells are few, small rows; the work is in the draws, so they spread by draw block and no task holds all of it;
+    # the sums combine map-side before the second exchange.
     tasks = max(1, cells.sparkSession.sparkContext.defaultParallelism)
-    few = cells.where(F.col("_m") < REJECTION)
-    if single:
-        few = few.repartition(tasks, "_id")
-    few = few.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))))
-    if not single:
-        few = few.repartition(min(tasks, draws // 4), "_blk")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1)))
+    few = cells.where(F.col("_m") < REJECTION).withColumn("_blk", blocks).repartition(min(tasks, draws // 4), "_blk")
     small = (
         few.withColumn("_slot", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))))
         .withColumn("_d", F.md5(F.concat_ws("|", F.lit(seed), F.col("_blk"), F.col("_slot"), F.col("_id"))))
@@ -81,10 +137,8 @@ def _draw(cells, by, stats, ident, draws, seed, single):
         *by, *stats, F.col("_e.draw").alias("draw"), S.poisson_one("_e.u").cast("double").alias("_w"))
     small = small.groupBy(*by, "draw").agg(
         F.sum("_w").alias("n"), *[F.sum(F.col("_w") * F.col(s)).alias(s) for s in stats])
-    if single:
-        return small
 
-    large = cells.where(F.col("_m") >= REJECTION).withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))))
+    large = cells.where(F.col("_m") >= REJECTION).withColumn("_blk", blocks)
     large = large.repartition(min(tasks, draws // 4), "_blk").withColumn(
         "draw", F.explode(F.array(*[F.col("_blk") * 4 + q for q in range(4)])))
     w = poisson_many("_m", lambda i: F.md5(F.concat_ws("|", F.lit(seed), F.lit("z"), F.col("draw"), i, F.col("_id"))))

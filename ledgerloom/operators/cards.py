@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import stats as S
 from ledgerloom.functions import text as X
+from ledgerloom.functions.groups import join_groups
 from ledgerloom.lexicons import lexicon
 from ledgerloom.operators import detection as D
 from ledgerloom.operators import estimators as E
@@ -166,7 +167,9 @@ def parameter_cards(runs: DataFrame, lex, by: str = "condition", draws: int = 20
     cl = E.clean_rate(a, [by]).select(by, "p0", "lam", "worst_supply", "p_worst")
     need = E.draws_needed(a, [by])
     sp = E.span_fraction(usable, lex, [by]).select(by, "f_median", "dilution")
-    out = counts.join(sh, by, "left").join(cl, by, "left").join(need, by, "left").join(sp, by, "left")
+    out = counts
+    for part in (sh, cl, need, sp):
+        out = join_groups(out, part, [by], "left")
     return out.select(by, "supplied", "used", "w", "w_lo", "w_hi", "c", "c_lo", "c_hi",
                       F.coalesce("verdict", F.lit("no usable records")).alias("verdict"), F.coalesce("identifiable", F.lit(False)).alias("identifiable"),
                       "p0", "lam", "worst_supply", "p_worst", "n_needed", "basis", "f_median", "dilution")

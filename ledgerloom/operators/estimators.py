@@ -170,7 +170,7 @@ def corner_verdict(cards: DataFrame, strata_table: DataFrame, by: Sequence[str]
     step = F.lag("mean_emitted").over(Window.partitionBy(*by).orderBy("supply"))
     mono = strata_table.withColumn("_up", F.coalesce(F.col("mean_emitted") >= step - 0.05, F.lit(True))).groupBy(
         *by).agg(F.every("_up").alias("monotone"))
-    j = cards.join(mono, by, "left")
+    j = join_groups(cards, mono, by, "left")
     register = F.col("w_hi") <= 0.15
     faithful = (F.col("w_lo") >= 0.85) & (F.col("c_hi") <= 0.15)
     ex_register = F.col("w_lo") > 0.15
@@ -225,7 +225,7 @@ def best_of_n(audited: DataFrame, by: Sequence[str] = ("condition",), max_n: int
     cells = clean_cells(audited, by)
     worst = worst_stratum(cells, by).select(*by, "worst_supply", "p_worst")
     shapes = cells.where("n >= 2").groupBy(*by, "supply", "n", "k").agg(F.count("*").alias("cells"))
-    s = shapes.join(worst, by).withColumn("_at", F.col("supply") == F.col("worst_supply"))
+    s = join_groups(shapes, worst, by).withColumn("_at", F.col("supply") == F.col("worst_supply"))
     curve = []
     for n in range(1, max_n + 1):
         miss = F.lit(1.0)
@@ -239,7 +239,7 @@ def best_of_n(audited: DataFrame, by: Sequence[str] = ("condition",), max_n: int
         F.sum(F.col("e.hit") * F.col("cells")).alias("_h0"), F.sum("cells").alias("_c0"))
     at_worst = agg.where("draws = 1").select(*by, F.col("_c1").isNotNull().alias("_own"))
     base = worst.select(*by, "p_worst", F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("draws"))
-    j = base.join(at_worst, by, "left").join(agg, [*by, "draws"], "left")
+    j = join_groups(join_groups(base, at_worst, by, "left"), agg, [*by, "draws"], "left")
     own = F.coalesce("_own", F.lit(False))
     return j.select(
         *by, "draws", (1 - F.pow(1 - F.col("p_worst"), F.col("draws"))).alias("independent"),
@@ -254,7 +254,7 @@ def draws_needed(audited: DataFrame, by: Sequence[str] = ("condition",), target:
     curve = best_of_n(audited, by, max_n)
     one = curve.where("draws = 1").select(*by, (F.col("independent")).alias("_p"), F.col("cells").alias("_base"))
     grid = one.select(*by, "_p", "_base", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("draws"))
-    j = grid.join(curve.select(*by, "draws", "empirical", "cells"), [*by, "draws"], "left")
+    j = join_groups(grid, curve.select(*by, "draws", "empirical", "cells"), [*by, "draws"], "left")
     seen = (F.col("_base") > 0) & F.coalesce(F.col("cells") >= F.col("_base") * share, F.lit(False)) & F.col(
         "empirical").isNotNull()
     hit = F.when(seen, F.col("empirical") >= target).otherwise(
@@ -291,7 +291,7 @@ def two_instrument(primary: DataFrame, secondary: DataFrame, arm: str = "conditi
     p = primary.select(arm, F.col("diff_lo").alias("p_lo"), F.col("diff_hi").alias("p_hi"))
     s = secondary.select(arm, F.col("diff_lo").alias("s_lo"), F.col("diff_hi").alias("s_hi"))
     pd, sd = (F.col("p_lo") > 0) | (F.col("p_hi") < 0), (F.col("s_lo") > 0) | (F.col("s_hi") < 0)
-    return p.join(s, arm).select(
+    return join_groups(p, s, [arm]).select(
         arm, "p_lo", "p_hi", "s_lo", "s_hi",
         F.when(pd & sd & ((F.col("p_hi") < 0) == (F.col("s_hi") < 0)), "confirmed").when(pd & sd, "contradictory")
         .when(pd, "instrument-relative").when(sd, "secondary only").otherwise("none").alias("verdict"))
@@ -313,10 +313,10 @@ def check_comparable(runs: DataFrame, arm: str = "condition", prompt: str = "pro
     """Per arm: prompts, prompts not shared by all, writers, and whether it may be compared."""
     pairs = runs.groupBy(arm, prompt).agg(F.count("*").alias("_r"))
     shared = shared_prompts(pairs, arm, prompt).withColumn("_s", F.lit(1))
-    p = pairs.join(shared, prompt, "left").groupBy(arm).agg(
+    p = join_groups(pairs, shared, [prompt], "left").groupBy(arm).agg(
         F.count("*").alias("prompts"), F.count_if(F.col("_s").isNull()).alias("own_prompts"))
     w = runs.groupBy(arm).agg(F.count_distinct(writer).alias("writers"))
-    return p.join(w, arm).select("*", ((F.col("own_prompts") == 0) & (F.col("writers") <= 1)).alias("comparable"))
+    return join_groups(p, w, [arm]).select("*", ((F.col("own_prompts") == 0) & (F.col("writers") <= 1)).alias("comparable"))
 
 
 # ---------------------------------------------------------------- pooled and clustered
@@ -334,7 +334,7 @@ def meta(fits: DataFrame, est: str = "w", lo: str = "w_lo", hi: str = "w_hi", n:
     den = F.col("sw") - F.col("sww") / F.col("sw")
     tau2 = F.when(den > 1e-12, F.greatest(F.lit(0.0), (q - (F.col("k") - 1)) / den)).otherwise(F.lit(0.0))
     fe = fe.select(*by, "k", tau2.alias("tau2"))
-    j = use.join(fe, by) if by else use.join(F.broadcast(fe))
+    j = join_groups(use, fe, by) if by else use.join(F.broadcast(fe))
     w = 1 / (F.col("v") + F.col("tau2"))
     re = j.groupBy(*by).agg(F.max("k").alias("k"), F.max("tau2").alias("tau2"), F.sum(w).alias("sw"),
                             F.sum(w * F.col("e")).alias("swe"))
@@ -441,7 +441,7 @@ def cluster_difference(df: DataFrame, cluster: str, arm: str, a: str, b: str, nu
     drawn = draws_of(units, by, ["na", "da", "nb", "db"], key=[cluster], draws=draws, seed=seed)
     diff = S.ratio("na", "da") - S.ratio("nb", "db")
     ci = intervals(drawn, by, rule=rule, draws=draws, diff=diff)
-    out = point.join(ci, by, "left")
+    out = join_groups(point, ci, by, "left")
     usable = (F.col("clusters") >= min_clusters) & (F.col("da") > 0) & (F.col("db") > 0)
     keep = [x for x in by if x != "_all"]
     return out.select(
@@ -466,7 +466,7 @@ def cluster_slope(df: DataFrame, cluster: str, x: str, y: str, by: Sequence[str]
     drawn = draws_of(units, by, cols, key=[cluster], draws=draws, seed=seed)
     slope = S.ols_terms("m", "sx", "sy", "sxx", "sxy")["slope"]
     ci = intervals(drawn, by, rule=rule, draws=draws, slope=slope)
-    return point.join(ci, by, "left").select(*by, "clusters", F.col("m").cast("bigint").alias("n"), slope.alias("slope"),
+    return join_groups(point, ci, by, "left").select(*by, "clusters", F.col("m").cast("bigint").alias("n"), slope.alias("slope"),
                                              "slope_lo", "slope_hi")
 
 
@@ -531,7 +531,7 @@ def difference_in_differences(df: DataFrame, group: str, arm: str, a: str, b: st
     point = counted.groupBy(group).agg(
         did("_e", "_m").alias("did"), F.coalesce(F.sum(F.when(F.col("ch") == 0, F.col("_e"))), F.lit(0)).alias("events"))
     ok = F.col("events") >= min_events
-    return point.join(ci, group, "left").select(
+    return join_groups(point, ci, [group], "left").select(
         group, "events", F.when(ok, F.col("did")).alias("did"), F.when(ok, F.col("did_lo")).alias("did_lo"),
         F.when(ok, F.col("did_hi")).alias("did_hi"),
         F.when(~ok | F.col("did_lo").isNull(), "not evaluable").when(F.col("did_lo") > 0, "signature")
@@ -544,9 +544,9 @@ def mean_interval(df: DataFrame, by: Sequence[str], key: Sequence[str], value: s
     by = list(by)
     point = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     units = df.where(F.col(value).isNotNull()).select(*by, *key, value)
-    ci = intervals(draws_of(units, by, [value], key=key, draws=draws, seed=seed), by, rule="truncate", draws=draws,
+    ci = intervals(draws_of(units, by, [value], key=key, draws=draws, seed=seed, spread=False), by, rule="truncate", draws=draws,
                    mean=S.ratio(value, "n"))
-    return point.join(ci, by, "left")
+    return join_groups(point, ci, by, "left")
 
 
 def moved(a_lo, a_hi, b_lo, b_hi) -> Column:
@@ -624,7 +624,7 @@ def decorrelation(items: DataFrame, topic: str = "prompt_id", supply: str = "sup
     pm = joint.groupBy(topic).agg(F.sum("c").alias("a"))
     sm = joint.groupBy(supply).agg(F.sum("c").alias("b"))
     n = joint.agg(F.sum("c").alias("n"), F.count_distinct(topic).alias("n_prompts"))
-    mi = joint.join(pm, topic).join(F.broadcast(sm), supply).join(F.broadcast(n)).agg(
+    mi = join_groups(join_groups(joint, pm, [topic]), sm, [supply]).join(F.broadcast(n)).agg(
         F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
     h = sm.join(F.broadcast(n)).agg(
         (-F.sum(F.col("b") / F.col("n") * F.log(F.col("b") / F.col("n")))).alias("hs"), F.max("b").alias("big"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import stats as S
+from ledgerloom.functions.groups import join_groups
 from ledgerloom.functions.text import let
 from ledgerloom.functions import text as X
 from ledgerloom.operators import ranks as R
@@ -155,11 +156,11 @@ def judge_accuracy(labels: DataFrame, truth: DataFrame, unit: Sequence[str], bar
 
 
 def attenuation(counts: DataFrame, slope: DataFrame, a: str = "a", b: str = "b", min_units: int = 8) -> DataFrame:
-    """Inter-judge correlation, Spearman-Brown reliability and the disattenuated slope."""
+    """Inter-judge correlation, Spearman-Brown reliability and the disattenuated slope (the largest, if several rows come)."""
     g = counts.agg(F.count("*").alias("units"), F.corr(a, b).alias("r"))
     ok = F.col("units") >= min_units
     rel = F.when(ok & (F.col("r") > 0), 2 * F.col("r") / (1 + F.col("r")))
-    return g.join(F.broadcast(slope)).select(
+    return g.join(F.broadcast(slope.agg(F.max("slope").alias("slope")))).select(
         "units", F.when(ok, F.col("r")).alias("r"), rel.alias("reliability"), "slope", (F.col("slope") / rel).alias("disattenuated"),
         F.when(ok, "evaluable").otherwise("not evaluable").alias("status"))
 
@@ -230,14 +231,14 @@ def win_share(verdicts: DataFrame, by: Sequence[str], case: str, draws: int = 50
     ci = intervals(draws_of(units, by, ["w", "m"], key=[case], draws=draws, seed=seed), by, rule="truncate", draws=draws,
                    share=S.ratio("w", "m"))
     side = F.when(F.col("share_lo") > 0.5, "S1").when(F.col("share_hi") < 0.5, "S2").otherwise("spans")
-    return point.join(ci, by, "left").select(*by, "decisive", "share", "share_lo", "share_hi", side.alias("side"))
+    return join_groups(point, ci, by, "left").select(*by, "decisive", "share", "share_lo", "share_hi", side.alias("side"))
 
 
 def replication(primary: DataFrame, second: DataFrame, by: Sequence[str]) -> DataFrame:
     """Does a second judge land on the same side of one half?"""
     p = primary.select(*by, F.col("side").alias("primary_side"))
     s = second.select(*by, F.col("side").alias("second_side"))
-    return p.join(s, list(by)).withColumn(
+    return join_groups(p, s, by).withColumn(
         "verdict", F.when(F.col("second_side") == "spans", "not replicated")
         .when(F.col("second_side") == F.col("primary_side"), "agrees").otherwise("contradicts"))
 
@@ -278,10 +279,10 @@ def directive_shift(adopted: DataFrame, arm: str, control: str, value: str, min_
     point = dec.groupBy(arm).agg(F.count("*").alias("n"), F.avg("v").alias("share"))
     drawn = draws_of(dec, [arm], ["v"], draws=draws, seed=seed).select(arm, "draw", S.ratio("v", "n").alias("m"))
     ref = drawn.where(F.col(arm) == control).select("draw", F.col("m").alias("m0"))
-    ci = intervals(drawn.where(F.col(arm) != control).join(ref, "draw"), [arm], rule="fixed", draws=draws, shift=F.col("m") - F.col("m0"))
+    ci = intervals(drawn.where(~F.col(arm).eqNullSafe(F.lit(control))).join(ref, "draw"), [arm], rule="fixed", draws=draws, shift=F.col("m") - F.col("m0"))
     base = point.where(F.col(arm) == control).select(F.col("n").alias("n0"), F.col("share").alias("share0"))
     ok = (F.col("n") >= min_n) & (F.col("n0") >= min_n)
-    j = point.join(ci, arm).join(F.broadcast(base))
+    j = join_groups(point, ci, [arm]).join(F.broadcast(base))
     return j.select(arm, "n", "share", "share0", F.when(ok, F.col("shift_lo")).alias("shift_lo"), F.when(ok, F.col("shift_hi")).alias("shift_hi"),
                     F.when(~ok | F.col("shift_lo").isNull(), "not evaluable").when(F.col("shift_hi") < 0, "down")
                     .when(F.col("shift_lo") > 0, "up").otherwise("none").alias("moved"))

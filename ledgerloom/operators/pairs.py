@@ -313,9 +313,15 @@ def dedup(df: DataFrame, key: Column, order: Sequence[str], keep: Sequence[str])
         F.min_by(F.struct(*keep), F.struct(*order)).alias("_r"), F.count("*").alias("copies")).select("_r.*", "copies")
 
 
-def remaining(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Work not yet done; null results do not count as done."""
-    return work.join(done, list(keys), "left_anti")
+def remaining(work: DataFrame, done: DataFrame, keys: Sequence[str], results: Sequence[str] | None = None) -> DataFrame:
+    """Work not yet done. A row of `done` counts when one of its results is not null; work without a key is always due.
+
+    results  result columns, by default all columns of `done` but the keys; without any, every row counts
+    """
+    found = [c for c in done.columns if c not in keys] if results is None else list(results)
+    if found:
+        done = done.where(F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in found], F.lit(False)))
+    return work.join(done.select(*keys), list(keys), "left_anti")
 
 
 def prompt_pool(topics: DataFrame, templates: dict[str, str], topic: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["provenance", "estimators", "detection", "hygiene", "sources", "labels", "probes", "cards", "pairs", "streams"]
+MODULES = ["provenance", "estimators", "nulls", "detection", "hygiene", "sources", "labels", "probes", "cards", "pairs", "streams"]
 
 
 def load():

@@ -290,15 +290,14 @@ _AUD2 = K.audited("prose_loose", "aud2")
 
 
 @query("e16_two_instrument", f"""{BASE}, {_AUD2}, use2 AS (SELECT condition, n_inv::BIGINT AS inv FROM aud2 WHERE NOT floored),
-  {diff_sql('m', 'use')}, {diff_sql('s', 'use2')},
+  {diff_sql('m', 'use', 5000)}, {diff_sql('s', 'use2', 5000)},
   j AS (SELECT p.condition, p.diff_lo AS p_lo, p.diff_hi AS p_hi, q.diff_lo AS s_lo, q.diff_hi AS s_hi,
     p.diff_lo > 0 OR p.diff_hi < 0 AS pd, q.diff_lo > 0 OR q.diff_hi < 0 AS sd FROM md p JOIN sd q USING (condition))
   SELECT condition, round(p_lo, 6) AS p_lo, round(p_hi, 6) AS p_hi, round(s_lo, 6) AS s_lo, round(s_hi, 6) AS s_hi,
    CASE WHEN pd AND sd AND (p_hi < 0) = (s_hi < 0) THEN 'confirmed' WHEN pd AND sd THEN 'contradictory'
      WHEN pd THEN 'instrument-relative' WHEN sd THEN 'secondary only' ELSE 'none' END AS verdict FROM j""")
 def e16_two_instrument(t):
-    return rounded(E.two_instrument(E.mean_difference(t.audited("prose"), "src0", draws=2000),
-                                    E.mean_difference(t.audited("prose_loose"), "src0", draws=2000)))
+    return rounded(E.two_instrument(E.mean_difference(t.audited("prose"), "src0"), E.mean_difference(t.audited("prose_loose"), "src0")))
 
 
 _SHARED = """na AS (SELECT count(DISTINCT source) AS n FROM documents),
@@ -322,11 +321,11 @@ def e17_restrict_shared(t):
 
 
 def _e18() -> str:
-    lo, hi = K.ci("d / nullif(n, 0)", "fixed", 2000)
+    lo, hi = K.ci("d / nullif(n, 0)", "fixed", 5000)
     return f"""WITH it AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus = 'F') AS a,
       arg_max(o_totalprice, o_orderkey) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1),
   u AS MATERIALIZED (SELECT 1 AS g, o_custkey, round(a - b, 2)::DOUBLE AS d FROM it WHERE a IS NOT NULL AND b IS NOT NULL),
-  {K.boot('bb', 'u', ['g'], ['d'], key=['o_custkey'])},
+  {K.boot('bb', 'u', ['g'], ['d'], key=['o_custkey'], draws=5000)},
   c AS (SELECT {lo} AS lo, {hi} AS hi FROM bb), p AS (SELECT count(*) AS items, avg(d) AS diff FROM u)
   SELECT items, round(diff, 3) AS diff, round(lo, 3) AS diff_lo, round(hi, 3) AS diff_hi,
    CASE WHEN items >= 10 THEN 'evaluable' ELSE 'not evaluable' END AS status FROM p CROSS JOIN c"""
@@ -336,7 +335,7 @@ def _e18() -> str:
 def e18_paired_difference(t):
     """Order totals per customer as items, status F against O, last order of each."""
     o = t.read("orders").select("o_custkey", "o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("score"))
-    return rounded(E.paired_difference(o, "o_custkey", "o_orderstatus", "o_orderkey", "F", "O", draws=2000), 3)
+    return rounded(E.paired_difference(o, "o_custkey", "o_orderstatus", "o_orderkey", "F", "O"), 3)
 
 
 def _cluster_sql(src: str, cluster: str, by: str, a: str, b: str, draws: int = 2000, rule: str = "truncate", places: int = 6) -> str:
@@ -400,7 +399,7 @@ def e20_slope_difference(t):
 
 
 def _e21() -> str:
-    lo, hi = K.ci("v", "truncate", 2000)
+    lo, hi = K.ci("v", "truncate", 5000)
     rows = " UNION ALL ".join(
         f"SELECT '{f}' AS fam, writer_id, {ch} AS ch, ({K.count('t', [p])} > 0)::INT AS e FROM tx"
         for f, pats in lexicon(LEX).items() if len(pats) > 1 for ch, p in ((1, pats[0]), (0, pats[1])))
@@ -408,7 +407,7 @@ def _e21() -> str:
     did = lambda a, b: f"(({m(1, 1)} - {m(0, 1)}) - ({m(1, 0)} - {m(0, 0)}))" % ((a, b) * 4)
     return f"""WITH tx AS MATERIALIZED (SELECT lang AS writer_id, {K.ascii_text('text')} AS t FROM documents WHERE lang IN ('en', 'de')),
   ev AS MATERIALIZED (SELECT fam, (writer_id = 'de')::INT AS tt, ch, e FROM ({rows})),
-  {K.boot('bo', 'ev', ['fam', 'tt', 'ch'], ['e'])},
+  {K.boot('bo', 'ev', ['fam', 'tt', 'ch'], ['e'], draws=5000)},
   pd AS (SELECT fam, draw, {did('e', 'n')} AS v FROM bo GROUP BY 1, 2),
   ci AS (SELECT fam, {lo} AS lo, {hi} AS hi FROM pd GROUP BY 1),
   po AS (SELECT fam, {did('e', '1.0::DOUBLE')} AS did, coalesce(sum(CASE WHEN ch = 0 THEN e END), 0)::BIGINT AS events FROM ev GROUP BY 1)
@@ -424,7 +423,7 @@ def e21_did(t):
             for f, pats in lexicon(LEX).items() if len(pats) > 1 for ch, p in ((1, pats[0]), (0, pats[1]))]
     ev = t.documents.where(F.col("lang").isin("en", "de")).select("lang", F.explode(F.array(*rows)).alias("e")).select(
         "lang", "e.*")
-    return rounded(E.difference_in_differences(ev, "family", "lang", "de", "en", "ch", draws=2000))
+    return rounded(E.difference_in_differences(ev, "family", "lang", "de", "en", "ch"))
 
 
 META = """mu_use AS (SELECT w AS e, pow((w_hi - w_lo) / 3.92, 2) AS v FROM card WHERE n_runs >= 30 AND identifiable AND w_lo IS NOT NULL AND w_hi > w_lo),
@@ -521,7 +520,7 @@ def v10_stage_composition(t):
     return rounded(E.stage_composition(tr, "s", "l", "o"))
 
 
-def _e36(draws: int = 400) -> str:
+def _e36(draws: int = 2000) -> str:
     return f"""WITH d AS MATERIALIZED (SELECT lang, doc_id, {K.total(K.ascii_text('text'), LEX)} / length(text)::DOUBLE * 1000 AS dn FROM documents WHERE length(text) > 0),
   {K.boot('bo', 'd', ['lang'], ['dn'], key=['doc_id'], draws=draws)},
   ci AS (SELECT lang, {K.ci('dn / nullif(n, 0)', 'truncate', draws)[0]} AS lo, {K.ci('dn / nullif(n, 0)', 'truncate', draws)[1]} AS hi FROM bo GROUP BY 1),
@@ -534,17 +533,11 @@ def e36_mean_interval(t):
     """Density per language with a document bootstrap."""
     d = t.documents.where(F.length("text") > 0).select(
         "lang", "doc_id", (X.total_count("text", LEX) / F.length("text") * 1000).alias("dn"))
-    out = E.mean_interval(d, ["lang"], ["doc_id"], "dn", draws=400)
+    out = E.mean_interval(d, ["lang"], ["doc_id"], "dn")
     return rounded(out.select("lang", "n", "mean", F.col("mean_lo"), F.col("mean_hi")), 5)
 
 
-@query("e36_mean_interval_full", _e36(2000))
-def e36_mean_interval_full(t):
-    """The same with the operator's default draws."""
-    d = t.documents.where(F.length("text") > 0).select(
-        "lang", "doc_id", (X.total_count("text", LEX) / F.length("text") * 1000).alias("dn"))
-    out = E.mean_interval(d, ["lang"], ["doc_id"], "dn")
-    return rounded(out.select("lang", "n", "mean", F.col("mean_lo"), F.col("mean_hi")), 5)
+query("e36_mean_interval_full", _e36())(e36_mean_interval)
 
 
 @query("e40_decorrelation", f"""{BASE}, j AS (SELECT prompt_id, supply::INT AS s, count(*) AS c FROM aud GROUP BY 1, 2),
@@ -571,7 +564,7 @@ def e51_corner_verdict(t):
     return rounded(E.corner_verdict(E.shrinkage(a, ["writer_id"]), E.strata(a, ["writer_id"]), ["writer_id"]))
 
 
-@query("e52_arm_sweep", f"""{BASE}, {cards()}, {diff_sql('m', 'use')}
+@query("e52_arm_sweep", f"""{BASE}, {cards()}, {diff_sql('m', 'use', 5000)}
   SELECT c.condition, n_runs, round(w, 6) AS w, round(c, 6) AS c,
    CASE WHEN NOT identifiable THEN 'unidentifiable' WHEN weak THEN 'weak' WHEN extrapolated THEN 'extrapolated' ELSE 'comparable' END AS status,
    round(diff_lo, 6) AS diff_lo, round(diff_hi, 6) AS diff_hi, m.verdict AS against_baseline
@@ -579,16 +572,16 @@ def e51_corner_verdict(t):
 def e52_arm_sweep(t):
     a = t.audited()
     card = E.shrinkage(a, ["condition"])
-    diff = E.mean_difference(a, "src0", draws=2000).select("condition", "diff_lo", "diff_hi", F.col("verdict").alias("against_baseline"))
+    diff = E.mean_difference(a, "src0").select("condition", "diff_lo", "diff_hi", F.col("verdict").alias("against_baseline"))
     status = F.when(~F.col("identifiable"), "unidentifiable").when(F.col("weak"), "weak").when(
         F.col("extrapolated"), "extrapolated").otherwise("comparable")
     return rounded(card.join(diff, "condition", "left").select(
         "condition", "n_runs", "w", "c", status.alias("status"), "diff_lo", "diff_hi", "against_baseline"))
 
 
-@query("e53_null_classes", f"""{BASE}, {diff_sql('m', 'use')} SELECT condition, round(diff_lo, 6) AS diff_lo, round(diff_hi, 6) AS diff_hi,
+@query("e53_null_classes", f"""{BASE}, {diff_sql('m', 'use', 5000)} SELECT condition, round(diff_lo, 6) AS diff_lo, round(diff_hi, 6) AS diff_hi,
   CASE WHEN diff_lo > 0 OR diff_hi < 0 THEN 'not a null' WHEN diff_lo IS NULL OR runs_with_invention = 0 OR runs_with_invention = n THEN 'degenerate'
    WHEN runs_with_invention < 5 THEN 'uninformative' WHEN diff_hi >= 0.1 OR diff_lo <= -0.1 THEN 'weak' ELSE 'informative' END AS null_class FROM md""")
 def e53_null_classes(t):
-    d = E.mean_difference(t.audited(), "src0", draws=2000)
+    d = E.mean_difference(t.audited(), "src0")
     return rounded(E.classify_null(d, fired="runs_with_invention").select("condition", "diff_lo", "diff_hi", "null_class"))

@@ -232,7 +232,7 @@ def e30_sign_test(t):
     return rounded(L.tallies(L.pair_verdicts(judgments(t), ["judge", "comparison", "rep"]), ["judge", "comparison"]))
 
 
-def _win_sql(draws: int = 2000) -> str:
+def _win_sql(draws: int = 5000) -> str:
     lo, hi = K.ci("w / nullif(m, 0)", "truncate", draws)
     return f"""un AS MATERIALIZED (SELECT judge, comparison, case_id, (count(*) FILTER (verdict = 'S1'))::DOUBLE AS w, count(*)::DOUBLE AS m FROM vd
      WHERE verdict IN ('S1', 'S2') GROUP BY 1, 2, 3), {K.boot('bo', 'un', ['judge', 'comparison'], ['w', 'm'], key=['case_id'], draws=draws)},
@@ -244,14 +244,14 @@ def _win_sql(draws: int = 2000) -> str:
 
 @query("e32_win_share", f"""{PREF}, {_win_sql()} SELECT judge, comparison, decisive, round(share, 6) AS share, round(lo, 6) AS share_lo, round(hi, 6) AS share_hi, side FROM ws""")
 def e32_win_share(t):
-    return rounded(L.win_share(L.pair_verdicts(judgments(t), ["judge", "comparison", "case_id", "rep"]), ["judge", "comparison"], "case_id", draws=2000))
+    return rounded(L.win_share(L.pair_verdicts(judgments(t), ["judge", "comparison", "case_id", "rep"]), ["judge", "comparison"], "case_id"))
 
 
 @query("e32_replication", f"""{PREF}, {_win_sql()} SELECT p.comparison, p.side AS primary_side, s.side AS second_side,
    CASE WHEN s.side = 'spans' THEN 'not replicated' WHEN s.side = p.side THEN 'agrees' ELSE 'contradicts' END AS verdict
   FROM ws p JOIN ws s ON s.comparison = p.comparison AND s.judge = 'matches' WHERE p.judge = 'length'""")
 def e32_replication(t):
-    w = L.win_share(L.pair_verdicts(judgments(t), ["judge", "comparison", "case_id", "rep"]), ["judge", "comparison"], "case_id", draws=2000)
+    w = L.win_share(L.pair_verdicts(judgments(t), ["judge", "comparison", "case_id", "rep"]), ["judge", "comparison"], "case_id")
     return L.replication(w.where("judge = 'length'"), w.where("judge = 'matches'"), ["comparison"])
 
 
@@ -272,9 +272,9 @@ def e34_judge_pilot(t):
 
 
 def _e43() -> str:
-    lo, hi = K.ci("a.v / nullif(a.n, 0) - r.v / nullif(r.n, 0)", "fixed")
+    lo, hi = K.ci("a.v / nullif(a.n, 0) - r.v / nullif(r.n, 0)", "fixed", 5000)
     return f"""{PREF}, ad AS MATERIALIZED (SELECT comparison AS arm, (verdict = 'S1')::INT AS v FROM vd WHERE judge = 'matches' AND verdict IN ('S1', 'S2')),
-  {K.boot('bo', 'ad', ['arm'], ['v'])}, ci AS (SELECT a.arm, {lo} AS lo, {hi} AS hi FROM bo a JOIN bo r ON r.draw = a.draw AND r.arm = 'C0' WHERE a.arm <> 'C0' GROUP BY 1),
+  {K.boot('bo', 'ad', ['arm'], ['v'], draws=5000)}, ci AS (SELECT a.arm, {lo} AS lo, {hi} AS hi FROM bo a JOIN bo r ON r.draw = a.draw AND r.arm = 'C0' WHERE a.arm <> 'C0' GROUP BY 1),
   po AS (SELECT arm, count(*) AS n, avg(v) AS share FROM ad GROUP BY 1)
   SELECT p.arm, p.n, round(p.share, 6) AS share, round(z.share, 6) AS share0, round(CASE WHEN p.n >= 6 AND z.n >= 6 THEN lo END, 6) AS shift_lo,
    round(CASE WHEN p.n >= 6 AND z.n >= 6 THEN hi END, 6) AS shift_hi, CASE WHEN NOT (p.n >= 6 AND z.n >= 6) OR lo IS NULL THEN 'not evaluable' WHEN hi < 0 THEN 'down' WHEN lo > 0 THEN 'up' ELSE 'none' END AS moved
@@ -285,7 +285,7 @@ def _e43() -> str:
 def e43_directive_shift(t):
     v = L.pair_verdicts(judgments(t).where("judge = 'matches'"), ["comparison", "rep"])
     a = v.select(F.col("comparison").alias("arm"), F.when(F.col("verdict") == "S1", 1).when(F.col("verdict") == "S2", 0).alias("v"))
-    return rounded(L.directive_shift(a, "arm", "C0", "v", draws=2000))
+    return rounded(L.directive_shift(a, "arm", "C0", "v"))
 
 
 def fate_labels(t):
@@ -318,13 +318,13 @@ def e44_fate_summary(t):
 
 
 def _e42() -> str:
-    lo, hi = K.ci("na / nullif(da, 0) - nb / nullif(db, 0)", "truncate")
+    lo, hi = K.ci("na / nullif(da, 0) - nb / nullif(db, 0)", "truncate", 5000)
     rlo, rhi = K.wilson("routed", "flags")
     return f"""WITH r AS MATERIALIZED (SELECT doc_id % 50 AS item, CASE WHEN lang = 'en' THEN 'in' ELSE 'out' END AS cond, source AS home,
      CASE WHEN contains(text, 'tion') THEN CASE WHEN doc_id % 3 = 0 THEN source ELSE 'src1' END END AS flag FROM documents),
   un AS MATERIALIZED (SELECT 1 AS g, item, sum(CASE WHEN cond = 'out' THEN (flag IS NOT NULL)::INT ELSE 0 END)::DOUBLE AS na, (count(*) FILTER (cond = 'out'))::DOUBLE AS da,
      sum(CASE WHEN cond = 'in' THEN (flag IS NOT NULL)::INT ELSE 0 END)::DOUBLE AS nb, (count(*) FILTER (cond = 'in'))::DOUBLE AS db FROM r GROUP BY 1, 2),
-  {K.boot('bo', 'un', ['g'], ['na', 'da', 'nb', 'db'], key=['item'])}, ci AS (SELECT {lo} AS lo, {hi} AS hi FROM bo),
+  {K.boot('bo', 'un', ['g'], ['na', 'da', 'nb', 'db'], key=['item'], draws=5000)}, ci AS (SELECT {lo} AS lo, {hi} AS hi FROM bo),
   po AS (SELECT sum(na) / sum(da) AS ra, sum(nb) / sum(db) AS rb FROM un),
   rt AS (SELECT count(*) AS flags, count(*) FILTER (flag = home) AS routed FROM r WHERE cond = 'out' AND flag IS NOT NULL)
   SELECT round(ra, 6) AS out_rate, round(rb, 6) AS in_rate, round(lo, 6) AS diff_lo, round(hi, 6) AS diff_hi,
@@ -337,7 +337,7 @@ def e42_flag_gap(t):
     flag = F.when(F.contains("text", F.lit("tion")), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("src1"))
     r = t.documents.select((F.col("doc_id") % 50).alias("item"), F.when(F.col("lang") == "en", "in").otherwise("out").alias("cond"),
                            F.col("source").alias("home"), flag.alias("flag"))
-    return rounded(L.flag_gap(r, "item", draws=2000))
+    return rounded(L.flag_gap(r, "item"))
 
 
 _GR = f"""WITH gr AS MATERIALIZED (SELECT doc_id, CASE WHEN lang = 'en' THEN 'POS' WHEN lang = 'de' THEN 'NEG' ELSE 'OVER' END AS pool, CASE WHEN doc_id % 13 <> 0 THEN least(k, 3) END AS a,
