@@ -99,7 +99,9 @@ Lexicon = dict[str, list[str]]
 
 
 def lexicon(spec: str | Mapping[str, list[str]]) -> Lexicon:
-    """Resolve a lexicon name, mapping or JSON path to an ordered map."""
+    """Resolve a lexicon name, mapping or JSON path to an ordered map; a detector gives its families, without patterns."""
+    if hasattr(spec, "names"):
+        return {name: [] for name in spec.names}
     if isinstance(spec, Mapping):
         found = dict(spec)
     elif spec in NAMED:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.detectors import MARK, detector, plain
 from ledgerloom.functions import stats as S
 from ledgerloom.functions.groups import join_groups
 from ledgerloom.operators.bootstrap import draws_of, draws_of_cells, intervals, multinomial_draws
@@ -583,8 +584,10 @@ def span_fraction(outputs: DataFrame, lex, by: Sequence[str] = ("condition",), m
     from ledgerloom.functions import text as X
     from ledgerloom.operators import ranks
 
-    by = list(by)
-    base = X.held(outputs.where(F.length("output") >= min_chars).select(*by, "output"), "_sp", X.spans("output", lex))
+    by, det = list(by), detector(lex)
+    found = det.prepared(outputs.where(F.length("output") >= min_chars), ["output"])
+    found = found.select(*dict.fromkeys([*by, "output", *[c for c in found.columns if c.startswith(MARK)]]))
+    base = plain(X.held(found, "_sp", det.spans("output", F.col("output"))))
     base = X.held(base, "_so", X.sentence_offsets("output"))
 
     def tokens(t):

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.detectors import detector, plain
 from ledgerloom.functions import text as X
 from ledgerloom.lexicons import lexicon
 from ledgerloom.operators import detection as D
@@ -24,7 +25,10 @@ def starts_in(spans: Column, sentence: Column, drop: Column | None = None) -> Co
 
 
 def _located(df: DataFrame, text: str, lex) -> DataFrame:
-    return X.held(X.held(df, "_sp", X.spans(text, lex)), "_so", X.sentence_offsets(text))
+    """With spans and sentences of a text; a detector that joins a table has detections for the part of the column's name."""
+    det = detector(lex)
+    found = plain(X.held(det.prepared(df, [text]), "_sp", det.spans(text, F.col(text))))
+    return X.held(found, "_so", X.sentence_offsets(text))
 
 
 def _cut(text, s: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.detectors import detector
 from ledgerloom.functions import stats as S
 from ledgerloom.functions import text as X
 from ledgerloom.lexicons import lexicon
@@ -49,15 +50,23 @@ def decompose(df: DataFrame, floor: int = MIN_OUTPUT_CHARS) -> DataFrame:
 
 def audit(runs: DataFrame, lex="epistemic", floor: int = MIN_OUTPUT_CHARS, joiner: str = "\n\n",
           evidence: bool = False) -> DataFrame:
-    """Audit runs whose upstream is an array in the row. No shuffle; text columns are dropped."""
+    """Audit runs whose upstream is an array in the row. No shuffle; text columns are dropped.
+
+    lex  a lexicon or any detector; one that joins a table has detections for the parts "upstream" and "output" of each run
+         (one shuffle by its key, of masks and lengths and not of texts)
+    """
+    det = detector(lex)
     keys = [f for f in ("run_id", "prompt_id", "condition", "writer_id") if f in runs.columns]
     extra = [c for c in runs.columns if c not in keys and c not in
              ("upstream", "output", "writer_prompt", "routes", "meta")]
-    found = runs.select(
-        *keys, *extra,
-        F.length("output").alias("chars"),
-        X.families_mask(join_upstream("upstream", joiner), lex).alias("raised_mask"),
-        X.families_mask("output", lex).alias("present_mask"),
+    chars = F.length("output").alias("chars")
+    if not det.reads_text and not evidence:
+        runs = runs.select(*keys, *extra, chars, F.lit("").alias("output"), F.lit(None).cast("array<string>").alias("upstream"))
+        chars = F.col("chars")
+    found = det.prepared(runs, ["upstream", "output"]).select(
+        *keys, *extra, chars,
+        det.mask("upstream", join_upstream("upstream", joiner)).alias("raised_mask"),
+        det.mask("output", F.col("output")).alias("present_mask"),
         *(["output"] if evidence else []),
     )
     out = decompose(found, floor)
@@ -81,7 +90,7 @@ def audit_chat(messages: DataFrame, writer: str = "assistant", lex="epistemic",
     names = list(lexicon(lex))
     is_writer = F.col("role") == writer
     seen = messages.select(
-        "conv_id", "turn", is_writer.alias("_w"), X.families_mask("text", lex).alias("_m"),
+        "conv_id", "turn", is_writer.alias("_w"), detector(lex).mask("text", F.col("text")).alias("_m"),
         F.length("text").alias("_chars"))
     first = [
         F.min(F.when(~F.col("_w") & X.mask_has("_m", i), F.col("turn"))).alias(f"_f{i}") for i in range(len(names))
@@ -101,7 +110,7 @@ def audit_chat(messages: DataFrame, writer: str = "assistant", lex="epistemic",
 def audit_parts(parts: DataFrame, lex="epistemic", floor: int = MIN_OUTPUT_CHARS,
                 keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Audit runs held as one row per part (is_output, text): masks per part, united with bit_or."""
-    seen = parts.select(*keys, "is_output", X.families_mask("text", lex).alias("_m"), F.length("text").alias("_c"))
+    seen = parts.select(*keys, "is_output", detector(lex).mask("text", F.col("text")).alias("_m"), F.length("text").alias("_c"))
     rows = seen.groupBy(*keys).agg(
         F.coalesce(F.bit_or(F.when(~F.col("is_output"), F.col("_m"))), F.lit(0).cast("bigint")).alias("raised_mask"),
         F.coalesce(F.bit_or(F.when(F.col("is_output"), F.col("_m"))), F.lit(0).cast("bigint")).alias("present_mask"),

@@ -178,8 +178,8 @@ runs AS MATERIALIZED (
   FROM dealt)"""
 
 
-def audited(lex="prose", name: str = "aud", floor: int = 500) -> str:
-    """CTE `name`: the provenance decomposition of `runs`."""
+def audited(lex="prose", name: str = "aud", floor: int = 500, mask=mask) -> str:
+    """CTE `name`: the provenance decomposition of `runs`, families told by `mask(text expression, lex)`."""
     out, up = ascii_text("output"), ascii_text("up")
     return f"""{name}_m AS MATERIALIZED (SELECT run_id, condition, writer_id, prompt_id, length(output) AS chars,
     {mask('upa', lex)} AS raised, {mask('outa', lex)} AS present
