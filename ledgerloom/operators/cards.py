@@ -15,6 +15,7 @@ from ledgerloom.operators import detection as D
 from ledgerloom.operators import estimators as E
 from ledgerloom.operators import hygiene as P
 from ledgerloom.operators import provenance as V
+from ledgerloom.operators import ranks as R
 
 
 def blindspot(probes: DataFrame, instruments: dict[str, str]) -> DataFrame:
@@ -55,18 +56,8 @@ def disagreement(probes: DataFrame, instruments: dict[str, str]) -> DataFrame:
 
 
 def spearman(table: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation of a small table of group means, average ranks on ties.
-
-    Meant for one row per arm or stratum: the ranks need one ordering of the whole table.
-    """
-    from pyspark.sql import Window
-
-    def rank(c):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-
-    r = table.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(rank(x).alias("rx"), rank(y).alias("ry"))
-    return r.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    """Rank correlation of a table of group means, average ranks on ties."""
+    return R.spearman(table, x, y)
 
 
 def retention(turns: DataFrame, finals: DataFrame, lex) -> DataFrame:

@@ -344,6 +344,6 @@ def validate_matcher(grades: DataFrame, unit: Sequence[str], a: str, b: str, auc
     scored = p.where(ok & F.col("pool").isin("POS", "NEG")).select(
         F.lit(1).alias("one"), (F.col("pool") == "POS").alias("y"), ((F.col("a") + F.col("b")) / 2.0).alias("g"))
     overall = p.agg(S.ratio(F.count_if(same), F.count_if(ok)).alias("pooled_agreement"))
-    auc = R.auc(scored, ["one"], "y", "g", width=0.5).select("auc")
+    auc = R.auc(scored, ["one"], "y", "g").select("auc")
     return per.join(F.broadcast(overall)).join(F.broadcast(auc)).withColumn(
         "gate", F.when((F.col("auc") >= auc_bar) & (F.col("pooled_agreement") >= agree_bar), "pass").otherwise("fail"))

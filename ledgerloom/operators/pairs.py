@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.detectors import detector, plain
 from ledgerloom.functions import text as X
+from ledgerloom.functions.prefix import below
 from ledgerloom.lexicons import lexicon
 from ledgerloom.operators import detection as D
 
@@ -289,13 +290,11 @@ def _hash(seed, key) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in ([key] if isinstance(key, str) else key)]))
 
 
-def ordered_ranks(df: DataFrame, order: str, buckets: int = 4096) -> DataFrame:
-    """1-based rank by a hex hash column, in two levels: hash-prefix buckets, then inside each bucket."""
-    b = df.withColumn("_b", F.conv(F.substring(order, 1, 3), 16, 10).cast("int") % buckets)
-    tops = b.groupBy("_b").agg(F.count("*").alias("_t"))
-    tops = tops.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    return b.join(tops, "_b").withColumn("rank", F.col("_o") + inner).drop("_b", "_o")
+def ordered_ranks(df: DataFrame, order: str) -> DataFrame:
+    """1-based rank by a hex hash column, by a tree of counts over its first 60 bits."""
+    key = F.shiftleft(F.conv(F.substring(order, 1, 15), 16, 10).cast("bigint"), 3)
+    return below(df.withColumn("_one", F.lit(1).cast("bigint")), [], key, ["_one"], [order]).withColumn(
+        "rank", F.col("_one_below") + 1).drop("_one", "_one_below", "_one_all")
 
 
 def split(pairs: DataFrame, key: str, seed: int = 42, share: int = 20, least: int = 4, cap: int | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact order statistics without a global sort in one task.
 
-Values are counted, laid into buckets of fixed width, and running totals are taken in two levels: over
-the buckets (few rows) and inside each bucket (its own task). Nothing is sampled or approximated.
+Values are counted, and running totals are taken over a tree on the bits of the values (`functions.prefix`), so any spread
+of values does. Nothing is sampled or approximated.
 """
 
 from __future__ import annotations
@@ -11,32 +11,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import stats as S
 from ledgerloom.functions.groups import join_groups
+from ledgerloom.functions.prefix import below, sortable
 
 
-def running(df: DataFrame, by: Sequence[str], value: str, counts: Sequence[str], width: float = 1e-3) -> DataFrame:
+def running(df: DataFrame, by: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
     """Sum `counts` per distinct value; add <count>_below, the total over smaller values, and <count>_all."""
     by = list(by)
     # nulls are dropped by a counted aggregate: a filter on the value itself would be pushed down and make
     # a costly value expression run twice
     dist = df.groupBy(*by, value).agg(*[F.sum(x).alias(x) for x in counts], F.count(value).alias("_c")).where("_c > 0").drop("_c")
-    dist = dist.withColumn("_bucket", F.floor(F.col(value) / width))
-    outer = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tops = dist.groupBy(*by, "_bucket").agg(*[F.sum(x).alias(x) for x in counts])
-    tops = tops.select(*by, "_bucket", *[F.coalesce(F.sum(x).over(outer), F.lit(0)).alias(f"_{x}0") for x in counts],
-                       *[F.sum(x).over(whole).alias(f"{x}_all") for x in counts])
-    inner = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = join_groups(dist, tops, [*by, "_bucket"])
-    return joined.select(*by, value, *counts, *[f"{x}_all" for x in counts], *[
-        (F.col(f"_{x}0") + F.coalesce(F.sum(x).over(inner), F.lit(0))).alias(f"{x}_below") for x in counts])
-
-
-def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float | str], width: float = 1e-3) -> DataFrame:
+    return below(dist, by, sortable(value), counts, [value])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float | str]) -> DataFrame:
     """Nearest-rank quantiles (banker's rounding of q (n - 1)), 'median' (mean of the middle two), and the
     count of zeros, in one pass over the values."""
     by = list(by)
-    ranked = running(df.withColumn("_n", F.lit(1)), by, value, ["_n"], width)
+    ranked = running(df.withColumn("_n", F.lit(1)), by, value, ["_n"])
     total = F.col("_n_all")
 
     def at(rank):
@@ -53,7 +46,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float
     return ranked.groupBy(*by).agg(F.max(total).alias("n"), zeros.alias("zeros"), *out)
 
 
-def many_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, dict[str, float | str]], width: float = 1e-3) -> DataFrame:
+def many_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, dict[str, float | str]]) -> DataFrame:
     """Quantiles of several columns in one pass: the columns are laid under each other, ranked, and set back.
 
     qs  column -> {output name: q}; also <column>_zeros
@@ -64,7 +57,7 @@ def many_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, dict[str, flo
     wanted = {}
     for spec in qs.values():
         wanted.update({f"q_{v}": v for v in spec.values()})
-    q = quantiles(long, [*by, "_metric"], "_v", wanted, width)
+    q = quantiles(long, [*by, "_metric"], "_v", wanted)
     out = [F.max("n").alias("n")]
     for c, spec in qs.items():
         on = F.col("_metric") == c
@@ -73,19 +66,18 @@ def many_quantiles(df: DataFrame, by: Sequence[str], qs: dict[str, dict[str, flo
     return q.groupBy(*by).agg(*out)
 
 
-def auc(df: DataFrame, by: Sequence[str], label: str, score: str, width: float = 1e-3) -> DataFrame:
+def auc(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
     """Area under the ROC curve, ties counted half; null when a class is missing."""
     marked = df.where(F.col(label).isNotNull()).withColumn("_pos", F.col(label).cast("int")).withColumn(
         "_neg", 1 - F.col("_pos"))
-    r = running(marked, by, score, ["_pos", "_neg"], width)
+    r = running(marked, by, score, ["_pos", "_neg"])
     wins = F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0))
     p, n = F.sum("_pos"), F.sum("_neg")
     return r.groupBy(*by).agg(p.alias("n_pos"), n.alias("n_neg"),
                               F.when((p > 0) & (n > 0), wins / (p * n)).alias("auc"))
 
 
-def youden(df: DataFrame, by: Sequence[str], label: str, score: str, min_class: int = 5,
-           width: float = 1e-3) -> DataFrame:
+def youden(df: DataFrame, by: Sequence[str], label: str, score: str, min_class: int = 5) -> DataFrame:
     """Cut (score rounded to four places, flag when score >= cut) with the highest J; lowest cut on ties.
 
     The candidates are all rounded scores plus 0 and 1.
@@ -102,7 +94,7 @@ def youden(df: DataFrame, by: Sequence[str], label: str, score: str, min_class:
                       F.lit(0).alias("_neg"), F.lit(1).alias("_cand"))
     points = scores.select(*by, F.col(score).alias("_v"), "_pos", "_neg", F.lit(0).alias("_cand")).unionByName(
         cands).unionByName(ends)
-    r = running(points, by, "_v", ["_pos", "_neg", "_cand"], width).where("_cand > 0")
+    r = running(points, by, "_v", ["_pos", "_neg", "_cand"]).where("_cand > 0")
     r = r.withColumnsRenamed({"_pos_all": "_p", "_neg_all": "_q"})
     usable = (F.col("_p") >= min_class) & (F.col("_q") >= min_class)
     j = F.when(usable, (F.col("_p") - F.col("_pos_below")) / F.col("_p")
@@ -114,11 +106,29 @@ def youden(df: DataFrame, by: Sequence[str], label: str, score: str, min_class:
         F.col("b._j").alias("j"))
 
 
-def calibrate(scored: DataFrame, family: str, domain: str, order: str, label: str, score: str, cap: int = 150,
-              width: float = 1e-3) -> DataFrame:
+def calibrate(scored: DataFrame, family: str, domain: str, order: str, label: str, score: str, cap: int = 150) -> DataFrame:
     """AUC and Youden cut per family from the first `cap` labelled units of each domain (a group-limited top-k)."""
     rank = F.row_number().over(Window.partitionBy(family, domain).orderBy(order))
     kept = scored.where(F.col(label).isNotNull()).withColumn("_r", rank).where(F.col("_r") <= cap)
-    a = auc(kept, [family], label, score, width)
-    y = youden(kept, [family], label, score, width=width).select(family, "cut", "j")
+    a = auc(kept, [family], label, score)
+    y = youden(kept, [family], label, score).select(family, "cut", "j")
     return a.join(y, family)
+
+
+def spearman(table: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rank correlation of two columns, average ranks on ties; null when either is constant.
+
+    Rows are counted by (x, y) first. Ranks are taken about their mean, so that large tables keep their digits.
+    """
+    by = list(by)
+    pairs = table.groupBy(*by, x, y).agg(F.count("*").alias("_n")).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+
+    def ranks(c, name):
+        r = running(pairs, by, c, ["_n"])
+        return r.select(*by, c, (F.col("_n_below") + F.col("_n") / 2.0 - F.col("_n_all") / 2.0).alias(name))
+    both = join_groups(join_groups(pairs, ranks(x, "_rx"), [*by, x]), ranks(y, "_ry"), [*by, y])
+
+    def weighted(a, b):
+        return F.sum(F.col("_n") * F.col(a) * F.col(b))
+    spread = F.sqrt(weighted("_rx", "_rx")) * F.sqrt(weighted("_ry", "_ry"))
+    return both.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), S.ratio(weighted("_rx", "_ry"), spread).alias("rho"))

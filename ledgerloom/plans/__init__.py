@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["provenance", "estimators", "nulls", "detection", "detectors", "hygiene", "sources", "labels", "probes", "cards", "pairs", "streams"]
+MODULES = ["provenance", "estimators", "nulls", "detection", "detectors", "hygiene", "sources", "labels", "probes", "cards", "ordered", "pairs", "streams"]
 
 
 def load():

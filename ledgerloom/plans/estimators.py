@@ -238,9 +238,9 @@ def e12_wilson(t):
   round({_nr('o_totalprice', 0.25)}, 4) AS p25, round({_nr('o_totalprice', 0.75)}, 4) AS p75, round({_nr('o_totalprice', 0.9)}, 4) AS p90
   FROM orders GROUP BY 1""")
 def e13_quantiles(t):
-    """Exact median and nearest-rank quartiles of order totals, by two-level running counts."""
+    """Exact median and nearest-rank quartiles of order totals, by running counts."""
     return rounded(R.quantiles(t.read("orders"), ["o_orderpriority"], "o_totalprice",
-                               {"med": "median", "p25": 0.25, "p75": 0.75, "p90": 0.9}, width=1000.0).drop("zeros"), 4)
+                               {"med": "median", "p25": 0.25, "p75": 0.75, "p90": 0.9}).drop("zeros"), 4)
 
 
 def _e14() -> str:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions import text as X
+from ledgerloom.functions.prefix import below, sortable
 
 AS_SHIPPED, PRE_INTERVENTION = "as_shipped", "pre_intervention"
 
@@ -186,19 +187,14 @@ def turns(runs: DataFrame, keep: Sequence[str], turns_col: str = "turns") -> Dat
         *keep, "seat", "pos", F.col("t.output_text").alias("text"))
 
 
-def global_offsets(units: DataFrame, order: str, count: Column, buckets: int = 1024) -> DataFrame:
-    """Running offset of each unit in the ordered concatenation of all units, in two levels.
+def global_offsets(units: DataFrame, order: str, count: Column) -> DataFrame:
+    """Running offset of each unit in the ordered concatenation of all units, by a tree of totals.
 
-    Bucket totals are summed over the (few) buckets, and inside each bucket; no unpartitioned window ever
-    sees the units themselves.
+    order  a whole or other number that tells the units apart; units without it have no place and are left out
     """
-    u = units.withColumn("_n", count.cast("bigint")).withColumn("_b", F.floor(F.col(order) / buckets))
-    tops = u.groupBy("_b").agg(F.sum("_n").alias("_t"))
-    tops = tops.select("_b", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inner = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return u.join(tops, "_b").withColumn(
-        "offset", F.col("_o") + F.coalesce(F.sum("_n").over(inner), F.lit(0))).drop("_n", "_b", "_o")
+    key = F.col(order).cast("bigint") if dict(units.dtypes)[order] in ("tinyint", "smallint", "int", "bigint") else sortable(order)
+    counted = units.where(F.col(order).isNotNull()).withColumn("_n", F.coalesce(count, F.lit(0)).cast("bigint"))
+    return below(counted, [], key, ["_n"], [order]).withColumnRenamed("_n_below", "offset").drop("_n", "_n_all")
 
 
 def labels_long(units: DataFrame, cache: DataFrame, order: str = "unit_id", batch: int = 10) -> DataFrame:
