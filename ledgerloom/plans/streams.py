@@ -61,6 +61,20 @@ def r5_budget_guard(t):
     return L.spend_summary(g).withColumn("spent", F.round("spent", 4).cast("double"))
 
 
+@query("r5_one_ledger", """WITH o AS (SELECT l_orderkey * 8 + l_linenumber AS seq, (l_extendedprice / 100000)::DECIMAL(18,8) AS c FROM lineitem),
+  l AS (SELECT list({'c': c, 's': seq::HUGEINT, 'n': 1} ORDER BY seq, c) AS costs, count(*) AS calls FROM o),
+  w AS (SELECT calls, list_reduce(list_concat([{'c': 0::DECIMAL(18,8), 's': 0::HUGEINT, 'n': 0}], costs), lambda a, x: CASE WHEN a.c + x.c <= 5000 THEN
+     {'c': (a.c + x.c)::DECIMAL(18,8), 's': a.s + x.s, 'n': a.n + 1} ELSE a END) AS r FROM l)
+  SELECT calls, r.n::BIGINT AS accepted, r.s::BIGINT AS seqs, round(r.c, 4)::DOUBLE AS spent FROM w""")
+def r5_one_ledger(t):
+    """One ledger of all line items under a cap, decided in many tasks."""
+    c = t.read("lineitem").select(F.lit("all").alias("ledger_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+                                  F.round(F.col("l_extendedprice") / 100000, 8).cast("decimal(18,8)").alias("cost"))
+    g = L.budget_guard(c, "5000")
+    return g.agg(F.count("*").alias("calls"), F.count_if("accepted").alias("accepted"), F.sum(F.when(F.col("accepted"), F.col("seq"))).alias("seqs"),
+                 F.round(F.max("spent"), 4).cast("double").alias("spent"))
+
+
 @query("r6_live_rate", f"""WITH {K.DEALT}, {K.audited('prose')}, r AS (SELECT a.*, TIMESTAMP '2024-01-01' + to_minutes(run_id * 7) AS ts, contains(alpha, 'und') OR alpha || beta || gamma = '' AS q FROM aud a JOIN runs USING (run_id))
   SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS runs, count(*) FILTER (n_inv > 0) AS inventing, round(count(*) FILTER (n_inv > 0) / count(*)::DOUBLE, 6) AS rate FROM r WHERE NOT q AND NOT floored GROUP BY 1""")
 def r6_live_rate(t):

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom.streaming.budget import budget_guard
+
+__all__ = ["budget_guard", "budget_stream", "lifecycle", "lifecycle_stream", "spend_summary"]
+
 # ---------------------------------------------------------------- lifecycle
 
 LIFECYCLE = "run_id string, status string, modes_completed int, modes_failed int, modes_refused int, last_ts timestamp"
@@ -81,35 +85,8 @@ def _decide(spent: Decimal, costs, cap: Decimal):
     return spent, out
 
 
-def budget_guard(calls: DataFrame, cap: str) -> DataFrame:
-    """Accept a call when spent + cost stays within the cap; refused calls do not spend. Order decides.
-
-    A plain running sum is wrong after the first refusal, so each ledger is walked in order. A ledger of any
-    size streams through its task sorted and in Arrow batches; only its running total is held.
-
-    calls  ledger_id, seq, cost decimal
-    """
-    limit = Decimal(cap)
-    ordered = calls.select("ledger_id", "seq", F.col("cost").cast("decimal(18,8)").alias("cost")).repartition(
-        "ledger_id").sortWithinPartitions("ledger_id", "seq")
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, spent = None, Decimal(0)
-        for f in frames:
-            flags, totals = [], []
-            for ledger, cost in zip(f["ledger_id"], f["cost"]):
-                if ledger != current:
-                    current, spent = ledger, Decimal(0)
-                spent, ((ok, total),) = _decide(spent, [cost], limit)
-                flags.append(ok)
-                totals.append(total)
-            yield f.assign(accepted=flags, spent=totals)[BUDGET_COLUMNS]
-
-    return ordered.mapInPandas(walk, BUDGET)
-
-
 def budget_stream(calls: DataFrame, cap: str) -> DataFrame:
-    """The same as state per ledger: the running total, over calls in sequence order within each micro-batch."""
+    """`budget_guard` as state per ledger: the running total, over calls in sequence order within each micro-batch."""
     limit = Decimal(cap)
 
     def guard(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
