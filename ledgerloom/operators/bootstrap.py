@@ -47,12 +47,13 @@ def _key(cols: Sequence[str]):
 
 
 def draws_of(units: DataFrame, by: Sequence[str], stats: Sequence[str], key: Sequence[str] | None = None,
-             draws: int = 2000, seed: int = 0, spread: bool = True) -> DataFrame:
+             draws: int = 2000, seed: int = 0, spread: bool = True, whole: bool = False) -> DataFrame:
     """Weighted sums per draw: columns by..., draw, n (total weight), and one sum per statistic.
 
     units   one row per resampled unit, numeric statistic columns
     key     unit identity columns; without it units with equal statistics are merged into cells
     spread  deal keyed units out to all tasks first; not needed where they come from a scan of many splits
+    whole   keyed units only: leave out units with a null statistic, and add the plain sums as draw -1, from the same pass
     """
     by, stats = list(by), list(stats)
     if key is None:
@@ -60,7 +61,7 @@ def draws_of(units: DataFrame, by: Sequence[str], stats: Sequence[str], key: Seq
     keyed = units.select(*by, *[F.col(x).cast("double").alias(x) for x in stats], _key(by + list(key)).alias("_id"))
     if spread:
         keyed = keyed.repartition(max(1, keyed.sparkSession.sparkContext.defaultParallelism), "_id")
-    return _keyed(keyed, by, stats, draws, seed)
+    return _keyed(keyed, by, stats, draws, seed, whole)
 
 
 def unit_weights(ids: Sequence[str], draws: int, seed: int) -> np.ndarray:
@@ -72,7 +73,7 @@ def unit_weights(ids: Sequence[str], draws: int, seed: int) -> np.ndarray:
     return np.searchsorted(np.array(S.POISSON_CDF), u, side="right").astype(np.float64)
 
 
-def _keyed(units: DataFrame, by: list[str], stats: list[str], draws: int, seed: int) -> DataFrame:
+def _keyed(units: DataFrame, by: list[str], stats: list[str], draws: int, seed: int, whole: bool) -> DataFrame:
     """Sums per group and draw of units (by, stats as doubles, _id), reduced in the tasks first."""
     if draws % 4:
         raise ValueError("draws come four to a digest; use a multiple of four")
@@ -86,15 +87,19 @@ def _keyed(units: DataFrame, by: list[str], stats: list[str], draws: int, seed:
 
         def flushed():
             for group, sums in held.items():
-                yield pa.record_batch([*[pa.array([g] * draws, f.type) for g, f in zip(group, arrow)], pa.array(range(draws), pa.int32()),
+                yield pa.record_batch([*[pa.array([g] * len(sums), f.type) for g, f in zip(group, arrow)], pa.array(range(draws - len(sums), draws), pa.int32()),
                                        *[pa.array(col) for col in sums.T]], schema=arrow)
             held.clear()
         for batch in batches:
             groups = list(zip(*[batch.column(b).to_pylist() for b in by])) if by else [()] * batch.num_rows
             ids = batch.column("_id").to_pylist()
             values = np.column_stack([np.ones(len(ids)), *[pc.fill_null(batch.column(x), 0.0).to_numpy(zero_copy_only=False) for x in stats]])
+            if whole:
+                values[np.logical_or.reduce([pc.is_null(batch.column(x)).to_numpy(zero_copy_only=False) for x in stats])] = 0.0
             for at in range(0, len(ids), UNITS):
                 weights = unit_weights(ids[at:at + UNITS], draws, seed)
+                if whole:
+                    weights = np.column_stack([np.ones(len(weights)), weights])
                 rows: dict[tuple, list[int]] = {}
                 for k, group in enumerate(groups[at:at + UNITS]):
                     rows.setdefault(group, []).append(k)

@@ -13,16 +13,48 @@ from ledgerloom.functions.groups import join_groups
 
 #: Rows up to which the anchors of a registry, a hash and a length each, are hinted to be broadcast: some 32 MB.
 BROADCAST_ANCHORS = 1_000_000
+#: Bits of the anchors' filter: at most so many (8 MB), and some sixteen an anchor below that.
+FILTER_BITS = 1 << 26
+#: Phrases from which a token counts as hot in a shortlist.
+HOT = 1000
 WINDOWS = (32, 16, 8, 4, 2, 1)
 
 
+def anchor_filter(anchors: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """One row with a Bloom filter of the hashes `_w` as an array of 64-bit words, and its number of bits.
+
+    Two bits a hash. The array is built by aggregates and is at most FILTER_BITS long, whatever the registry's size.
+    """
+    bits = 1 << max(6, min(FILTER_BITS.bit_length() - 1, (16 * count).bit_length()))
+    at = F.explode(F.array(*[_probe(F.col("_w"), i, bits) for i in range(2)]))
+    words = anchors.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_at").bitwiseAND(F.lit(63)).cast("int"))).alias("_v"))
+    every = anchors.sparkSession.range(bits // 64).join(words, "id", "left")
+    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("_v", F.lit(0).cast("bigint")).alias("v")))).alias("_f"))
+    return row.select(F.col("_f.v").alias("_filter")), bits
+
+
+def _probe(h: Column, i: int, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 32 * i).bitwiseAND(F.lit(bits - 1).cast("bigint"))
+
+
+def _maybe(h: Column, bits: int) -> Column:
+    """Whether a hash may be in the row's `_filter`."""
+    def there(i):
+        at = _probe(h, i, bits)
+        word = F.get(F.col("_filter"), F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
+    return there(0) & there(1)
+
+
 def literal_hits(texts: DataFrame, key: Sequence[str], text: str, registry: DataFrame, phrase_id: str = "id",
                  phrase: str = "phrase", min_len: int = 8) -> DataFrame:
     """(key..., phrase_id) for every phrase of at least `min_len` characters the text contains, case-folded.
 
     A phrase is anchored at its leading window of 32, 16, ... characters, the longest it has. The windows of a text are
-    hashed in place and meet the anchors before anything is shuffled, where the counted anchors are few enough to be
-    broadcast; Spark joins larger ones by shuffle. Candidates are verified against the text. Every row of `texts` has
+    hashed in place and tested there against a Bloom filter of the anchors, so that little but the hits leaves the row. These
+    meet the anchors, before anything is shuffled where the counted anchors are few enough to be broadcast; Spark joins
+    larger ones by shuffle. Candidates are verified against the text. Every row of `texts` has
     its own hits, null keys included; a phrase_id with the same phrase twice is one entry.
     """
     size = F.coalesce(*[F.when(F.length("_p") >= w, F.lit(w)) for w in WINDOWS])
@@ -44,8 +76,11 @@ def literal_hits(texts: DataFrame, key: Sequence[str], text: str, registry: Data
             p, F.coalesce(F.substr(F.get(ps, i + 1), F.lit(1), F.lit(n - 1)), F.lit(""))), inside)))
 
     pieces = F.regexp_extract_all("_t", F.lit("(?s).{1,128}"), F.lit(0))
-    seen = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[X.let(pieces, windows(n)) for n in counts]))
-    grams = body.select(*key, "_h", F.explode_outer(seen).alias("_w")).where(F.col("_w").isNotNull())
+    bloom, bits = anchor_filter(anchors, sum(counts.values()))
+    body_f = body.crossJoin(F.broadcast(bloom))
+    seen = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[
+        F.filter(X.let(pieces, windows(n)), lambda h: _maybe(h, bits)) for n in counts]))
+    grams = body_f.select(*key, "_h", F.explode_outer(seen).alias("_w")).where(F.col("_w").isNotNull())
     cand = grams.join(small(anchors.select("_w")), "_w", "left_semi").join(reg, "_w").select(*key, "_h", "_id", "_p").distinct()
     return join_groups(cand, body, [*key, "_h"]).where(F.contains("_t", "_p")).select(*key, F.col("_id").alias(phrase_id))
 
@@ -67,16 +102,21 @@ def _tokens(text) -> Column:
 
 
 def shortlist(texts: DataFrame, key: Sequence[str], text: str, registry: DataFrame, order: str = "id",
-              phrase: str = "phrase", k: int = 8) -> DataFrame:
+              phrase: str = "phrase", k: int = 8, hot: int = HOT) -> DataFrame:
     """The k registry phrases sharing most tokens with a text, registry order on ties and as padding.
 
     `key` identifies a text. Texts meet the registry's inverted index on tokens and keep their best k by a group-limited
-    top-k; what is missing is filled from the registry's first 2k entries, the only rows sent to every task.
+    top-k; what is missing is filled from the registry's first 2k entries, the only rows sent to every task. Tokens in
+    more than `hot` phrases never meet the index: see `_bounded_votes`.
     """
     key = list(key)
-    index = registry.select(F.col(order).alias("_id"), F.explode_outer(_tokens(phrase)).alias("_tok")).where(F.col("_tok").isNotNull())
+    words = registry.select(F.col(order).alias("_id"), F.explode_outer(_tokens(phrase)).alias("_tok")).where(F.col("_tok").isNotNull())
     toks = texts.select(*key, F.explode_outer(_tokens(text)).alias("_tok")).where(F.col("_tok").isNotNull())
-    votes = toks.join(index, "_tok").groupBy(*key, "_id").agg(F.count("*").cast("int").alias("_o"))
+    rarity = words.groupBy("_tok").agg(F.count("*").alias("_df"))
+    if (rarity.agg(F.max("_df")).first()[0] or 0) <= hot:
+        votes = toks.join(words, "_tok").groupBy(*key, "_id").agg(F.count("*").cast("int").alias("_o"))
+    else:
+        votes = _bounded_votes(toks.join(rarity, "_tok"), words.join(rarity, "_tok"), key, k, hot)
     best = Window.partitionBy(*key).orderBy(F.col("_o").desc(), "_id")
     top = votes.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     top = top.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_r", "_id", "_o"))).alias("_top"))
@@ -89,6 +129,41 @@ def shortlist(texts: DataFrame, key: Sequence[str], text: str, registry: DataFra
     return out.select(*key, (F.col("rank") + 1).alias("rank"), F.col("e.id").alias(order), F.col("e.overlap").alias("overlap"))
 
 
+def _bounded_votes(toks: DataFrame, words: DataFrame, key: Sequence[str], k: int, hot: int) -> DataFrame:
+    """key..., _id, _o: shared tokens of every pair that can be among a text's first k.
+
+    toks, words  tokens of texts and of phrases, with _df, the number of phrases that hold the token
+
+    The rare tokens give each text candidates, at most `hot` a token. Its hot tokens, h of them, add h at most: candidates that
+    lie more than h behind the k-th are dropped, the others are scored again with their own hot tokens. A phrase without
+    a rare token in common scores h at most, so where the k-th candidate lies above h there is nothing more to find. For
+    the other texts phrases with the same hot tokens are alike, and the first k of them stand for all; these meet the
+    texts' different sets of hot tokens, once each.
+    """
+    votes = toks.where(F.col("_df") <= hot).join(words.where(F.col("_df") <= hot).select("_tok", "_id"), "_tok").groupBy(
+        *key, "_id").agg(F.count("*").cast("int").alias("_c"))
+    none = F.array().cast("array<string>")
+    rest = toks.where(F.col("_df") > hot).groupBy(*key).agg(F.sort_array(F.collect_set("_tok")).alias("_rest"))
+    tails = words.where(F.col("_df") > hot).groupBy("_id").agg(F.sort_array(F.collect_set("_tok")).alias("_hot"))
+
+    order = Window.partitionBy(*key).orderBy(F.col("_c").desc(), "_id")
+    placed = votes.withColumn("_r", F.row_number().over(order))
+    kth = placed.where(F.col("_r") == k).select(*key, F.col("_c").alias("_kth"))
+    known = join_groups(join_groups(votes, rest, key, "left"), kth, key, "left").withColumn("_rest", F.coalesce("_rest", none))
+    near = known.where(F.col("_kth").isNull() | (F.col("_c") + F.size("_rest") >= F.col("_kth"))).join(tails, "_id", "left")
+    exact = near.select(*key, "_id", (F.col("_c") + F.size(F.array_intersect("_rest", F.coalesce("_hot", none)))).alias("_o"))
+
+    need = join_groups(rest, kth, key, "left").where(F.col("_kth").isNull() | (F.col("_kth") <= F.size("_rest"))).drop("_kth")
+    heads = tails.withColumn("_r", F.row_number().over(Window.partitionBy("_hot").orderBy("_id"))).where(F.col("_r") <= k).drop("_r")
+    sets = need.select("_rest").distinct()
+    shared = sets.select("_rest", F.explode("_rest").alias("_tok")).join(
+        heads.select("_hot").distinct().select("_hot", F.explode("_hot").alias("_tok")), "_tok").groupBy("_rest", "_hot").agg(F.count("*").cast("int").alias("_o"))
+    best = Window.partitionBy("_rest").orderBy(F.col("_o").desc(), "_id")
+    listed = shared.join(heads, "_hot").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    extra = need.join(listed.select("_rest", "_id", "_o"), "_rest").select(*key, "_id", "_o")
+    return exact.unionByName(extra).groupBy(*key, "_id").agg(F.max("_o").alias("_o"))
+
+
 def pools(spans: DataFrame, key: Sequence[str], sample: int | None = None) -> DataFrame:
     """Validation pools with flags dictated, literal, construct: POS, OVER and NEG, whole.
 

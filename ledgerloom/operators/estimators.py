@@ -543,11 +543,14 @@ def mean_interval(df: DataFrame, by: Sequence[str], key: Sequence[str], value: s
                   seed: int = 0) -> DataFrame:
     """Mean per group with a unit bootstrap."""
     by = list(by)
-    point = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    units = df.where(F.col(value).isNotNull()).select(*by, *key, value)
-    ci = intervals(draws_of(units, by, [value], key=key, draws=draws, seed=seed, spread=False), by, rule="truncate", draws=draws,
-                   mean=S.ratio(value, "n"))
-    return join_groups(point, ci, by, "left")
+    drawn = draws_of(df.select(*by, *key, value), by, [value], key=key, draws=draws, seed=seed, spread=False, whole=True)
+    mean, own = S.ratio(value, "n"), F.col("draw") < 0
+    # one pass over the drawn sums: at most `draws` numbers a group
+    packed = drawn.groupBy(*by).agg(F.max(F.when(own, F.col("n"))).cast("bigint").alias("n"), F.max(F.when(own, mean)).alias("mean"),
+                                    F.sort_array(F.collect_list(F.when(~own, mean))).alias("_v"))
+    lo, hi = S.interval("_v", "truncate")
+    enough = F.size("_v") >= draws * 0.5
+    return packed.select(*by, "n", "mean", F.when(enough, lo).alias("mean_lo"), F.when(enough, hi).alias("mean_hi"))
 
 
 def moved(a_lo, a_hi, b_lo, b_hi) -> Column:

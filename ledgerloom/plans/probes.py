@@ -44,17 +44,26 @@ _TOK = ("list_distinct(list_transform(list_filter(regexp_split_to_array({}, '\\s
         "lambda w: lower(regexp_replace(w, '^[.,;:()\\[\\]\"'']+|[.,;:()\\[\\]\"'']+$', '', 'g'))))")
 
 
-@query("v12_shortlist", f"""WITH {REG}, rt AS (SELECT id, unnest({_TOK.format('phrase')}) AS tok FROM rg),
+_V12 = f"""WITH {REG}, rt AS (SELECT id, unnest({_TOK.format('phrase')}) AS tok FROM rg),
   st AS (SELECT conv_id, turn, unnest({_TOK.format('text')}) AS tok FROM conversations),
   ov AS (SELECT conv_id, turn, id, count(*) AS overlap FROM st JOIN rt USING (tok) GROUP BY 1, 2, 3),
   al AS (SELECT conv_id, turn, id, overlap FROM ov UNION ALL SELECT c.conv_id, c.turn, r.id, 0 FROM conversations c CROSS JOIN (SELECT id FROM rg) r
      WHERE NOT EXISTS (SELECT 1 FROM ov WHERE ov.conv_id = c.conv_id AND ov.turn = c.turn AND ov.id = r.id)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, id) AS rank FROM al)
-  SELECT conv_id, turn, rank::INT AS rank, id, overlap::INT AS overlap FROM rk WHERE rank <= 8""")
+  SELECT conv_id, turn, rank::INT AS rank, id, overlap::INT AS overlap FROM rk WHERE rank <= 8"""
+
+
+@query("v12_shortlist", _V12)
 def v12_shortlist(t):
     return D.shortlist(t.conversations, ["conv_id", "turn"], "text", registry(t))
 
 
+@query("v12_shortlist_hot", _V12)
+def v12_shortlist_hot(t):
+    """The same where every token in more than three phrases counts as hot."""
+    return D.shortlist(t.conversations, ["conv_id", "turn"], "text", registry(t), hot=3)
+
+
 _POOL = f"""{SENT}, {REG}, hit AS (SELECT DISTINCT doc_id, pos FROM se JOIN rg ON length(phrase) >= 8 AND contains(lower(s), lower(phrase))),
   fl AS (SELECT se.doc_id, se.pos, regexp_matches(source, '^src1?[02468]$') AS dictated, h.doc_id IS NOT NULL AS literal, {K.mask('t', LEX)} <> 0 AS construct
      FROM se LEFT JOIN hit h ON h.doc_id = se.doc_id AND h.pos = se.pos),
