@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import GOLD, factors, mix, pieces, settled
+from ledgerloom.llm.common import GOLD, factors, fresh, mix, pieces, settled
 
 #: Characters from which a text is walked in parts of STRIDE pieces.
 LONG, STRIDE = 1 << 18, 1 << 15
@@ -196,7 +196,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str], ids: b
     """
     spark = settled(docs.sparkSession)
     key, sent = (ranks, pattern), spark.sparkContext.broadcast(vocabulary(ranks))
-    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_body"))
+    body = fresh(docs, "body_")
+    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(body))
     schema = docs.select(*columns).schema
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -205,9 +206,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, columns: list[str], ids: b
 
     def run(batches):
         c = codec(key, sent)
-        for part, _, _ in pieces(batches, "_body"):
+        for part, _, _ in pieces(batches, body):
             lists, count, of_ids, of_bytes = [], [], [], []
-            for text in part.column("_body").to_pylist():
+            for text in part.column(body).to_pylist():
                 a, b, n, whole = sha256(), sha256(), 0, []
                 for some in c.encode(text):
                     if digests:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import GOLD, factors, mix, pieces, settled, word_hashes
+from ledgerloom.llm.common import GOLD, factors, fresh, mix, pieces, settled, word_hashes
 
 WORDS, SHAPES, RANK, NEAREST, POWER = 1536, 512, 48, 15, 6
 PER_CLASS, LONGEST = 1500, 1 << 14
@@ -120,11 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voter
 def scores(docs: DataFrame, voters: Voters | None, columns: list[str]) -> DataFrame:
     """The named columns of the documents with `score`."""
     sent = settled(docs.sparkSession).sparkContext.broadcast(voters)
-    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_body"))
+    body = fresh(docs, "body_")
+    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(body))
 
     def run(batches):
         v = sent.value
-        for part, data, offs in pieces(batches, "_body"):
+        for part, data, offs in pieces(batches, body):
             got = v.score(data, offs) if v is not None else np.zeros(part.num_rows)
             yield pa.RecordBatch.from_pydict({**{f: part.column(f) for f in columns}, "score": pa.array(got)})
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import pieces, settled
+from ledgerloom.llm.common import fresh, pieces, settled
 
 BATCH, PIECE = 1 << 18, 1 << 14
 
@@ -52,14 +52,15 @@ def counts(docs: DataFrame, path: str, columns: list[str], limit: int = 512) ->
     path  a byte-level tokenizer file, readable on every worker
     """
     settled(docs.sparkSession)
-    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_body"))
+    body = fresh(docs, "body_")
+    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(body))
     schema = docs.select(*columns).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches):
         tok = tokenizer(path)
-        for part, _, offs in pieces(batches, "_body", BATCH):
+        for part, _, offs in pieces(batches, body, BATCH):
             parts, owner = [], []
-            for i, text in enumerate(part.column("_body").to_pylist()):
+            for i, text in enumerate(part.column(body).to_pylist()):
                 own = split(text)
                 parts += own
                 owner += [i] * len(own)

@@ -12,6 +12,7 @@ document ends with the end id, so none is empty. Documents without an id come fi
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -48,21 +49,42 @@ def plain(text: str) -> str:
     return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")  # each mark stands alone here
 
 
+# Fixed values of the tokenizer kind for which `plain` and word-wise encoding hold: what normalises, and what parts words.
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space between words and marks, and encodes these alone."""
+    normaliser, parts = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return ([x.get("type") for x in normaliser.get("normalizers", [])] == NORMALISERS
+            and normaliser["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+            and parts[0].get("pattern") == {"Regex": WORDS} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+            and spec["model"].get("end_of_word_suffix") == "</w>")
+
+
 class Ids:
-    """Ids of texts as bytes. The pre-tokenizer drops white space, so words between ASCII white space are encoded alone,
-    by the library and once while they are remembered (two generations of bounded size)."""
+    """Ids of texts as bytes. Where the pre-tokenizer drops white space (`by_words`), words between ASCII white space are encoded
+    alone, by the library and once while they are remembered (two generations of bounded size). Any other tokenizer gets
+    the texts whole and as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.word_wise = by_words(json.loads(self.tok.to_str()))
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.last = np.zeros(self.tok.get_vocab_size(), bool)
         self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        if self.word_wise:
+            return self.of([plain(t).encode() for t in texts])
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         young, old = self.young, self.old
@@ -224,7 +246,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
         ids = encoder(tokenizer)
         tail = np.array([end], ids.kind).tobytes()
         for part, _, _ in pieces(batches):
-            got = [x + tail for x in ids.of([plain(t).encode() for t in part.column("text").to_pylist()])]
+            got = [x + tail for x in ids.whole(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "k1": part.column("k1"), "k2": part.column("k2"),
                                               "wide": pa.array([ids.kind.itemsize] * len(got), pa.int32()), "ids": pa.array(got, pa.binary())})
 

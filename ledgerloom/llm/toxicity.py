@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import factors, mix, pieces, settled
+from ledgerloom.llm.common import factors, fresh, mix, pieces, settled
 
 WINDOW, STEP = 64, 48
 HIDDEN, VEC, BUCKETS, STAT = 8, 4, 1 << 12, 1 << 16
@@ -332,13 +332,14 @@ def scores(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFram
     """The named columns of the documents with `score`."""
     settled(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_body"))
-    kept = [f for f in base.schema if f.name != "_body"]
+    body = fresh(docs, "body_")
+    base = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(body))
+    kept = [f for f in base.schema if f.name != body]
 
     def run(batches):
         m = sent.value
-        for part, _, _ in pieces(batches, "_body"):
-            texts = part.column("_body").to_pylist()
+        for part, _, _ in pieces(batches, body):
+            texts = part.column(body).to_pylist()
             got = score(m, texts) if m is not None else np.zeros(len(texts), np.float32)
             rest = part.select([f.name for f in kept])
             yield pa.record_batch([*rest.columns, pa.array(got.astype(np.float64))], names=[*rest.schema.names, "score"])

@@ -83,8 +83,10 @@ def test_code_round_trip(monkeypatch):
         assert all((a == b).all() for a, b in zip(docs, back))
 
 
-def test_token_files(spark, docs, corpus, none, tmp_path):
-    path, lib = P.path("word_bpe_49k.json"), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files(spark, docs, corpus, none, tmp_path, file):
+    path, lib = P.path(file), Tokenizer.from_file(P.path(file))
+    assert token_files.Ids(path).word_wise == (file == "word_bpe_49k.json")
     more = spark.createDataFrame([(900, "ÀÉ Straße, İstanbul; ẖi ΣΑΣ é x<|endoftext|>y <|ENDOFTEXT|> 'S can'T a.b, c)."), (901, "\x1c\x85 a")],
                                  "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(more)
@@ -150,3 +152,18 @@ def test_plain_keeps_ids():
     for _ in range(3000):
         t = "".join(rng.choice(signs) for _ in range(rng.randint(1, 12)))
         assert lib.encode(token_files.plain(t), add_special_tokens=False).ids == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("name", ["_body", "body_", "score", "ids"])
+def test_columns_of_any_name(docs, name):
+    """Columns that the operators could use themselves stay as they are."""
+    from ledgerloom.llm import quality, toxicity
+
+    more = docs.select("doc_id", "text", "n").withColumnRenamed("n", name)
+    columns = ["doc_id", name]
+    assert bpe.encode(more, RANKS, P.PATTERN, columns, ids=name != "ids", digests=True).columns[:2] == columns
+    got = token_counts.counts(more, P.path("byte_bpe_50k.json"), columns).collect()
+    assert Counter((r["doc_id"], r[name]) for r in got) == Counter((r["doc_id"], r["n"]) for r in docs.select("doc_id", "n").collect())
+    if name != "score":
+        assert quality.scores(more, None, columns).where("score = 0").count() == docs.count()
+        assert toxicity.scores(more, None, columns).where("score = 0").count() == docs.count()
