@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.detectors import detector, plain
 from ledgerloom.functions import text as X
+from ledgerloom.functions.alignment import differing
 from ledgerloom.functions.prefix import below
 from ledgerloom.lexicons import lexicon
 from ledgerloom.operators import detection as D
@@ -174,51 +175,25 @@ def token_mask(offsets, mask) -> Column:
         X.as_col(mask), lambda s: (o["end"] > s["start"]) & (o["start"] < s["end"])).cast("int"))
 
 
-def _pieces(text) -> Column:
-    """Words with the white space behind them; joined they give the text back."""
-    return F.filter(F.split(F.col(text), r"(?<=\s)(?=\S)", -1), lambda p: p != "")
-
-
-def _agree(a, b) -> Column:
-    """How many leading words of two arrays are equal."""
-    equal = F.zip_with(a, b, lambda x, y: F.coalesce(F.regexp_replace(x, r"\s+$", "") == F.regexp_replace(y, r"\s+$", ""), F.lit(False)))
-    at = F.array_position(equal, False)
-    return F.when(at > 0, at - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
-
-
-def _words_in(text: str):
-    """Words of the differing stretch of a text that lie in a mask span."""
-    def count(m):
-        start = F.greatest(m["start"], F.col(f"{text}s"))
-        part = F.substr(F.col(text), start + 1, F.greatest(F.least(m["end"], F.col(f"{text}e")) - start, F.lit(0)))
-        return F.size(F.regexp_extract_all(part, F.lit(r"\S+"), F.lit(0)))
-    return count
-
-
 def diagnose_pairs(pairs: DataFrame, lex, keep: Sequence[str], chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Differing-word share, off-feature share and length ratio per pair.
 
-    What differs is what lies between the longest common beginning and the longest common end, in words. That is exact
-    for pairs made by cutting or inserting one stretch of text; of pairs edited in several places all words from the first
-    to the last edit count as differing. A differing word is on the feature when it lies in a sentence that holds it.
+    Words differ that a shortest edit script deletes or inserts, wherever in the pair it edits. A differing word is on the
+    feature when it meets a sentence that holds it. Where several shortest scripts exist, their counts agree; which of equal
+    words counts as the one edited is settled from the ends of the texts inwards.
     """
     d = pairs.select(*keep, F.coalesce(chosen, F.lit("")).alias("_a"), F.coalesce(rejected, F.lit("")).alias("_b"))
     for t in ("_a", "_b"):
-        d = feature_mask(d, t, lex, f"{t}m").withColumn(f"{t}p", _pieces(t))
-    d = d.withColumn("_lead", _agree("_ap", "_bp"))
-    d = d.withColumn("_tail", F.least(_agree(F.reverse("_ap"), F.reverse("_bp")), F.least(F.size("_ap"), F.size("_bp")) - F.col("_lead")))
-    n, on = [], []
-    for t in ("_a", "_b"):
-        size = F.size(f"{t}p")
-        start = F.length(F.array_join(F.slice(f"{t}p", F.lit(1), F.col("_lead")), ""))
-        end = F.length(t) - F.length(F.array_join(F.slice(f"{t}p", size - F.col("_tail") + 1, F.col("_tail")), ""))
-        d = d.withColumns({f"{t}s": start, f"{t}e": end, f"{t}n": size - F.col("_lead") - F.col("_tail")})
-        on.append(F.aggregate(F.transform(f"{t}m", _words_in(t)), F.lit(0), lambda a, x: a + x))
-        n.append(F.col(f"{t}n"))
-    total, all_ = n[0] + n[1], F.size("_ap") + F.size("_bp")
-    d = d.withColumns({"differing": F.when(total > 0, total / all_).otherwise(0.0), "off_feature": F.when(total > 0, 1 - (on[0] + on[1]) / total).otherwise(0.0)})
-    ratio = F.when(F.col("differing") == 0, F.lit(1.0)).when(F.length("_b") > 0, F.length("_a") / F.length("_b"))
-    return d.select(*keep, "differing", "off_feature", ratio.alias("length_ratio"))
+        d = feature_mask(d, t, lex, f"{t}m")
+    d = X.held(d, "_d", differing("_a", "_b"))
+
+    def off(words, mask):
+        return F.size(F.filter(words, lambda w: ~F.exists(mask, lambda s: (w["end"] > s["start"]) & (w["start"] < s["end"]))))
+    total = F.size("_d.a") + F.size("_d.b")
+    share = F.when(total > 0, (off(F.col("_d.a"), F.col("_am")) + off(F.col("_d.b"), F.col("_bm"))) / total).otherwise(0.0)
+    ratio = F.when(total == 0, F.lit(1.0)).when(F.length("_b") > 0, F.length("_a") / F.length("_b"))
+    return d.select(*keep, F.when(total > 0, total / F.col("_d.words")).otherwise(0.0).alias("differing"), share.alias("off_feature"),
+                    ratio.alias("length_ratio"))
 
 
 def diagnose(diagnosed: DataFrame, by: Sequence[str]) -> DataFrame:

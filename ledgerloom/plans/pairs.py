@@ -177,6 +177,20 @@ def d9_diagnose_pairs(t):
     return rounded(_minimal(t))
 
 
+@query("d9_spliced_pairs", f"""WITH w AS (SELECT doc_id, regexp_extract_all({K.ascii_text('text')}, '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents), p AS (SELECT doc_id, len(ws) AS n, ws, [2, n // 2 + 1, n - 1] AS places FROM w WHERE n >= 8),
+  r AS (SELECT doc_id, n, array_to_string(ws, ' ') AS a, array_to_string(list_transform(ws, lambda x, i: CASE WHEN list_contains(places, i) THEN 'qqq' || i ELSE x END), ' ') AS b FROM p)
+  SELECT doc_id, round(6 / (2 * n)::DOUBLE, 6) AS differing, round(length(a) / length(b)::DOUBLE, 6) AS length_ratio, CASE WHEN {K.mask('a', LEX)} | {K.mask('b', LEX)} = 0 THEN 1.0::DOUBLE END AS off_feature FROM r""")
+def d9_spliced_pairs(t):
+    """Texts against themselves with three words replaced, near both ends and in the middle."""
+    ascii_ = F.regexp_replace("text", "[^\\x00-\\x7f]", "z")
+    w = t.documents.select("doc_id", F.regexp_extract_all(ascii_, F.lit("[^ \\t\\n\\x0B\\f\\r]+"), F.lit(0)).alias("ws")).where(F.size("ws") >= 8)
+    n = F.size("ws")
+    edit = F.transform("ws", lambda x, i: F.when((i == 1) | (i == F.floor(n / 2)) | (i == n - 2), F.concat(F.lit("qqq"), i + 1)).otherwise(x))
+    p = w.select("doc_id", F.array_join("ws", " ").alias("chosen"), F.array_join(edit, " ").alias("rejected"))
+    d = D.diagnose_pairs(p.withColumn("m", X.families_mask("chosen", LEX).bitwiseOR(X.families_mask("rejected", LEX))), LEX, ["doc_id", "m"])
+    return rounded(d.select("doc_id", "differing", "length_ratio", F.when(F.col("m") == 0, F.col("off_feature")).alias("off_feature")))
+
+
 @query("d10_diagnose_set")
 def d10_diagnose_set(t):
     """Medians over the drop pairs per family."""
