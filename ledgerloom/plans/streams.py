@@ -9,6 +9,7 @@ from ledgerloom.plans import sqlkit as K
 from ledgerloom.plans.catalog import query, rounded
 from ledgerloom.plans.hygiene import CALLS, calls
 from ledgerloom.streaming import feed as S
+from ledgerloom.streaming import late as Z
 from ledgerloom.streaming import lifecycle as L
 
 KINDS = {"signup": "start", "click": "mode_done", "error": "mode_failed", "view": "token", "purchase": "mode_refused"}
@@ -85,3 +86,28 @@ def r6_live_rate(t):
         F.timestamp_seconds(F.lit(1704067200) + F.col("run_id") * 420).alias("ts"))
     r = S.live_rate(S.route_live(d, "prose", forbid="und"))
     return rounded(r.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")))
+
+
+_ARRIVED = "(event_id + user_id * 37 % 500) // 100"
+
+
+@query("r6_late_rows", f"""WITH e AS (SELECT *, {_ARRIVED} AS batch FROM events), t AS (SELECT batch, max(ts) AS top FROM e GROUP BY 1),
+  m AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM t)
+  SELECT event_id, batch, coalesce(ts < mark - INTERVAL 12 HOUR, false) AS late FROM e JOIN m USING (batch)""")
+def r6_late_rows(t):
+    """Events arriving out of order in batches, judged against the mark of the batches before."""
+    e = t.read("events").select("event_id", "ts", F.expr("(event_id + user_id * 37 % 500) div 100").alias("batch"))
+    return Z.split_batches(e, "batch", delay="12 hours").drop("ts")
+
+
+@query("r6_settled_rate", f"""WITH {K.DEALT}, {K.audited('prose')}, r AS (SELECT a.*, TIMESTAMP '2024-01-01' + to_minutes(run_id * 7) AS ts, (run_id + (run_id * 53) % 120) // 20 AS batch FROM aud a JOIN runs USING (run_id)),
+  t AS (SELECT batch, max(ts) AS top FROM r GROUP BY 1), m AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM t)
+  SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS runs, count(*) FILTER (n_inv > 0) AS inventing, round(count(*) FILTER (n_inv > 0) / count(*)::DOUBLE, 6) AS rate,
+    count(*) FILTER (ts < mark - INTERVAL 2 HOUR) AS late_runs FROM r JOIN m USING (batch) WHERE NOT floored GROUP BY 1""")
+def r6_settled_rate(t):
+    """Hourly invention rates with late runs counted back into their hours."""
+    d = t.runs.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("run_id") * 420)).withColumns(
+        {"writer_prompt": F.lit("given"), "routes": F.array(F.lit("a")), "batch": F.expr("(run_id + (run_id * 53) % 120) div 20")})
+    r = Z.split_batches(S.route_live(d, "prose").withColumn("quarantined", F.lit(False)), "batch", delay="2 hours")
+    s = Z.settled_rate(r.where("not late").drop("late"), r.where("late").drop("late"))
+    return rounded(s.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")))

@@ -38,6 +38,12 @@ def assemble_deltas(events: DataFrame, keys: Sequence[str] = ("run_id", "mode",
     return g.select(*keys, F.array_join(F.transform("_d", lambda e: e["delta"]), "").alias("text"), F.size("_d").alias("deltas"))
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder that no retry can ask for any more; a missing one is fine."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def newest_history(runs: DataFrame, order: Sequence[str], n: int = 50) -> DataFrame:
     """The newest n runs: a top-n, taken per task before anything is merged."""
     return runs.orderBy(*[F.col(c).desc() for c in order]).limit(n)
@@ -46,7 +52,8 @@ def newest_history(runs: DataFrame, order: Sequence[str], n: int = 50) -> DataFr
 def keep_history(stream: DataFrame, path: str, order: Sequence[str], checkpoint: str, n: int = 50, trigger: dict | None = None):
     """Maintain the newest n runs as a table: each batch is merged with the stored rows.
 
-    Every batch writes its own folder (a retried batch rewrites the same one), and readers take the highest.
+    Every batch writes its own folder (a retried batch rewrites the same one), and readers take the highest. The folder
+    before the one a retry would read is removed.
     """
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -54,6 +61,8 @@ def keep_history(stream: DataFrame, path: str, order: Sequence[str], checkpoint:
         if epoch > 0:
             both = batch.unionByName(spark.read.parquet(f"{path}/epoch={epoch - 1}"))
         newest_history(both, order, n).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if epoch > 1:
+            forget(spark, f"{path}/epoch={epoch - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
