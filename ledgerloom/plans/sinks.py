@@ -24,7 +24,7 @@ def written(df, name, **options):
 def s12_envelopes(t):
     """Newest run per (case, mode), written as JSON lines by mode, committed, read back and decoded."""
     d = t.read("documents").select(F.floor(F.col("doc_id") / 7).alias("case_id"), F.col("lang").alias("mode"), "doc_id", "n_chars", "text")
-    back = written(S.envelopes(d, "case_id", "mode", ["doc_id"], ["doc_id", "n_chars", "text"]), "envelopes", partition=["mode"], fmt="json")
+    back = written(S.envelopes(d, "case_id", "mode", ["doc_id"], ["doc_id", "n_chars", "text"]), "envelopes", partition=["mode"], fmt="json", compression="gzip")
     body = F.from_json("body", "doc_id long, n_chars long, text string")
     return back.select("case_id", "mode", "file", body.alias("b")).select(
         "case_id", "mode", "file", "b.doc_id", "b.n_chars", F.md5("b.text").alias("text"))
@@ -70,7 +70,7 @@ def s12_run_summary(t):
 def s12_report_payload(t):
     """Report documents per run, committed as JSON lines, read back and decoded."""
     a = attempts(t)
-    p = written(S.report_payload(S.run_summary(a), a), "reports", fmt="json")
+    p = written(S.report_payload(S.run_summary(a), a), "reports", fmt="json", compression="gzip")
     b = F.from_json("payload", "modes_completed array<string>, outputs array<struct<mode:string,chars:long,latency_ms:long,excerpt:string>>")
     return p.select("run_id", b.alias("b")).select("run_id", F.array_join("b.modes_completed", ",").alias("completed"), F.array_join(F.transform(
         "b.outputs", lambda e: F.concat_ws(":", e["mode"], e["chars"].cast("string"), e["latency_ms"].cast("string"), e["excerpt"])), ";").alias("outputs"))

@@ -46,8 +46,8 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(n.removesuffix(".json") for n in names if n.endswith(".json"))
 
 
-def commit(df: DataFrame, path: str, version: str, partition: Sequence[str] = (), fmt: str = "parquet") -> dict:
-    """Write the rows as one version and return its manifest.
+def commit(df: DataFrame, path: str, version: str, partition: Sequence[str] = (), fmt: str = "parquet", **options: str) -> dict:
+    """Write the rows as one version, with the writer's options (such as compression), and return its manifest.
 
     A version that is committed already is returned as it stands and nothing is written. Rows are counted as they are
     written. Two writers of one version stage apart; the first rename wins and the other takes the winner's manifest.
@@ -58,7 +58,7 @@ def commit(df: DataFrame, path: str, version: str, partition: Sequence[str] = ()
         return done
     folder = f"{STAGED}/{version}-{uuid.uuid4().hex}"
     seen = Observation(f"commit-{uuid.uuid4().hex}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*partition).format(fmt).save(f"{path}/{folder}")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*partition).format(fmt).options(**options).save(f"{path}/{folder}")
     fs, at = _fs(spark, path)
     body = {"version": version, "folder": folder, "rows": seen.get["rows"], "format": fmt, "partition": list(partition),
             "bytes": fs.getContentSummary(at(f"{path}/{folder}")).getLength(), "schema": json.loads(df.schema.json())}
