@@ -83,6 +83,6 @@ def s11_read_items(t):
     files = d.groupBy((F.col("doc_id") / 1000).cast("long").alias("file")).agg(
         F.to_json(F.struct(F.collect_list(F.struct(F.col("source").alias("cell"), F.col("doc_id").alias("id"), "lang", "text")).alias("items"))).alias("value"))
     path = f"{shared_dir(t.spark)}/ledgerloom-items-{uuid.uuid4().hex}"
-    files.repartitionByRange("file").write.partitionBy("file").text(path)
+    files.write.partitionBy("file").option("compression", "gzip").text(path)
     items = L.read_items(t.spark, f"{path}/file=*", "items array<struct<cell:string,id:long,lang:string,text:string>>")
     return items.select("cell", "id", "lang", F.md5("text").alias("text"))
