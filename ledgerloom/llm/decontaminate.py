@@ -19,7 +19,8 @@ every window of L words of every document is judged by exact weighted Jaccard si
 
 Null and empty texts, and items of fewer than five words, match nothing. Rows that repeat id and text share a verdict.
 Items that share an item_id, or have none, are judged text by text, and the best one is reported.
-Items' shingles are broadcast up to BROADCAST_ROWS of them (24 bytes each), beyond that everything is an ordinary join.
+Each table of items is broadcast only where its own rows, counted, are BROADCAST_ROWS at most (40 bytes each); beyond that
+the join is an ordinary one.
 """
 
 from __future__ import annotations
@@ -79,8 +80,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     bag = cut(grams(bench, ["item_id", "item_key"]).select(
         "item_id", "item_key", F.size("sh").alias("n"), repeats("sh").alias("again"), F.explode("sh").alias("g"))
               .groupBy("item_id", "item_key", "n", "again", "g").agg(F.count("*").alias("w")), "items")
-    few = bag.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda df: df)
+    # An item has a row per shingle here, and a row per block of its fingerprint below.
+    size = bag.agg(F.count("*").alias("rows"), F.count_distinct("item_id", "item_key").alias("items")).first()
+
+    def small(df, rows=size["rows"]):
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
 
     base = keyed(docs)
     spread = grams(base, ["doc_id", "k1", "k2"]).select("doc_id", "k1", "k2", F.size("sh").alias("have"), F.posexplode("sh").alias("pos", "g"))
@@ -107,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     once, plain = inside.where(~F.col("again")).drop("again"), bag.where(~F.col("again"))
     prints = fingerprint(once, key).select(*key, "fp", blocks(F.col("fp")).alias("b")).select(*key, "fp", "b.*")
     items = fingerprint(plain, ["item_id", "item_key", "n"]).select("item_id", "item_key", "n", F.col("fp").alias("ifp"), blocks(F.col("fp")).alias("b"))
-    near = prints.join(small(items.select("item_id", "item_key", "n", "ifp", "b.*")), ["n", "block", "value"]).where(
+    near = prints.join(small(items.select("item_id", "item_key", "n", "ifp", "b.*"), size["items"] * (RADIUS + 1)), ["n", "block", "value"]).where(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key, "item_id", "item_key").distinct()
     weights = ["item_id", "item_key", "g", F.col("w").alias("iw")]
     both = near.join(once, key).join(small(plain.select(*weights)), ["item_id", "item_key", "g"])

@@ -142,8 +142,11 @@ def test_leaks_shared_id(spark, id):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {0, 5}
 
 
-def test_leaks_filler(spark):
-    """Where the tenth that differs is one repeated word, on the document's side or the item's."""
+@pytest.mark.parametrize("rows", [1_000_000, 1000, 0])
+def test_leaks_filler(spark, rows, monkeypatch):
+    """Where the tenth that differs is one repeated word, on the document's side or the item's; with all tables of items
+    broadcast, some of them, none."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     rng = random.Random(12)
     plain = [prose(rng, 400).split() for _ in range(16)]
     filled = [w[:360] + ["la"] * 40 for w in plain]
