@@ -155,6 +155,54 @@ def judge_accuracy(labels: DataFrame, truth: DataFrame, unit: Sequence[str], bar
                     F.when(acc >= bar, "pass").otherwise("fail").alias("gate"))
 
 
+def batch_gates(labels: DataFrame, truth: DataFrame, batches: DataFrame, a: str, b: str, scored: Sequence[str],
+                consistent: float = 0.80, anchored: float = 0.80, failing: float = 0.20) -> DataFrame:
+    """The gates of asking judges in batches, one row per batch size and gate: size, gate, subject, n, hits, rate, ok.
+
+    parse        per judge: batches without a usable reply; below `failing`
+    consistency  per scored family: where both judges replied, both saying yes equals the frozen label; at least `consistent`.
+                 A scored family without such a unit fails
+    anchor       per judge, all families: reply equals the known truth; at least `anchored`. A judge without one fails
+
+    labels   size, unit, judge, family, value (null: no usable reply)
+    truth    unit, family, truth, anchor (known truth; else a frozen label)
+    batches  size, judge, parsed
+    """
+    rate = S.ratio("hits", "n")
+
+    def gate(df, name, subject, ok):
+        return df.select("size", F.lit(name).alias("gate"), F.col(subject).alias("subject"), "n", "hits", rate.alias("rate"),
+                         F.coalesce(ok(rate), F.lit(False)).alias("ok"))
+    judges, sizes = [a, b], batches.select("size").distinct()
+    asked = batches.where(F.col("judge").isin(judges))
+    parse = asked.groupBy("size", "judge").agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce("parsed", F.lit(False))).alias("hits"))
+    known = labels.where(F.col("judge").isin(judges)).join(truth, ["unit", "family"])
+    both = known.where(~F.col("anchor") & F.col("family").isin(list(scored))).groupBy("size", "unit", "family").agg(
+        F.max(F.when(F.col("judge") == a, F.col("value"))).alias("a"), F.max(F.when(F.col("judge") == b, F.col("value"))).alias("b"),
+        F.max("truth").alias("truth"))
+    usable = F.col("a").isNotNull() & F.col("b").isNotNull()
+    same = both.groupBy("size", "family").agg(
+        F.count_if(usable).alias("n"), F.count_if(usable & ((F.col("a") & F.col("b")) == F.col("truth"))).alias("hits"))
+    right = known.where(F.col("anchor")).groupBy("size", "judge").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value") == F.col("truth")).alias("hits"))
+
+    def full(df, subject, names):
+        wanted = sizes.select("size", F.explode(F.array(*[F.lit(x) for x in names])).alias(subject))
+        return join_groups(wanted, df, ["size", subject], "left").fillna(0, ["n", "hits"])
+    return gate(parse, "parse", "judge", lambda r: r < failing).unionByName(
+        gate(full(same, "family", scored), "consistency", "family", lambda r: r >= consistent)).unionByName(
+        gate(full(right, "judge", judges), "anchor", "judge", lambda r: r >= anchored))
+
+
+def batch_verdict(gates: DataFrame) -> DataFrame:
+    """Per batch size whether all gates hold, and the one to ship: the largest that passes, none if none does."""
+    per = gates.groupBy("size").agg(F.count("*").alias("gates"), F.count_if(~F.col("ok")).alias("failed"))
+    best = per.agg(F.max(F.when(F.col("failed") == 0, F.col("size"))).alias("_best"))
+    return per.join(F.broadcast(best)).select("size", "gates", "failed", (F.col("failed") == 0).alias("passes"),
+                                              F.coalesce(F.col("size") == F.col("_best"), F.lit(False)).alias("shipped"))
+
+
 def attenuation(counts: DataFrame, slope: DataFrame, a: str = "a", b: str = "b", min_units: int = 8) -> DataFrame:
     """Inter-judge correlation, Spearman-Brown reliability and the disattenuated slope (the largest, if several rows come)."""
     g = counts.agg(F.count("*").alias("units"), F.corr(a, b).alias("r"))
@@ -309,6 +357,19 @@ def fate_summary(labels: DataFrame, unit: Sequence[str], a: str, b: str) -> Data
                     F.when(F.col("agreed") > 0, "evaluable").otherwise("not evaluable").alias("status"))
 
 
+def fate_marginals(labels: DataFrame, unit: Sequence[str], a: str, b: str, agreed: str = "agreed") -> DataFrame:
+    """Fates per judge and among the agreed labels, each with its share of the usable ones and a Wilson interval."""
+    p = paired(labels, unit, a, b, "fate")
+    each = F.explode(F.array(
+        F.struct(F.lit(a).alias("rater"), F.col("a").alias("fate")), F.struct(F.lit(b).alias("rater"), F.col("b").alias("fate")),
+        F.struct(F.lit(agreed).alias("rater"), F.when(F.col("a") == F.col("b"), F.col("a")).alias("fate"))))
+    g = p.groupBy("a", "b").agg(F.count("*").alias("n")).select(each.alias("e"), "n").select("e.*", "n")
+    g = g.where(F.col("fate").isNotNull()).groupBy("rater", "fate").agg(F.sum("n").alias("n"))
+    g = g.join(g.groupBy("rater").agg(F.sum("n").alias("usable")), "rater")
+    lo, hi = S.wilson("n", "usable")
+    return g.select("rater", "fate", "n", "usable", S.ratio("n", "usable").alias("share"), lo.alias("share_lo"), hi.alias("share_hi"))
+
+
 def flag_gap(runs: DataFrame, item: str, draws: int = 5000, seed: int = 0) -> DataFrame:
     """Does a deferral flag discriminate? Flag rate out of domain minus in domain, and routing among flags.
 

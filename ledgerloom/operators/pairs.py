@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -285,6 +286,19 @@ def split(pairs: DataFrame, key: str, seed: int = 42, share: int = 20, least: in
     return r.drop("_h", "_n", "rank")
 
 
+def dose_match(pairs: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame:
+    """As many rows of each group as the smallest one has, by hashed order of the key, so that arms differ in kind and not in
+    dose. A null group is a group. Ranks are taken over a tree on the hash, so that a hot group is no single task's.
+
+    key  tells the rows of a group apart
+    """
+    least = pairs.groupBy(by).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_dose"))
+    rows = pairs.withColumns({"_h": _hash(seed, key), "_one": F.lit(1).cast("bigint")})
+    code = F.shiftleft(F.conv(F.substring("_h", 1, 15), 16, 10).cast("bigint"), 3)
+    placed = below(rows, [by], code, ["_one"], ["_h", key]).join(F.broadcast(least))
+    return placed.where(F.col("_one_below") < F.col("_dose")).select(*pairs.columns)
+
+
 def dedup(df: DataFrame, key: Column, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """First row (in a stated order) per key hash, by a map-side-combined struct minimum."""
     return df.groupBy(F.md5(key).alias("digest")).agg(
@@ -352,3 +366,51 @@ def judge_requests(units: DataFrame, unit: str, sentences: str, judges: Sequence
     b = s.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("_g", "_s"))).alias("_l"))
     body = F.array_join(F.transform("_l", lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e["_s"])), "\n")
     return b.select("start", F.size("_l").alias("n"), body.alias("body"), F.explode(F.array(*[F.lit(j) for j in judges])).alias("judge"))
+
+
+# --- fixed values: how a pair is laid before a judge ---
+PAIR_HEADS = ("Question:\n", "\n\n--- Response A ---\n", "\n\n--- Response B ---\n")
+# --- end of fixed values ---
+
+
+def pair_requests(pairs: DataFrame, key: str, judges: Sequence[str], done: DataFrame | None = None) -> DataFrame:
+    """Every pair before every judge in both orderings: key, judge, ordering (fwd, rev) and body; what has a verdict is left out.
+
+    A null verdict is a failed call and is asked again. The verdicts of a pair are folded to at most two a judge before they meet
+    it, so texts cross one shuffle and are copied only into requests that are due. Null texts are empty; a pair without a key is
+    always due.
+
+    pairs  key, question, first, second (keys tell pairs apart)      done  key, judge, ordering, verdict
+    """
+    wanted = [(j, o) for j in judges for o in ("fwd", "rev")]
+    slots = F.array(*[F.struct(F.lit(j).alias("judge"), F.lit(o).alias("ordering"), F.lit(1 << i).cast("bigint").alias("bit"))
+                      for i, (j, o) in enumerate(wanted)])
+    due = pairs.withColumn("_seen", F.lit(0).cast("bigint"))
+    if done is not None:
+        bits = [F.max(F.when((F.col("judge") == j) & (F.col("ordering") == o), F.lit(1 << i)).otherwise(0)).cast("bigint")
+                for i, (j, o) in enumerate(wanted)]
+        seen = done.where(F.col("verdict").isNotNull()).groupBy(key).agg(reduce(lambda x, y: x + y, bits).alias("_seen"))
+        due = pairs.join(seen, key, "left").withColumn("_seen", F.coalesce("_seen", F.lit(0).cast("bigint")))
+    left = F.filter(slots, lambda s: F.col("_seen").bitwiseAND(s["bit"]) == 0)
+    rows = due.select(key, "question", "first", "second", F.explode(left).alias("s"))
+    x, y = F.coalesce("first", F.lit("")), F.coalesce("second", F.lit(""))
+    fwd = F.col("s.ordering") == "fwd"
+    q, one, two = (F.lit(h) for h in PAIR_HEADS)
+    body = F.concat(q, F.coalesce("question", F.lit("")), one, F.when(fwd, x).otherwise(y), two, F.when(fwd, y).otherwise(x))
+    return rows.select(key, "s.judge", "s.ordering", body.alias("body"))
+
+
+def property_order(key, names: Sequence[str], seed: int = 42) -> Column:
+    """The properties in an order of each unit's own, by hash of seed, key and name, against position bias."""
+    marked = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(X.as_col(key).cast("string"), F.lit("~")), n)).alias("h"), n.alias("n")))
+    return F.transform(F.sort_array(marked), lambda e: e["n"])
+
+
+def property_requests(units: DataFrame, key: str, definitions: dict[str, str], done: DataFrame | None = None,
+                      results: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """One request per unit not yet done: its key, the properties in its own order, and their definitions line by line."""
+    due = units if done is None else remaining(units, done, [key], results)
+    table = F.create_map(*[F.lit(x) for kv in definitions.items() for x in kv])
+    lines = F.transform(F.col("properties"), lambda n: F.concat(F.lit("- "), n, F.lit(": "), F.element_at(table, n)))
+    return due.withColumn("properties", property_order(key, list(definitions), seed)).withColumn("definitions", F.array_join(lines, "\n"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["provenance", "estimators", "nulls", "detection", "detectors", "hygiene", "guards", "sources", "sinks", "labels", "probes", "cards", "ordered", "pairs", "streams"]
+MODULES = ["provenance", "estimators", "nulls", "detection", "detectors", "hygiene", "guards", "sources", "sinks", "labels", "probes", "cards", "ordered", "pairs", "evidence", "streams"]
 
 
 def load():
