@@ -163,11 +163,11 @@ def e44_fate_marginals(t):
 
 # ---------------------------------------------------------------- doses and requests
 
-@query("d15_dose_match", """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id)) AS r FROM documents),
-  k AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM documents GROUP BY source)) SELECT doc_id, source FROM r, k WHERE r <= k""")
+@query("d15_dose_match", """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id)) AS r FROM documents),
+  k AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM documents GROUP BY lang)) SELECT doc_id, lang FROM r, k WHERE r <= k""")
 def d15_dose_match(t):
-    """Documents of every source in the dose of the smallest."""
-    return D.dose_match(t.read("documents").select("doc_id", "source"), "source", "doc_id")
+    """Documents of every language in the dose of the rarest."""
+    return D.dose_match(t.read("documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
 _HEAD = [K.q(h).replace("\n", "' || chr(10) || '") for h in D.PAIR_HEADS]
