@@ -7,8 +7,8 @@ poisson      (default) each unit of each draw gets a Poisson(1) weight from a ha
              not the number of rows. A cell of m units gets exactly Poisson(m) at every m: the sum of m
              unit weights, or from `REJECTION` units on one transformed rejection sample of that same
              law. One pass, no join, map-side combined.
-multinomial  the classical scheme, n slots filled by hashed unit index. It makes n rows per draw and
-             joins them back, so its cost is rows times draws.
+multinomial  the classical scheme, n slots filled by hashed unit index. Its cost is rows times draws: digests in
+             a task, and rows that are joined back for groups beyond PACKED units.
 
 Keyed units take Poisson weights too, each a row of its own: a task multiplies the weights of a block of units (draws
 wide, from digests) with their statistics and keeps the sums, so what it passes on is draws times statistics per group and
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerloom.functions import stats as S
+from ledgerloom.functions.cuts import cut
 from ledgerloom.functions.groups import join_groups
 from ledgerloom.functions.text import let
 
@@ -40,6 +41,8 @@ REJECTION = 16
 TRIES = 24
 #: Keyed units whose weights are held at once, and bytes of sums that a task holds before it passes them on.
 UNITS, HELD = 256, 64 << 20
+#: Units of a group whose statistics a task of the classical scheme holds, and slots that it hashes at once.
+PACKED, SLOTS = 2_000_000, 1 << 16
 
 
 def _key(cols: Sequence[str]):
@@ -192,13 +195,14 @@ def multinomial_draws(units: DataFrame, by: Sequence[str], stats: Sequence[str],
                       draws: int = 2000, seed: int = 0) -> DataFrame:
     """Classical resampling with replacement: `draws_of`'s columns, every draw of a group's own size.
 
-    Slots are hashed to unit ranks; weights are the slot counts, so only (group, draw, rank) counts are joined
-    back to the units. Units rank by the digest of their key in two levels, its first digits and the rest, so
-    that no task ranks a whole group.
+    Slots are hashed to unit ranks; weights are the slot counts. The statistics of a group of at most PACKED units, a few
+    numbers each, are sent to every range of draws, which hashes its slots in place; of larger groups (group, draw, rank)
+    counts are joined back to the units. Units rank by the digest of their key in two levels, its first digits and the
+    rest, so that no task ranks a whole group. The units' statistics are written first: the runs are read once.
     """
     by, stats = list(by), list(stats)
     marked = units.select(*by, *stats, *[k for k in key if k not in by and k not in stats], F.md5(_key(key)).alias("_h"))
-    marked = marked.withColumn("_top", F.substring("_h", 1, 3))
+    marked = cut(marked.withColumn("_top", F.substring("_h", 1, 3)), "units")
     tops = marked.groupBy(*by, "_top").agg(F.count("*").alias("_c"))
     group = Window.partitionBy(*by)
     before = F.sum("_c").over(group.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1))
@@ -206,6 +210,61 @@ def multinomial_draws(units: DataFrame, by: Sequence[str], stats: Sequence[str],
     inner = Window.partitionBy(*by, "_top").orderBy("_h", *key)
     ranked = join_groups(marked.withColumn("_i", F.row_number().over(inner)), tops, [*by, "_top"]).select(
         *by, *stats, "_n", (F.col("_b") + F.col("_i") - 1).alias("_pick"))
+    plain = all(isinstance(units.schema[x].dataType, (T.IntegralType, T.FractionalType)) and not isinstance(units.schema[x].dataType, T.DecimalType) for x in stats)
+    if not plain:
+        return _shuffled_slots(ranked, by, stats, draws, seed)
+    small = _packed_slots(ranked.where(F.col("_n") <= PACKED), by, stats, draws, seed)
+    if not tops.where(F.col("_n") > PACKED).head(1):
+        return small
+    return small.unionByName(_shuffled_slots(ranked.where(F.col("_n") > PACKED), by, stats, draws, seed))
+
+
+def _packed_slots(ranked: DataFrame, by: list[str], stats: list[str], draws: int, seed: int) -> DataFrame:
+    """Slots of groups whose statistics fit a task: these go to every range of draws, no slot leaves its task."""
+    whole = {x: isinstance(ranked.schema[x].dataType, T.IntegralType) for x in stats}
+    fields = [*[T.StructField(f"_g{i}", ranked.schema[b].dataType) for i, b in enumerate(by)], T.StructField("draw", T.IntegerType()),
+              T.StructField("n", T.DoubleType()), *[T.StructField(x, T.DoubleType()) for x in stats]]
+    arrow = to_arrow_schema(T.StructType(fields))
+    tasks = max(1, min(draws, 4 * ranked.sparkSession.sparkContext.defaultParallelism))
+    width = -(-draws // tasks)
+    ranges = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(width)))
+    packed = ranked.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], *[F.col(x).cast("double").alias(x) for x in stats], "_pick", ranges.alias("_from"))
+    held = [f"_g{i}" for i in range(len(by))]
+
+    def drawn(table: pa.Table) -> pa.Table:
+        n, first = table.num_rows, table.column("_from")[0].as_py()
+        order = np.argsort(table.column("_pick").to_numpy())
+        values, known = [], []
+        for x in stats:
+            known.append(pc.is_valid(table.column(x)).to_numpy()[order])
+            values.append(pc.fill_null(table.column(x), 0.0).to_numpy()[order])
+        at = range(first, min(first + width, draws))
+        sums: list[list[float | None]] = [[] for _ in stats]
+        for draw in at:
+            weights = slot_counts(n, draw, seed)
+            there = weights > 0
+            for out, v, k in zip(sums, values, known):
+                used = there & k
+                out.append(float(weights[used] @ v[used]) if used.any() else None)
+        groups = [pa.array([table.column(g)[0].as_py()] * len(at), arrow.field(g).type) for g in held]
+        return pa.table([*groups, pa.array(at, pa.int32()), pa.array([float(n)] * len(at)), *[pa.array(s, pa.float64()) for s in sums]], schema=arrow)
+
+    out = packed.groupBy(*held, "_from").applyInArrow(drawn, T.StructType(fields))
+    return out.select(*[F.col(g).alias(b) for g, b in zip(held, by)], "draw", "n", *[
+        F.col(x).cast("bigint").alias(x) if whole[x] else F.col(x) for x in stats])
+
+
+def slot_counts(n: int, draw: int, seed: int) -> np.ndarray:
+    """How often a draw's n slots pick each of n units: 60 bits of the digest of (seed, draw, slot), modulo n."""
+    counts, head, md5 = np.zeros(n, np.int64), f"{seed}|{draw}|", hashlib.md5
+    for at in range(0, n, SLOTS):
+        raw = b"".join([md5(f"{head}{j}".encode()).digest()[:8] for j in range(at, min(at + SLOTS, n))])
+        counts += np.bincount((np.frombuffer(raw, ">u8") >> 4).astype(np.int64) % n, minlength=n)
+    return counts.astype(np.float64)
+
+
+def _shuffled_slots(ranked: DataFrame, by: list[str], stats: list[str], draws: int, seed: int) -> DataFrame:
+    """Slots of groups of any size, as rows that meet their units by a join."""
     slots = ranked.select(*by, "_n", "_pick", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col("_pick")))
     at = F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("bigint") % F.col("_n")
