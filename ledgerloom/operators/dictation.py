@@ -11,8 +11,8 @@ from ledgerloom.functions import stats as S
 from ledgerloom.functions import text as X
 from ledgerloom.functions.groups import join_groups
 
-#: Rows up to which the anchors of a registry, a hash and a length each, are hinted to be broadcast: some 32 MB.
-BROADCAST_ANCHORS = 1_000_000
+#: Phrases of a registry, and bytes of their texts, up to which it is hinted to be broadcast.
+BROADCAST_ANCHORS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Bits of the anchors' filter: at most so many (8 MB), and some sixteen an anchor below that.
 FILTER_BITS = 1 << 26
 #: Phrases from which a token counts as hot in a shortlist.
@@ -47,42 +47,98 @@ def _maybe(h: Column, bits: int) -> Column:
     return there(0) & there(1)
 
 
+#: Characters looked at on either side of the blank of a phrase of two or three words.
+EDGES = (4, 2, 1, 0)
+
+
+def _longest(n: Column, sizes: Sequence[int]) -> Column:
+    return F.coalesce(*[F.when(n >= w, F.lit(w)) for w in sizes])
+
+
+def _gram(code, parts: Sequence[Column]) -> Column:
+    return F.xxhash64(code, *parts)
+
+
+def _anchored(reg: DataFrame) -> DataFrame:
+    """Phrases `_p` with their anchor: its code `_n` (what `_text_hashes` computes) and hash `_w`.
+
+    A text that holds a phrase holds its inner words, those with a blank on both sides, as words of its own. The anchor of four
+    words or more is the longest run of three inner words (two, of four words); that of two or three words what meets at the
+    first blank, up to four characters a side; that of a single word its leading window of 32, 16, ... characters.
+    """
+    reg = X.held(reg, "_ws", F.split("_p", " ", -1))
+    n = F.size("_ws")
+
+    def run(k):
+        grams = F.transform(F.sequence(F.lit(1), n - 1 - k), lambda i: F.struct(
+            sum((F.length(F.get("_ws", i + j)) for j in range(k)), F.lit(0)).alias("l"),
+            _gram(F.lit(-k), [F.get("_ws", i + j) for j in range(k)]).alias("h")))
+        return F.struct(F.lit(-k).alias("_n"), F.array_max(grams)["h"].alias("_w"))
+    left, right = F.get("_ws", F.lit(0)), F.get("_ws", F.lit(1))
+    a, b = _longest(F.length(left), EDGES), _longest(F.length(right), EDGES)
+    code = 1000 + a * 10 + b
+    edge = F.struct(code.alias("_n"), _gram(code, [F.right(left, a), F.left(right, b)]).alias("_w"))
+    size = _longest(F.length("_p"), WINDOWS)
+    single = F.struct(size.alias("_n"), _gram(size, [F.left("_p", size)]).alias("_w"))
+    anchor = F.when(n >= 5, run(3)).when(n == 4, run(2)).when(n >= 2, edge).otherwise(single)
+    return X.held(reg, "_a", anchor).select("_id", "_p", "_a._n", "_a._w")
+
+
+def _text_hashes(text: str, codes: dict[int, int]) -> Column:
+    """The distinct hashes of a text for every code of anchors; codes gives the shortest phrase of each."""
+    none = F.array().cast("array<bigint>")
+
+    def run(ws, n):
+        return F.transform(ws, lambda x, i: _gram(F.lit(n), [x, *[F.get(ws, i + j) for j in range(1, -n)]]))
+
+    def edges(ws, n):
+        a, b = F.lit((n - 1000) // 10), F.lit(n % 10)
+        return F.transform(ws, lambda x, i: _gram(F.lit(n), [F.right(x, a), F.left(F.coalesce(F.get(ws, i + 1), F.lit("")), b)]))
+
+    def inside(ws, n):
+        def windows(x):
+            each = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: _gram(F.lit(n), [F.substr(x, i, F.lit(n))]))
+            return F.when(F.length(x) >= n, each).otherwise(none)
+
+        # a place in a long word is found by walking there, so windows are taken in pieces that reach into the next
+        def long(w):
+            return X.let(F.regexp_extract_all(w, F.lit("(?s).{1,128}"), F.lit(0)), lambda ps: F.flatten(F.transform(
+                ps, lambda p, i: X.let(F.concat(p, F.coalesce(F.left(F.get(ps, i + 1), F.lit(n - 1)), F.lit(""))), windows))))
+        enough = F.filter(F.array_distinct(ws), lambda w: F.length(w) >= codes[n])
+        return F.flatten(F.transform(enough, lambda w: F.when(F.length(w) <= 128, windows(w)).otherwise(long(w))))
+
+    def of(ws):
+        return F.array_distinct(F.concat(none, *[(run if n < 0 else edges if n >= 1000 else inside)(ws, n) for n in sorted(codes)]))
+    return X.let(F.split(F.col(text), " ", -1), of)
+
+
 def literal_hits(texts: DataFrame, key: Sequence[str], text: str, registry: DataFrame, phrase_id: str = "id",
                  phrase: str = "phrase", min_len: int = 8) -> DataFrame:
     """(key..., phrase_id) for every phrase of at least `min_len` characters the text contains, case-folded.
 
-    A phrase is anchored at its leading window of 32, 16, ... characters, the longest it has. The windows of a text are
-    hashed in place and tested there against a Bloom filter of the anchors, so that little but the hits leaves the row. These
-    meet the anchors, before anything is shuffled where the counted anchors are few enough to be broadcast; Spark joins
-    larger ones by shuffle. Candidates are verified against the text. Every row of `texts` has
-    its own hits, null keys included; a phrase_id with the same phrase twice is one entry.
+    Phrases are anchored at their words (see `_anchored`), and the words of a text are hashed in place. Where the registry's
+    counted size allows it to be broadcast, the hashes meet the phrases and candidates are verified in the row: nothing is
+    shuffled. Otherwise the hashes pass a Bloom filter of the anchors, meet them by an ordinary join, and candidates are
+    verified against the text. Every row of `texts` has its own hits, null keys included; a phrase_id with the same phrase
+    twice is one entry.
     """
-    size = F.coalesce(*[F.when(F.length("_p") >= w, F.lit(w)) for w in WINDOWS])
-    reg = registry.select(F.col(phrase_id).alias("_id"), F.lower(phrase).alias("_p")).where(
-        F.length("_p") >= max(1, min_len)).distinct().withColumn("_n", size)
-    reg = reg.withColumn("_w", F.xxhash64("_n", F.substr("_p", F.lit(1), F.col("_n"))))
-    anchors = reg.select("_w", "_n").distinct()
-    counts = {r["_n"]: r["c"] for r in anchors.groupBy("_n").agg(F.count("*").alias("c")).collect()}  # six rows at most
-    small = F.broadcast if sum(counts.values()) <= BROADCAST_ANCHORS else (lambda df: df)
+    reg = _anchored(registry.select(F.col(phrase_id).alias("_id"), F.lower(phrase).alias("_p")).where(
+        F.length("_p") >= max(1, min_len)).distinct())
+    # a row per code of anchors, some thirty at most
+    sizes = reg.groupBy("_n").agg(F.count("*").alias("c"), F.min(F.length("_p")).alias("least"), F.sum(F.octet_length("_p")).alias("bytes")).collect()
+    count, size = sum(r["c"] for r in sizes), sum(r["bytes"] for r in sizes)
     body = texts.select(*key, F.lower(X.as_col(text)).alias("_t")).where(F.length("_t") >= max(1, min_len))
+    hashes = F.explode_outer(_text_hashes("_t", {r["_n"]: r["least"] for r in sizes})).alias("_w")
+    out = [*key, F.col("_id").alias(phrase_id)]
+    if count <= BROADCAST_ANCHORS and size <= BROADCAST_BYTES:
+        held = X.held(body.select(*key, "_t"), "_t", F.col("_t")).select(*key, "_t", hashes)
+        return held.join(F.broadcast(reg.select("_w", "_id", "_p")), "_w").where(F.contains("_t", "_p")).select(*out)
     body = body.withColumn("_h", F.xxhash64("_t"))
-
-    def windows(n):
-        # a position in a long string is found by walking there, so windows are taken in pieces that reach into the next
-        def inside(x):
-            each = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.substr(x, i, F.lit(n))))
-            return F.when(F.length(x) >= n, each).otherwise(F.array().cast("array<bigint>"))
-        return lambda ps: F.flatten(F.transform(ps, lambda p, i: X.let(F.concat(
-            p, F.coalesce(F.substr(F.get(ps, i + 1), F.lit(1), F.lit(n - 1)), F.lit(""))), inside)))
-
-    pieces = F.regexp_extract_all("_t", F.lit("(?s).{1,128}"), F.lit(0))
-    bloom, bits = anchor_filter(anchors, sum(counts.values()))
-    body_f = body.crossJoin(F.broadcast(bloom))
-    seen = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[
-        F.filter(X.let(pieces, windows(n)), lambda h: _maybe(h, bits)) for n in counts]))
-    grams = body_f.select(*key, "_h", F.explode_outer(seen).alias("_w")).where(F.col("_w").isNotNull())
-    cand = grams.join(small(anchors.select("_w")), "_w", "left_semi").join(reg, "_w").select(*key, "_h", "_id", "_p").distinct()
-    return join_groups(cand, body, [*key, "_h"]).where(F.contains("_t", "_p")).select(*key, F.col("_id").alias(phrase_id))
+    grams = body.select(*key, "_h", hashes).where(F.col("_w").isNotNull())
+    bloom, bits = anchor_filter(reg.select("_w").distinct(), count)
+    grams = grams.crossJoin(F.broadcast(bloom)).where(_maybe(F.col("_w"), bits)).drop("_filter")
+    cand = grams.join(reg.select("_w", "_id", "_p"), "_w").select(*key, "_h", "_id", "_p").distinct()
+    return join_groups(cand, body, [*key, "_h"]).where(F.contains("_t", "_p")).select(*out)
 
 
 def dictation_gate(prompts: DataFrame, label: str, text: str, registry: DataFrame, min_len: int = 1, **kw) -> DataFrame:
