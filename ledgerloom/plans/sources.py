@@ -128,15 +128,17 @@ def s10_labels_long(t):
     The caches are built from the flattened sentences themselves, ten to a batch, as the judges were asked.
     """
     units = t.documents.select(F.col("doc_id").alias("unit_id"), X.sentences("text").alias("sentences"))
-    placed = L.global_offsets(units, "unit_id", F.size("sentences"))
-    flat = X.explode_rows(placed, ["offset"], F.col("sentences"), "i", "s").select(
-        (F.col("offset") + F.col("i")).alias("g"), "s").withColumn("start", F.floor(F.col("g") / 10) * 10)
-    def cache(judge, value):
-        at = (F.col("g") - F.col("start") + 1).cast("string")
-        # a batch holds ten sentences, so the collected map is bounded
-        return flat.groupBy("start").agg(F.map_from_entries(F.collect_list(F.struct(
-            at, F.create_map(F.lit("article"), value)))).alias("labels")).select(F.lit(judge).alias("judge"), "start", "labels")
-    both = cache("one", X.has("s", r"\bthe\b")).unionByName(cache("two", F.length("s") > 60))
+    # the judges answer where the sentences are: answers travel, texts do not
+    answers = F.transform(X.sentences("text"), lambda s: F.struct(X.has(s, r"\bthe\b").alias("one"), (F.length(s) > 60).alias("two")))
+    judged = X.held(t.documents.select(F.col("doc_id").alias("unit_id"), "text"), "v", answers).select("unit_id", "v")
+    placed = L.global_offsets(judged, "unit_id", F.size("v"))
+    flat = X.explode_rows(placed, ["offset"], F.col("v"), "i", "v").select(
+        (F.col("offset") + F.col("i")).alias("g"), "v").withColumn("start", F.floor(F.col("g") / 10) * 10)
+    at = (F.col("g") - F.col("start") + 1).cast("string")
+    # a batch holds ten sentences, so the collected maps are bounded
+    caches = flat.groupBy("start").agg(*[F.map_from_entries(F.collect_list(F.struct(
+        at, F.create_map(F.lit("article"), F.col(f"v.{j}"))))).alias(j) for j in ("one", "two")])
+    both = caches.select(F.explode(F.array(*[F.struct(F.lit(j).alias("judge"), "start", F.col(j).alias("labels")) for j in ("one", "two")])).alias("e")).select("e.*")
     return L.labels_long(units, both)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
@@ -190,11 +190,19 @@ def turns(runs: DataFrame, keep: Sequence[str], turns_col: str = "turns") -> Dat
 def global_offsets(units: DataFrame, order: str, count: Column) -> DataFrame:
     """Running offset of each unit in the ordered concatenation of all units, by a tree of totals.
 
+    Only ids and counts go through the tree; the offsets meet the units again by their id. Of units that share an id the one
+    with fewer elements comes first.
+
     order  a whole or other number that tells the units apart; units without it have no place and are left out
     """
-    key = F.col(order).cast("bigint") if dict(units.dtypes)[order] in ("tinyint", "smallint", "int", "bigint") else sortable(order)
+    whole = dict(units.dtypes)[order] in ("tinyint", "smallint", "int", "bigint")
     counted = units.where(F.col(order).isNotNull()).withColumn("_n", F.coalesce(count, F.lit(0)).cast("bigint"))
-    return below(counted, [], key, ["_n"], [order]).withColumnRenamed("_n_below", "offset").drop("_n", "_n_all")
+    slim = counted.select(F.col(order).alias("_unit"), "_n")
+    placed = below(slim, [], F.col("_unit").cast("bigint") if whole else sortable("_unit"), ["_n"], ["_unit", "_n"])
+    places = placed.groupBy("_unit").agg(F.sort_array(F.collect_list(F.struct("_n", F.col("_n_below").alias("at")))).alias("_at"))
+    joined = counted.join(places, F.col(order) == F.col("_unit"))
+    nth = F.row_number().over(Window.partitionBy("_unit").orderBy("_n"))
+    return joined.withColumn("_nth", nth).select(*units.columns, F.get("_at", F.col("_nth") - 1)["at"].alias("offset"))
 
 
 def labels_long(units: DataFrame, cache: DataFrame, order: str = "unit_id", batch: int = 10) -> DataFrame:
@@ -202,8 +210,10 @@ def labels_long(units: DataFrame, cache: DataFrame, order: str = "unit_id", batc
 
     units  unit id and sentences array      cache  judge, start, labels map<string,map<string,boolean>>
     """
-    placed = global_offsets(units, order, F.size("sentences"))
-    sents = X.explode_rows(placed, [order, "offset"], F.col("sentences"), "sent_idx", "s").select(
+    sized = X.held(units.select(order, "sentences"), "_size", F.size("sentences")).select(order, "_size")
+    placed = global_offsets(sized, order, F.col("_size"))
+    each = F.when(F.col("_size") > 0, F.sequence(F.lit(0), F.col("_size") - 1))
+    sents = placed.select(order, "offset", F.explode_outer(each).alias("sent_idx")).where(F.col("sent_idx").isNotNull()).select(
         order, "sent_idx", (F.col("offset") + F.col("sent_idx")).alias("_g"))
     flat = cache.select("judge", "start", F.explode_outer("labels").alias("at", "m")).where(F.col("m").isNotNull())
     flat = flat.select("judge", (F.col("start") + F.col("at").cast("bigint") - 1).alias("_g"),
