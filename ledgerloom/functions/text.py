@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,24 +35,105 @@ def has(text, pattern: str) -> Column:
     return F.coalesce(as_col(text).rlike(FLAGS + pattern), F.lit(False))
 
 
+# ---------------------------------------------------------------- literals of patterns
+
+#: What else than its two cases matches an ASCII letter when case is ignored the Unicode way.
+ODD_CASES = "\u017f\u0131\u0130\u212a"
+#: A piece of a pattern as far as its literals go: escapes, classes, groups, quantifiers, single characters.
+_PIECE = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?(?:[:=!]|<[=!])|[*+?]\??|\{[^}]*\}\??|.", re.S)
+
+
+@lru_cache(maxsize=None)
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case ASCII literals of which every match of the pattern holds one at least; empty where none are known.
+
+    Reads plain sequences, groups and alternatives; anything else (flags, back references, anchors of lines) counts as unknown.
+    """
+    pieces = _PIECE.findall(pattern)
+
+    def branch(at: int) -> tuple[tuple[str, ...], int]:
+        """The best literals of the alternatives from a position to the end of their group."""
+        found: list[tuple[str, ...]] = []
+        best: tuple[str, ...] = ()
+        run = ""
+
+        def better(a, b):
+            return a if a and (not b or min(map(len, a)) > min(map(len, b))) else b
+        while True:
+            piece = pieces[at] if at < len(pieces) else ")"
+            last: tuple[str, ...] = ()
+            single = False
+            if piece in ("|", ")"):
+                found.append(better((run,) if run else (), best))
+                if piece == ")":
+                    return (tuple(dict.fromkeys(x for f in found for x in f)) if all(found) else ()), at + 1
+                best, run, at = (), "", at + 1
+                continue
+            if piece == "(" or piece.startswith("(?"):
+                ahead = piece not in ("(", "(?:")
+                last, at = branch(at + 1)
+                last = () if ahead else last
+            else:
+                single = piece.isascii() and (piece.isalnum() or piece in " -:/,;%&'_")
+                last, at = ((piece.lower(),) if single else ()), at + 1
+            follow = pieces[at] if at < len(pieces) else ""
+            quantified = follow[:1] in ("*", "+", "?", "{") and follow != ""
+            least = quantified and (follow[0] == "+" or follow[0] == "{" and not follow.startswith(("{0", "{,")))
+            if quantified:
+                at += 1
+            if single and not quantified:
+                run += last[0]
+                continue
+            # whatever ends a run of literals: a wider piece, a group or a quantified character
+            if single and least:
+                run += last[0]
+            best, run = better((run,) if run else (), best), ""
+            if not quantified or least:
+                best = better(last, best)
+
+    if "(?" in re.sub(r"\(\?(?:[:=!]|<[=!])", "", pattern) or re.search(r"\\[1-9kQExuNpP0c]", pattern):
+        return ()
+    lits = branch(0)[0]
+    return lits if lits and min(map(len, lits)) > 1 else ()
+
+
+def _folded(text) -> Column:
+    """What `_maybe` reads: the text, its lower case, and whether it has letters that case folding takes for ASCII ones."""
+    t = as_col(text)
+    return F.struct(t.alias("t"), F.lower(t).alias("l"), reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in ODD_CASES]).alias("o"))
+
+
+def _maybe(e: Column, pattern: str) -> Column | None:
+    """Whether a folded text may match: it holds a literal that every match holds. None where the pattern has no such literal."""
+    lits = needed(pattern)
+    return reduce(lambda a, b: a | b, [e["o"], *[F.contains(e["l"], F.lit(x)) for x in lits]]) if lits else None
+
+
+def _has_folded(e: Column, pattern: str) -> Column:
+    maybe = _maybe(e, pattern)
+    return has(e["t"], pattern) if maybe is None else F.coalesce(maybe, F.lit(False)) & has(e["t"], pattern)
+
+
 # ---------------------------------------------------------------- families
 
 def families_mask(text, lex) -> Column:
-    """Bit i is set when family i of the lexicon has at least one match. Null text gives 0."""
-    bits = [
-        F.when(reduce(lambda a, b: a | b, [has(text, p) for p in pats]), F.lit(1 << i).cast("bigint"))
-        .otherwise(F.lit(0).cast("bigint"))
-        for i, pats in enumerate(lexicon(lex).values())
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    """Bit i is set when family i of the lexicon has at least one match. Null text gives 0.
+
+    A pattern is searched for in texts that hold one of its literals.
+    """
+    def bits(e):
+        return reduce(lambda a, b: a.bitwiseOR(b), [
+            F.when(reduce(lambda a, b: a | b, [_has_folded(e, p) for p in pats]), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            for i, pats in enumerate(lexicon(lex).values())])
+    return let(_folded(text), bits)
 
 
 def mask_names(mask, lex) -> Column:
     """Sorted family names of a mask."""
     order = sorted((name, i) for i, name in enumerate(lexicon(lex)))
-    return F.array_compact(F.array(*[
-        F.when(as_col(mask).bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(name)) for name, i in order
-    ]))
+    return let(mask, lambda m: F.array_compact(F.array(*[
+        F.when(m.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(name)) for name, i in order
+    ])))
 
 
 def mask_has(mask, i: int) -> Column:
@@ -134,13 +216,15 @@ def spans(text, lex) -> Column:
     """
     none = F.array().cast("array<struct<start:int,end:int,family:string>>")
 
-    def located(fam, pattern):
-        matches = F.regexp_extract_all(as_col(text), F.lit(FLAGS + pattern), F.lit(0))
-        found = let(_stretches(text, FLAGS + pattern, matches), lambda e: F.transform(e["m"], lambda m, i: let(
-            F.get(e["at"], i) + F.get(e["g"], i), lambda at: F.struct(at.alias("start"), (at + m).alias("end"), F.lit(fam).alias("family")))))
-        return F.when(has(text, pattern), found).otherwise(none)
+    def located(t, fam, pattern):
+        def found(matches):
+            return let(_stretches(t["t"], FLAGS + pattern, matches), lambda e: F.transform(e["m"], lambda m, i: let(
+                F.get(e["at"], i) + F.get(e["g"], i), lambda at: F.struct(at.alias("start"), (at + m).alias("end"), F.lit(fam).alias("family")))))
+        maybe = _maybe(t, pattern)
+        each = let(F.regexp_extract_all(t["t"], F.lit(FLAGS + pattern), F.lit(0)), lambda ms: F.when(F.size(ms) > 0, found(ms)).otherwise(none))
+        return F.when(t["t"].isNotNull() if maybe is None else maybe, each).otherwise(none)
 
-    return F.sort_array(F.flatten(F.array(*[located(fam, p) for fam, pats in lexicon(lex).items() for p in pats])))
+    return let(_folded(text), lambda t: F.sort_array(F.flatten(F.array(*[located(t, fam, p) for fam, pats in lexicon(lex).items() for p in pats]))))
 
 
 def held(df, name: str, value):

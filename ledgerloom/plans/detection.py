@@ -65,7 +65,8 @@ def t5_property_classes(t):
     """Every shipped property class over all documents, in one pass."""
     rows = [(n, f, ps) for n in ("prose", "prose_loose", "attribution", "epistemic", "disposition", "pair_gate")
             for f, ps in NAMED[n].items()]
-    one = t.documents.agg(*[F.count_if(X.families_mask("text", {f: ps}) > 0).alias(f"c{i}") for i, (_, f, ps) in enumerate(rows)])
+    every = X.held(t.documents.select("text"), "m", X.families_mask("text", {f"{n} {f}": ps for n, f, ps in rows}))
+    one = every.agg(*[F.count_if(X.mask_has("m", i)).alias(f"c{i}") for i in range(len(rows))])
     each = F.explode(F.array(*[
         F.struct(F.lit(n).alias("property_class"), F.lit(f).alias("family"), F.lit(len(ps)).alias("patterns"),
                  F.col(f"c{i}").alias("docs")) for i, (n, f, ps) in enumerate(rows)]))

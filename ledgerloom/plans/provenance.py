@@ -75,7 +75,7 @@ def _evidence_sql() -> str:
 def v1_audit_evidence(t):
     """Quoted evidence for every invented family (letters outside ASCII shown as z, for the oracle)."""
     a = V.audit(t.runs, LEX, evidence=True)
-    each = a.select("run_id", F.explode("evidence").alias("family", "m"))
+    each = a.select("run_id", F.explode_outer("evidence").alias("family", "m")).where(F.col("family").isNotNull())
     return each.select("run_id", "family", F.regexp_replace(
         F.array_join("m", "|"), r"[^\x00-\x7F]", "z").alias("evidence"))
 
