@@ -94,12 +94,14 @@ class Scored(Detector):
     def spans(self, part, text):
         t = F.coalesce(X.as_col(text), F.lit(""))
 
-        def located(offsets):
+        def located(sentences):
             def of(f):
-                hit = F.filter(offsets, lambda s: self.reached[f](F.substr(t, s["start"] + 1, s["end"] - s["start"])))
+                hit = F.filter(sentences, lambda s: self.reached[f](s["s"]))
                 return F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f).alias("family")))
             return F.sort_array(F.flatten(F.array(*[of(f) for f in self.names])))
-        return X.let(X.sentence_offsets(t), located)
+        # the sentences themselves, since a place in a string is found by walking there from its start
+        return X.let(F.zip_with(X.sentence_offsets(t), X.sentences(t), lambda o, s: F.struct(
+            o["start"].alias("start"), o["end"].alias("end"), s.alias("s"))), located)
 
 
 class Called(Detector):

@@ -19,23 +19,36 @@ from ledgerloom.operators import detection as D
 
 # ---------------------------------------------------------------- ablation and corpora
 
-def starts_in(spans: Column, sentence: Column, drop: Column | None = None) -> Column:
-    """Some span (of the families in drop, where given) starts inside the sentence's offsets."""
-    def inside(p):
-        at = (p["start"] >= sentence["start"]) & (p["start"] < sentence["end"])
-        return at if drop is None else at & F.array_contains(drop, p["family"])
-    return F.exists(spans, inside)
+#: Steps of a search by halving.
+STEPS = [1 << k for k in range(30, -1, -1)]
+
+
+def sentence_hits(spans, sentences, drop: Column | None = None) -> Column:
+    """Per sentence whether some span (of the families in drop, where given) starts inside its offsets.
+
+    spans  sorted by their start, which is searched for by halving: no sentence reads all spans of its text
+    """
+    named = X.as_col(spans) if drop is None else F.filter(spans, lambda p: F.array_contains(drop, p["family"]))
+    at = F.transform(named, lambda p: p["start"])
+
+    def inside(e, s):
+        def halved(pos, step):
+            return F.when((pos + step <= F.size(e["at"])) & (F.get(e["at"], pos + step - 1) < s["start"]), pos + step).otherwise(pos)
+        return F.coalesce(F.get(e["at"], F.aggregate(e["steps"], F.lit(0), halved)) < s["end"], F.lit(False))
+
+    def located(starts):
+        steps = F.filter(F.array(*[F.lit(x) for x in STEPS]), lambda x: x <= F.size(starts))
+        return X.let(F.struct(starts.alias("at"), steps.alias("steps")), lambda e: F.transform(sentences, lambda s: inside(e, s)))
+    return X.let(at, located)
 
 
 def _located(df: DataFrame, text: str, lex) -> DataFrame:
-    """With spans and sentences of a text; a detector that joins a table has detections for the part of the column's name."""
+    """With spans, offsets of sentences and the sentences of a text; a detector that joins a table has detections for the part
+    of the column's name."""
     det = detector(lex)
     found = plain(X.held(det.prepared(df, [text]), "_sp", det.spans(text, F.col(text))))
-    return X.held(found, "_so", X.sentence_offsets(text))
-
-
-def _cut(text, s: Column) -> Column:
-    return X.strip(F.substr(X.as_col(text), s["start"] + 1, s["end"] - s["start"]))
+    both = F.struct(X.sentence_offsets(text).alias("so"), X.sentences(F.coalesce(F.col(text), F.lit(""))).alias("ss"))
+    return X.held(found, "_sents", both).withColumns({"_so": F.col("_sents.so"), "_ss": F.col("_sents.ss")}).drop("_sents")
 
 
 def ablate(df: DataFrame, text: str, lex, drop: str | None = None, out: str = "ablated") -> DataFrame:
@@ -43,16 +56,16 @@ def ablate(df: DataFrame, text: str, lex, drop: str | None = None, out: str = "a
 
     drop  array column of family names. Text without such a span is returned unchanged.
     """
-    return _without(_located(df, text, lex), text, drop, out).drop("_sp", "_so")
+    return _without(_located(df, text, lex), text, drop, out).drop("_sp", "_so", "_ss")
 
 
 def _without(d: DataFrame, text: str, drop: str | None, out: str) -> DataFrame:
     """`ablate` of texts whose spans and sentences are located."""
     dropped = F.col(drop) if drop else None
-    named = F.col("_sp") if drop is None else F.filter("_sp", lambda p: F.array_contains(dropped, p["family"]))
-    keep = F.filter("_so", lambda s: ~starts_in(F.col("_sp"), s, dropped))
-    rebuilt = X.strip(F.array_join(F.transform(keep, lambda s: _cut(text, s)), " "))
-    return d.withColumn(out, F.when(F.size(named) == 0, F.col(text)).otherwise(rebuilt))
+    none = F.size("_sp") == 0 if drop is None else ~F.exists("_sp", lambda p: F.array_contains(dropped, p["family"]))
+    keep = X.let(sentence_hits("_sp", "_so", dropped), lambda hits: F.filter("_ss", lambda _, i: ~F.get(hits, i)))
+    rebuilt = X.strip(F.array_join(F.transform(keep, lambda s: X.strip(s)), " "))
+    return d.withColumn(out, F.when(none, F.col(text)).otherwise(rebuilt))
 
 
 def supply_variants(runs: DataFrame, lex, keep: Sequence[str], upstream: str = "upstream", min_chars: int = 0) -> DataFrame:
@@ -136,9 +149,8 @@ def drop_pairs(refs: DataFrame, text: str, targets: str, lex, keep: Sequence[str
     """chosen = reference, rejected = reference without the first sentence in which a target family's span starts."""
     d = _located(refs, text, lex)
     rows = d.select(*keep, text, "_sp", "_so", F.explode_outer(targets).alias("family")).where(F.col("family").isNotNull())
-    hit = F.get(F.filter("_so", lambda s: F.exists("_sp", lambda p: (p["family"] == F.col("family")) & (
-        p["start"] >= s["start"]) & (p["start"] < s["end"]))), F.lit(0))
-    rows = rows.withColumn("_h", hit).where(F.col("_h").isNotNull())
+    first = F.array_position(sentence_hits("_sp", "_so", F.array("family")), True).cast("int")
+    rows = X.held(rows, "_h", F.get("_so", first - 1)).where(F.col("_h").isNotNull())
     rejected = X.strip(F.concat(F.substr(F.col(text), F.lit(1), F.col("_h.start")),
                                 F.substr(F.col(text), F.col("_h.end") + 1, F.length(text))))
     return rows.select(*keep, F.lit("drop").alias("kind"), "family", F.col(text).alias("chosen"), rejected.alias("rejected"),
@@ -165,9 +177,9 @@ def invention_pairs(refs: DataFrame, text: str, targets: str, injections: dict[s
 def feature_mask(df: DataFrame, text: str, lex, out: str = "mask", sentence_level: bool = True) -> DataFrame:
     """Character spans of the feature: whole sentences in which a span starts, or the bare spans."""
     d = _located(df, text, lex)
-    mask = F.filter("_so", lambda s: starts_in(F.col("_sp"), s)) if sentence_level else F.transform(
+    mask = X.let(sentence_hits("_sp", "_so"), lambda hits: F.filter("_so", lambda _, i: F.get(hits, i))) if sentence_level else F.transform(
         "_sp", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
-    return d.withColumn(out, mask).drop("_sp", "_so")
+    return X.held(d, out, mask).drop("_sp", "_so", "_ss")
 
 
 def token_mask(offsets, mask) -> Column:
