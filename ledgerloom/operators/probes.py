@@ -90,15 +90,21 @@ def carriage(runs: DataFrame, caveats: DataFrame, case: str, output: str = "outp
     caveats  case, variant, sentences: the variant with most sentences is used, the first on ties
     """
     best = caveats.groupBy(case).agg(F.max_by("sentences", F.struct(F.size("sentences"), -F.col("variant"))).alias("_c"))
-    best = best.where(F.size("_c") > 0)
     def flat(t):
         return F.lower(F.regexp_replace(F.translate(t, "*", ""), r"(?U)\s+", " "))
-    j = runs.join(best, case)
-    app = F.concat(F.col(output), F.lit("\n\n---\n"), F.array_join(F.transform("_c", lambda s: F.concat(F.lit("- "), X.strip(s))), "\n"))
-    j = j.select(case, "_c", flat(F.col(output)).alias("_b"), flat(app).alias("_f"))
-    def held(t):
-        return X.let(t, lambda body: F.size(F.filter("_c", lambda s: F.contains(body, flat(X.strip(s))))))
+    # a case's caveats and appendix are normalised once and not with every output
+    app = flat(F.concat(F.lit("\n\n---\n"), F.array_join(F.transform("_c", lambda s: F.concat(F.lit("- "), X.strip(s))), "\n")))
+    best = best.where(F.size("_c") > 0).select(case, F.size("_c").alias("_n"), F.transform("_c", lambda s: flat(X.strip(s))).alias("_s"), app.alias("_a"))
+    best = best.select(case, "_n", "_a", F.transform("_s", lambda s: F.struct(s.alias("s"), F.contains("_a", s).alias("in"))).alias("_s"))
+    j = runs.join(best, case).select(case, "_n", "_s", "_a", flat(F.col(output)).alias("_b"))
+
+    def held(body, of):
+        return X.let(body, lambda b: F.size(F.filter("_s", lambda e: b.isNotNull() & of(b, e))))
+    # blanks meet where the appendix begins; what it holds by itself needs no search in the whole
+    whole = F.concat(F.rtrim("_b"), F.col("_a"))
+    j = j.select(case, "_n", held(F.col("_b"), lambda b, e: F.contains(b, e["s"])).alias("_bare"),
+                 held(whole, lambda b, e: e["in"] | F.contains(b, e["s"])).alias("_full"))
     return j.groupBy(case).agg(
-        F.count("*").alias("runs"), F.sum(F.size("_c")).alias("caveats"), F.sum(held("_b")).alias("carried_bare"),
-        F.sum(held("_f")).alias("carried_appendix")).select(
+        F.count("*").alias("runs"), F.sum("_n").alias("caveats"), F.sum("_bare").alias("carried_bare"),
+        F.sum("_full").alias("carried_appendix")).select(
         "*", S.ratio("carried_bare", "caveats").alias("share_bare"), S.ratio("carried_appendix", "caveats").alias("share_appendix"))
