@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from functools import lru_cache
 
@@ -28,25 +27,77 @@ from ledgerloom.llm.common import cut, keyed, pieces, settled
 
 LIMIT, BLOCK, STRIDE = 16, 1 << 14, 64
 #: Words of one generation of a worker's memory, some 200 bytes each.
-KEPT = 250_000
-
-_OTHER = re.compile("[^\\x00-\\u012f]")
-#: Two characters up to U+012F in a row that are no letter, number or usual white space.
-_PAIR = re.compile(r"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7]{2}")
-_STOP = re.compile(r"(?<=[^\W_])([^\w\s]+)(?=\s)")
+KEPT = 400_000
+#: Bytes of text encoded at once: the more, the fewer times a word is looked up.
+TAKEN = 1 << 22
+
+# Kinds of bytes: white space, letters (of ASCII and U+00C0 to U+00FF), digits, marks, apostrophe; others (0) are not parted
+# from their neighbours.
+_WHITE, _LETTER, _DIGIT, _MARK, _TICK = range(1, 6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _WHITE
+_KIND[33:127] = _MARK
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[39] = _TICK
+_KIND[0xC3] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Whether a word starts at a byte, by 8 * kind of the byte before + its own kind: after white space, at a digit, and where
+#: letters, digits and marks meet, but not after an apostrophe, which may belong to the letters that follow ('s, 'll).
+_START = np.zeros((8, 8), bool)
+_START[_WHITE, [0, _LETTER, _DIGIT, _MARK, _TICK]] = True
+_START[_LETTER, [_DIGIT, _MARK, _TICK]] = True
+_START[_DIGIT, [_LETTER, _DIGIT, _MARK, _TICK]] = True
+_START[_MARK, [_LETTER, _DIGIT]] = True
+_START[_TICK, _DIGIT] = True
+_START = _START.ravel()
+
+
+def parted(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words of several texts, where each word begins and the last ends, number of the words before each text.
+
+    The tokenizer lower-cases, drops white space and parts letters, digits and marks anyway: the words, encoded alone, have
+    the ids of the text. A stretch between white space stays one word as it is if it holds a character from U+0100 on, which
+    may compose or lower-case otherwise, or the beginning of a special string.
+    """
+    n = len(data)
+    kind, low = _KIND[data], _LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)  # of U+00C0 to U+00FF
+    after = data[lead + 1]
+    sign = after | 0x20 == 0xB7  # multiplication and division
+    kind[lead + 1] = np.where(sign, 0, _LETTER)
+    kind[lead[sign]] = 0
+    low[lead + 1] = np.where((after < 0x9F) & ~sign, after + np.uint8(32), after)
+    start = np.zeros(n, bool)
+    start[1:] = _START[kind[:-1] << np.uint8(3) | kind[1:]]
+    first = offs[:-1][offs[:-1] < n]
+    start[first] = kind[first] != _WHITE
+    black = kind != _WHITE
+    kept = np.flatnonzero(data >= 0xC4)
+    special = np.flatnonzero(data == 60)
+    special = special[data[np.minimum(special + 1, n - 1)] == 124]
+    if len(kept) or len(special):
+        fresh = black.copy()
+        fresh[1:] &= ~black[:-1]
+        fresh[first] = black[first]
+        at = np.append(np.flatnonzero(fresh), n)
+        k = np.unique(np.searchsorted(at, np.concatenate((kept, special)), "right") - 1)
+        edge = np.zeros(n + 1, np.int8)
+        edge[at[k]] += 1
+        edge[at[k + 1]] -= 1
+        same = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+        low[same] = data[same]
+        start[same] = fresh[same]
+    body = low[black]
+    return body, np.append(np.flatnonzero(start[black]), len(body)), np.searchsorted(np.flatnonzero(start), offs)
 
 
 def plain(text: str) -> str:
-    """A text with the same ids and fewer different words: the tokenizer lower-cases and parts marks from words anyway.
-
-    Only texts of characters up to U+012F, which neither compose nor lower-case by context, and without a special string.
-    """
-    if "<|" in text or not text.isascii() and _OTHER.search(text):
-        return text
-    text = text.lower()
-    if _PAIR.search(text):
-        return _STOP.sub(r" \1", text)
-    return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")  # each mark stands alone here
+    """A text with the same ids: its words as `parted` gives them, a space between."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    body, edge, _ = parted(data, np.array([0, len(data)]))
+    return b" ".join(body[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])).decode()
 
 
 # Fixed values of the tokenizer kind for which `plain` and word-wise encoding hold: what normalises, and what parts words.
@@ -63,10 +114,20 @@ def by_words(spec: dict) -> bool:
             and spec["model"].get("end_of_word_suffix") == "</w>")
 
 
+def rows(array: pa.LargeBinaryArray, at: np.ndarray | None = None) -> list[bytes]:
+    """The values of an array that is no slice, or with `at` those between these rows joined."""
+    _, edge, raw = array.buffers()
+    if raw is None or not len(array):
+        return [b""] * (len(array) if at is None else len(at) - 1)
+    edge, raw = np.frombuffer(edge, np.int64)[:len(array) + 1], raw.to_pybytes()
+    edge = (edge if at is None else edge[at]).tolist()
+    return [raw[a:b] for a, b in zip(edge, edge[1:])]
+
+
 class Ids:
-    """Ids of texts as bytes. Where the pre-tokenizer drops white space (`by_words`), words between ASCII white space are encoded
-    alone, by the library and once while they are remembered (two generations of bounded size). Any other tokenizer gets
-    the texts whole and as they are."""
+    """Ids of texts as bytes. Where the pre-tokenizer drops white space (`by_words`), words are encoded alone, by the library
+    and once while they are remembered (two generations of bounded size). Any other tokenizer gets the texts whole and as
+    they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,18 +141,30 @@ class Ids:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: pa.Array, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Ids of each text; `data` and `offs` hold their bytes."""
         if self.word_wise:
-            return self.of([plain(t).encode() for t in texts])
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+            return self.of(data, offs)
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+
+    def of(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        body, edge, before = parted(data, offs)
+        words = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(body)])
+        words = words.dictionary_encode()
+        values = pa.array(self.known(rows(words.dictionary)), pa.large_binary())
+        ids = values.take(words.indices)
+        return rows(ids, before)
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         young, old = self.young, self.old
-        new = set().union(*words).difference(young)
-        known = new.intersection(old)
-        young.update((w, old[w]) for w in known)
-        new = list(new.difference(known))
+        new = []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
         simple = [w for w in new if w.decode().isalpha()]
         for at in range(0, len(simple), 1 << 14):
             # Words of letters are one pre-token each: many are one text, parted again at the ids that end a word.
@@ -105,7 +178,7 @@ class Ids:
             some = [w for w in new[at:at + 4096] if w not in young]
             for w, e in zip(some, self.tok.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
                 young[w] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join(map(young.__getitem__, w)) for w in words]
+        out = [young[w] for w in words]
         if len(young) > KEPT:
             self.young, self.old = {}, young
         return out
@@ -231,8 +304,9 @@ def joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows of a batch, and how many each row has."""
     if not batch.num_rows:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    raw, wide = batch.column("ids").to_pylist(), batch.column("wide")[0].as_py()
-    return np.frombuffer(b"".join(raw), f"<u{wide}"), np.array([len(x) // wide for x in raw], np.int64)
+    raw, wide = batch.column("ids").cast(pa.large_binary()), batch.column("wide")[0].as_py()
+    edge = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2], f"<u{wide}", int(edge[-1] - edge[0]) // wide, int(edge[0])), np.diff(edge) // wide
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
@@ -245,8 +319,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
     def tokens(batches):
         ids = encoder(tokenizer)
         tail = np.array([end], ids.kind).tobytes()
-        for part, _, _ in pieces(batches):
-            got = [x + tail for x in ids.whole(part.column("text").to_pylist())]
+        for part, data, offs in pieces(batches, limit=TAKEN):
+            got = [x + tail for x in ids.whole(part.column("text"), data, offs)]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "k1": part.column("k1"), "k2": part.column("k2"),
                                               "wide": pa.array([ids.kind.itemsize] * len(got), pa.int32()), "ids": pa.array(got, pa.binary())})
 
@@ -276,8 +350,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int) -> None:
             ids, n = joined(batch)
             local = before + np.cumsum(n) - n
             before += len(ids)
-            rows = [(int(a), int(b), *x) for a, b, x in zip(local, n, code.encode(ids, n))]
-            a, b, c, d, e = zip(*rows) if rows else ((),) * 5
+            made = [(int(a), int(b), *x) for a, b, x in zip(local, n, code.encode(ids, n))]
+            a, b, c, d, e = zip(*made) if made else ((),) * 5
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "shard": batch.column("shard"), "local": pa.array(a, pa.int64()), "n": pa.array(b, pa.int64()),
                 "bits": pa.array(c, pa.binary()), "blocks": pa.array(d, pa.binary()), "marks": pa.array(e, pa.binary())})

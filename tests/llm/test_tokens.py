@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -154,6 +155,39 @@ def test_plain_keeps_ids():
         assert lib.encode(token_files.plain(t), add_special_tokens=False).ids == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def encoded(ids, texts):
+    """Ids of texts encoded side by side, as one piece of a batch."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return [np.frombuffer(x, ids.kind).tolist() for x in ids.whole(pa.array(texts), data, np.cumsum([0] + [len(x) for x in raw]))]
+
+
+def test_words_side_by_side():
+    """Words meet marks, digits, apostrophes, composing characters and special strings, in texts that touch."""
+    ids, rng = token_files.Ids(P.path("word_bpe_49k.json")), random.Random(4)
+    signs = ["'", "'s", "'LL", "'d", "J", "J\u030c", "\u0301", "<", "<\u0338", "<|", "<|endoftext|>", "ΑΣ", "İ", "ß", "É", "×", "÷", "ÿ", "Þ", "µ", "ª", "²", "\u00a0", "\u0085",
+             "\u2028", "\x1c", "\x0b", "\x00", " ", " ", "\n", "日本", "\U0001f600", "—", "ŉ", "Don", "we", "3rd", "20", "٣", "_", ".", ",", "-", "(", "ab", "Cd"]
+    texts = ["", "\n", "x"] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(20_000)]
+    want = [e.ids for e in ids.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [(t, g) for t, g, w in zip(texts, encoded(ids, texts), want) if g != w] == []
+    assert encoded(ids, ["", " "]) == [[], []] and encoded(ids, []) == []
+
+
+def test_words_remembered_once(monkeypatch):
+    """Case, marks and brackets around a word make no other word to encode, and what is forgotten is encoded again."""
+    ids = token_files.Ids(P.path("word_bpe_49k.json"))
+    texts = ["Word, (WORD) word-word; word's", "Élan élan. (ÉLAN), word2019word"]
+    want = [ids.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(ids, texts) == want
+    letters = {w.decode() for w in ids.young if w.decode().isalpha()}
+    assert letters == {"word", "élan"} and len(ids.young) < 16
+    monkeypatch.setattr(token_files, "KEPT", 4)
+    for _ in range(4):
+        assert encoded(ids, texts) == want and encoded(ids, ["other words here now again"]) == [
+            ids.tok.encode("other words here now again", add_special_tokens=False).ids]
+        assert not ids.young
+
+
 @pytest.mark.parametrize("name", ["_body", "body_", "score", "ids"])
 def test_columns_of_any_name(docs, name):
     """Columns that the operators could use themselves stay as they are."""
