@@ -7,8 +7,9 @@ poisson      (default) each unit of each draw gets a Poisson(1) weight from a ha
              not the number of rows. A cell of m units gets exactly Poisson(m) at every m: the sum of m
              unit weights, or from `REJECTION` units on one transformed rejection sample of that same
              law. One pass, no join, map-side combined.
-multinomial  the classical scheme, n slots filled by hashed unit index. Its cost is rows times draws: digests in
-             a task, and rows that are joined back for groups beyond PACKED units.
+multinomial  the classical scheme, n slots filled by hashed unit index. Its cost is rows times draws: slots counted in
+             a task, whose digests the groups of a range of draws share, and rows that are joined back for groups beyond
+             PACKED units.
 
 Keyed units take Poisson weights too, each a row of its own: a task multiplies the weights of a block of units (draws
 wide, from digests) with their statistics and keeps the sums, so what it passes on is draws times statistics per group and
@@ -20,6 +21,7 @@ Every draw depends on (seed, draw, unit key) alone: results do not change with p
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -239,6 +241,8 @@ def _packed_slots(ranked: DataFrame, by: list[str], stats: list[str], draws: int
             known.append(pc.is_valid(table.column(x)).to_numpy()[order])
             values.append(pc.fill_null(table.column(x), 0.0).to_numpy()[order])
         at = range(first, min(first + width, draws))
+        for key in [k for k in _known if k[0] != seed or k[1] not in at]:
+            del _known[key]
         sums: list[list[float | None]] = [[] for _ in stats]
         for draw in at:
             weights = slot_counts(n, draw, seed)
@@ -249,20 +253,98 @@ def _packed_slots(ranked: DataFrame, by: list[str], stats: list[str], draws: int
         groups = [pa.array([table.column(g)[0].as_py()] * len(at), arrow.field(g).type) for g in held]
         return pa.table([*groups, pa.array(at, pa.int32()), pa.array([float(n)] * len(at)), *[pa.array(s, pa.float64()) for s in sums]], schema=arrow)
 
-    out = packed.groupBy(*held, "_from").applyInArrow(drawn, T.StructType(fields))
+    # a range's groups follow each other in one task, which hashes its slots once
+    out = packed.repartition(tasks, "_from").groupBy("_from", *held).applyInArrow(drawn, T.StructType(fields))
     return out.select(*[F.col(g).alias(b) for g, b in zip(held, by)], "draw", "n", *[
         F.col(x).cast("bigint").alias(x) if whole[x] else F.col(x) for x in stats])
 
 
 def slot_counts(n: int, draw: int, seed: int) -> np.ndarray:
     """How often a draw's n slots pick each of n units: 60 bits of the digest of (seed, draw, slot), modulo n."""
-    counts, head, md5 = np.zeros(n, np.int64), f"{seed}|{draw}|", hashlib.md5
+    counts = np.zeros(n, np.int64)
     for at in range(0, n, SLOTS):
-        raw = b"".join([md5(f"{head}{j}".encode()).digest()[:8] for j in range(at, min(at + SLOTS, n))])
-        counts += np.bincount((np.frombuffer(raw, ">u8") >> 4).astype(np.int64) % n, minlength=n)
+        counts += np.bincount(slot_values(draw, seed, at, min(SLOTS, n - at)) % n, minlength=n)
     return counts.astype(np.float64)
 
 
+#: Slots of the range of draws that a worker is at, by (seed, draw, first slot): every group of the range reads the same ones.
+_known: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def slot_values(draw: int, seed: int, at: int, n: int) -> np.ndarray:
+    """60 bits of the digests of n of a draw's slots from `at` on; kept for other groups while all take less than HELD bytes."""
+    found = _known.get((seed, draw, at), np.zeros(0, np.int64))
+    if len(found) < n:
+        to = at + max(n, min(SLOTS, 2 * len(found)))
+        found = np.concatenate([found, (digests(f"{seed}|{draw}|", at + len(found), to) >> np.uint64(4)).astype(np.int64)])
+        if sum(v.nbytes for v in _known.values()) + found.nbytes <= HELD:
+            _known[seed, draw, at] = found
+    return found[:n]
+
+
+def digests(head: str, start: int, stop: int) -> np.ndarray:
+    """First 8 bytes (big-endian) of the md5 of head followed by each number from start to stop."""
+    out, at = [], start
+    while at < stop:
+        digits = len(str(at))
+        to = min(stop, 10 ** digits, at + LANES)
+        out.append(_md5_heads(head.encode(), np.arange(at, to, dtype=np.int64), digits))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+#: Numbers that are hashed side by side, and the constants of md5: shifts and sines.
+LANES = 1 << 13
+_SHIFTS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).ravel().astype(np.uint32)
+_SINES = np.array([int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)], np.uint32)
+
+
+def _md5_heads(head: bytes, numbers: np.ndarray, digits: int) -> np.ndarray:
+    """`digests` of numbers of so many digits: one block of md5 for all of them at once."""
+    size = len(head) + digits
+    if size > 55:
+        return np.frombuffer(b"".join([hashlib.md5(head + b"%d" % j).digest()[:8] for j in numbers.tolist()]), ">u8").astype(np.uint64)
+    block = bytearray(head.ljust(64, b"\0"))
+    block[size], block[56:58] = 128, (8 * size).to_bytes(2, "little")
+    words, left = list(np.frombuffer(bytes(block), "<u4").astype(np.uint32)), numbers
+    for place in range(size - 1, len(head) - 1, -1):
+        left, digit = np.divmod(left, 10)
+        words[place // 4] = words[place // 4] | (digit + 48).astype(np.uint32) << np.uint32(8 * (place % 4))
+    start = [np.uint32(x) for x in (0x67452301, 0xefcdab89, 0x98badcfe, 0x10325476)]
+    a, b, c, d = (np.full(len(numbers), x, np.uint32) for x in start)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            word = i
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            word = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            word = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            word = 7 * i % 16
+            np.bitwise_not(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        np.add(f, words[word], out=f)
+        np.add(f, _SINES[i], out=f)
+        np.right_shift(f, np.uint32(32) - _SHIFTS[i], out=g)
+        np.left_shift(f, _SHIFTS[i], out=f)
+        np.bitwise_or(f, g, out=f)
+        np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    first, second = (a + start[0]).astype("<u4"), (b + start[1]).astype("<u4")
+    return first.byteswap().astype(np.uint64) << np.uint64(32) | second.byteswap().astype(np.uint64)
+
+
 def _shuffled_slots(ranked: DataFrame, by: list[str], stats: list[str], draws: int, seed: int) -> DataFrame:
     """Slots of groups of any size, as rows that meet their units by a join."""
     slots = ranked.select(*by, "_n", "_pick", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))

@@ -60,7 +60,7 @@ def e3_bootstrap_ols(t):
 
 
 # The classical scheme: n slots per draw, each hashed to one of the group's runs, which rank by the digest of their id.
-def _slots(draws: int = 200) -> str:
+def _slots(draws: int = 2000) -> str:
     return f"""{BASE}, mu AS MATERIALIZED (SELECT condition, x, y, row_number() OVER g - 1 AS j, count(*) OVER (PARTITION BY condition) AS n
     FROM use WINDOW g AS (PARTITION BY condition ORDER BY md5(run_id::VARCHAR), run_id)),
   sl AS (SELECT condition, draw, ('0x' || substr(md5(concat_ws('|', '0', draw::VARCHAR, j::VARCHAR)), 1, 15))::BIGINT % n AS j
@@ -75,13 +75,13 @@ def _slots(draws: int = 200) -> str:
 @query("e3_bootstrap_multinomial", f"""{_slots()} SELECT condition, round(w_lo, 6) AS w_lo, round(w_hi, 6) AS w_hi,
   round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM mq""")
 def e3_bootstrap_multinomial(t):
-    return rounded(E.ols_interval_classical(t.audited(), ["condition"], ["run_id"], draws=200))
+    return rounded(E.ols_interval_classical(t.audited(), ["condition"], ["run_id"]))
 
 
-@query("e3_bootstrap_multinomial_full", f"""{_slots(2000)} SELECT condition, round(w_lo, 6) AS w_lo, round(w_hi, 6) AS w_hi,
+@query("e3_bootstrap_multinomial_full", f"""{_slots()} SELECT condition, round(w_lo, 6) AS w_lo, round(w_hi, 6) AS w_hi,
   round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM mq""")
 def e3_bootstrap_multinomial_full(t):
-    """The same with the operator's default draws."""
+    """The same: both have the operator's default draws."""
     return rounded(E.ols_interval_classical(t.audited(), ["condition"], ["run_id"]))
 
 

@@ -1,5 +1,6 @@
 """Steps that grew faster than their input: same results, and plans without what made them grow."""
 
+import hashlib
 import random
 import re
 
@@ -125,3 +126,37 @@ def test_carriage_normalises_caveats_once(spark):
     cav = spark.createDataFrame([("a", 1, ["* Mind the\ngap.", "Other *", ""]), ("a", 2, ["Mind"]), ("b", 1, [])], "arm string, variant int, sentences array<string>")
     got = probes.carriage(runs, cav, "arm")
     assert [(r.arm, r.runs, r.caveats, r.carried_bare, r.carried_appendix) for r in got.collect()] == [("a", 3, 9, 3, 6)]
+
+
+def test_classical_interval_has_all_its_draws(spark):
+    """The bound query gives the operator's own interval, of its default draws."""
+    from ledgerloom.operators import estimators
+    from ledgerloom.plans import estimators as plans
+
+    audited = spark.range(60).select(
+        "id", F.col("id").alias("run_id"), (F.col("id") % 2).cast("string").alias("condition"), (F.col("id") % 7 == 3).alias("floor_guard"),
+        (F.col("id") % 5).alias("supply"), (F.col("id") * 7 % 4).alias("emitted"))
+    tables = type("Tables", (), {"audited": lambda self: audited})()
+    whole = plans.rounded(estimators.ols_interval_classical(audited, ["condition"], ["run_id"]))
+    got = sorted(map(repr, plans.e3_bootstrap_multinomial(tables).collect()))
+    assert len(got) == 2 and got == sorted(map(repr, whole.collect()))
+
+
+@pytest.mark.parametrize("head, start, stop", [("0|7|", 0, 1200), ("3|1999|", 99_990, 100_010), ("-1|12|", 9_999_998, 10_000_003), ("x" * 51, 8, 102), ("", 0, 0)])
+def test_digests_side_by_side(monkeypatch, head, start, stop):
+    monkeypatch.setattr(bootstrap, "LANES", 500)
+    want = [int.from_bytes(hashlib.md5(f"{head}{j}".encode()).digest()[:8], "big") for j in range(start, stop)]
+    assert bootstrap.digests(head, start, stop).tolist() == want
+
+
+@pytest.mark.parametrize("held", [0, 3000, 64 << 20])
+def test_slots_are_shared_by_groups(monkeypatch, held):
+    monkeypatch.setattr(bootstrap, "SLOTS", 100)
+    monkeypatch.setattr(bootstrap, "HELD", held)
+    monkeypatch.setattr(bootstrap, "_known", {})
+    for n, draw in [(30, 5), (250, 5), (70, 5), (250, 6), (1, 5), (99, 6)]:
+        want = [0] * n
+        for j in range(n):
+            want[(int.from_bytes(hashlib.md5(f"9|{draw}|{j}".encode()).digest()[:8], "big") >> 4) % n] += 1
+        assert bootstrap.slot_counts(n, draw, 9).tolist() == want
+    assert sum(v.nbytes for v in bootstrap._known.values()) <= held
