@@ -98,9 +98,21 @@ def needed(pattern: str) -> tuple[str, ...]:
 
 
 def _folded(text) -> Column:
-    """What `_maybe` reads: the text, its lower case, and whether it has letters that case folding takes for ASCII ones."""
-    t = as_col(text)
-    return F.struct(t.alias("t"), F.lower(t).alias("l"), reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in ODD_CASES]).alias("o"))
+    """What `_maybe` reads: the text, its lower case, whether it is ASCII, and whether it has letters that case folding takes for
+    ASCII ones."""
+    def known(e):
+        odd = reduce(lambda a, b: a | b, [F.contains(e["t"], F.lit(c)) for c in ODD_CASES])
+        return F.struct(e["t"].alias("t"), F.lower(e["t"]).alias("l"), e["a"].alias("a"), (~e["a"] & odd).alias("o"))
+    return let(F.struct(as_col(text).alias("t"), _ascii(text).alias("a")), known)
+
+
+def _ascii(text) -> Column:
+    return F.octet_length(as_col(text)) == F.length(as_col(text))
+
+
+def _lengths(texts, ascii_: Column) -> Column:
+    """Characters of each text; where all are ASCII they aren't counted one by one."""
+    return F.when(ascii_, F.transform(texts, lambda x: F.octet_length(x))).otherwise(F.transform(texts, lambda x: F.length(x)))
 
 
 def _maybe(e: Column, pattern: str) -> Column | None:
@@ -111,7 +123,46 @@ def _maybe(e: Column, pattern: str) -> Column | None:
 
 def _has_folded(e: Column, pattern: str) -> Column:
     maybe = _maybe(e, pattern)
-    return has(e["t"], pattern) if maybe is None else F.coalesce(maybe, F.lit(False)) & has(e["t"], pattern)
+    found = has(e["t"], led(pattern))
+    return found if maybe is None else F.coalesce(maybe, F.lit(False)) & found
+
+
+#: The letters that ODD_CASES stand for.
+_FOLDS = dict(zip(ODD_CASES, "siik"))
+
+
+@lru_cache(maxsize=None)
+def led(pattern: str) -> str:
+    """A pattern that begins with a word boundary and a letter, with the letter looked for before the boundary; it matches the same.
+
+    At nearly every character of a text the letter is not there, and a boundary is dearer to tell.
+    """
+    start = re.match(r"\\b([a-z])(?![*?+{])", pattern, re.I)
+    alone = re.sub(r"\([^()]*\)", "", re.sub(r"\[\^?\]?[^\]]*\]", "", re.sub(r"\\.", "", pattern)))
+    if start is None or "|" in alone or re.search(r"\(\?[a-z-]|\\Q", pattern, re.I):
+        return pattern
+    first = start[1].lower()
+    both = f"[{first}{first.upper()}{''.join(c for c in ODD_CASES if _FOLDS[c] == first)}]"
+    return rf"(?-i:{both}(?<=\b{both})){pattern[start.end():]}"
+
+
+#: FLAGS for ASCII texts, where Unicode classes and case folding tell the same and cost more.
+ASCII_FLAGS = "(?id)"
+_PLAIN = re.compile(r"(?:[\x00-\x5b\x5d-\x7f]|\\[bBdDsSwW]|\\[^a-zA-Z0-9])*")
+
+
+def flagged(pattern: str, ascii_: Column) -> Column:
+    """The pattern with its flags, for a text that is ASCII or not."""
+    plain = pattern.isascii() and _PLAIN.fullmatch(pattern) and not re.search(r"\(\?[a-zA-Z-]", pattern)
+    full = F.lit(FLAGS + led(pattern))
+    return F.when(ascii_, F.lit(ASCII_FLAGS + led(pattern))).otherwise(full) if plain else full
+
+
+@lru_cache(maxsize=None)
+def width(pattern: str) -> int | None:
+    """Characters of every match of a pattern of letters, classes of letters and word boundaries; None for any other."""
+    plain = re.fullmatch(r"(?:\\b|[a-z0-9 ]|\[[a-z0-9]+\])+", pattern, re.I)
+    return len(re.sub(r"\[[^\]]*\]", "x", pattern.replace(r"\b", ""))) or None if plain else None
 
 
 # ---------------------------------------------------------------- families
@@ -179,7 +230,7 @@ def family_matches(text, lex, limit: int = 5, mask=None) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull() & (F.size(e["v"]) > 0)))
 
 
-def running_lengths(lengths: Column, block: int = 256) -> Column:
+def running_lengths(lengths: Column, block: int = 32) -> Column:
     """Sum of the elements in front of each element of an int array.
 
     Appending to an array copies it, so sums run inside blocks and over block totals.
@@ -199,10 +250,10 @@ def running_lengths(lengths: Column, block: int = 256) -> Column:
     return let(let(lengths, split), over)
 
 
-def _stretches(text, pattern: str, matches: Column) -> Column:
+def _stretches(text, pattern, matches: Column, ascii_: Column) -> Column:
     """Lengths of the matches (`m`), of the gaps around them (`g`, one more), and where each gap starts (`at`)."""
-    gaps = F.transform(F.split(as_col(text), pattern, -1), lambda x: F.length(x))
-    marks = F.transform(matches, lambda x: F.length(x))
+    gaps = _lengths(F.split(as_col(text), pattern, -1), ascii_)
+    marks = _lengths(matches, ascii_)
     return let(F.struct(gaps.alias("g"), marks.alias("m")), lambda e: F.struct(
         e["g"].alias("g"), e["m"].alias("m"),
         running_lengths(F.zip_with(e["g"], e["m"], lambda g, m: g + F.coalesce(m, F.lit(0)))).alias("at")))
@@ -211,18 +262,37 @@ def _stretches(text, pattern: str, matches: Column) -> Column:
 def spans(text, lex) -> Column:
     """Sorted (start, end, family) character offsets of every match; empty for a null text.
 
-    What lies between matches and the matches themselves give the offsets by their lengths. Meant for patterns that
-    match no empty string.
+    What lies between matches and the matches themselves give the offsets by their lengths. A pattern is searched for in
+    texts that hold one of its literals. Meant for patterns that match no empty string.
     """
     none = F.array().cast("array<struct<start:int,end:int,family:string>>")
 
-    def located(fam, pattern):
-        matches = F.regexp_extract_all(as_col(text), F.lit(FLAGS + pattern), F.lit(0))
-        found = let(_stretches(text, FLAGS + pattern, matches), lambda e: F.transform(e["m"], lambda m, i: let(
-            F.get(e["at"], i) + F.get(e["g"], i), lambda at: F.struct(at.alias("start"), (at + m).alias("end"), F.lit(fam).alias("family")))))
-        return F.when(has(text, pattern), found).otherwise(none)
-
-    return F.sort_array(F.flatten(F.array(*[located(fam, p) for fam, pats in lexicon(lex).items() for p in pats])))
+    def located(e, fam, pattern):
+        """One search where all matches are equally wide, two where their own lengths are needed."""
+        wide, searched = width(pattern), flagged(pattern, e["a"])
+
+        def span(start, length):
+            return let(start, lambda at: F.struct(at.alias("start"), (at + length).alias("end"), F.lit(fam).alias("family")))
+        if wide:
+            def between(g):
+                ends = running_lengths(F.transform(g, lambda x: x + F.lit(wide)))
+                starts = let(ends, lambda at: F.transform(F.slice(g, F.lit(1), F.size(g) - 1), lambda x, i: span(F.get(at, i) + x, F.lit(wide))))
+                return F.when(F.size(g) > 1, starts).otherwise(none)
+            return let(_lengths(F.split(e["t"], searched, -1), e["a"]), between)
+
+        def measured(matches):
+            found = let(_stretches(e["t"], searched, matches, e["a"]), lambda s: F.transform(
+                s["m"], lambda m, i: span(F.get(s["at"], i) + F.get(s["g"], i), m)))
+            return F.when(F.size(matches) > 0, found).otherwise(none)
+        return let(F.regexp_extract_all(e["t"], searched, F.lit(0)), measured)
+
+    def every(e):
+        def part(fam, pattern):
+            maybe = _maybe(e, pattern)
+            found = located(e, fam, pattern)
+            return found if maybe is None else F.when(maybe, found).otherwise(none)
+        return F.sort_array(F.flatten(F.array(*[part(fam, p) for fam, pats in lexicon(lex).items() for p in pats])))
+    return let(_folded(text), every)
 
 
 def held(df, name: str, value):
@@ -275,8 +345,12 @@ def strip(text) -> Column:
 
 def sentence_offsets(text) -> Column:
     """Array of (start, end) of the boundary-rule sentences; empty for a null text."""
-    t = F.coalesce(as_col(text), F.lit(""))
-    pieces = let(_stretches(t, SENTENCE_BREAK, F.regexp_extract_all(t, F.lit(SENTENCE_BREAK), F.lit(0))), lambda e: F.zip_with(
+    # white space is looked for before what stands in front of it
+    searched = r"(?=\s)(?:" + SENTENCE_BREAK + ")"
+
+    def found(t):
+        return _stretches(t, searched, F.regexp_extract_all(t, F.lit(searched), F.lit(0)), _ascii(t))
+    pieces = let(let(F.coalesce(as_col(text), F.lit("")), found), lambda e: F.zip_with(
         e["at"], e["g"], lambda at, g: F.struct(at.alias("start"), (at + g).alias("end"))))
     return F.filter(pieces, lambda p: p["end"] > p["start"])
 

@@ -42,6 +42,20 @@ def sentence_hits(spans, sentences, drop: Column | None = None) -> Column:
     return X.let(at, located)
 
 
+def sentences_hit(spans, sentences) -> Column:
+    """The offsets of the sentences inside which some span starts, in order: each span looks its sentence up by halving."""
+    def placed(e, p):
+        def halved(pos, step):
+            return F.when((pos + step <= F.size(e["at"])) & (F.get(e["at"], pos + step - 1) <= p["start"]), pos + step).otherwise(pos)
+        return X.let(F.aggregate(e["steps"], F.lit(0), halved), lambda n: F.when(F.get(e["so"], n - 1)["end"] > p["start"], n - 1))
+
+    def located(so):
+        steps = F.filter(F.array(*[F.lit(x) for x in STEPS]), lambda x: x <= F.size(so))
+        return X.let(F.struct(so.alias("so"), F.transform(so, lambda s: s["start"]).alias("at"), steps.alias("steps")), lambda e: F.transform(
+            F.array_distinct(F.array_compact(F.transform(spans, lambda p: placed(e, p)))), lambda i: F.get(e["so"], i)))
+    return X.let(sentences, located)
+
+
 def _located(df: DataFrame, text: str, lex) -> DataFrame:
     """With spans, offsets of sentences and the sentences of a text; a detector that joins a table has detections for the part
     of the column's name."""
@@ -177,7 +191,7 @@ def invention_pairs(refs: DataFrame, text: str, targets: str, injections: dict[s
 def feature_mask(df: DataFrame, text: str, lex, out: str = "mask", sentence_level: bool = True) -> DataFrame:
     """Character spans of the feature: whole sentences in which a span starts, or the bare spans."""
     d = _located(df, text, lex)
-    mask = X.let(sentence_hits("_sp", "_so"), lambda hits: F.filter("_so", lambda _, i: F.get(hits, i))) if sentence_level else F.transform(
+    mask = sentences_hit("_sp", "_so") if sentence_level else F.transform(
         "_sp", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
     return X.held(d, out, mask).drop("_sp", "_so", "_ss")
 
