@@ -123,7 +123,10 @@ def _maybe(e: Column, pattern: str) -> Column | None:
 
 def _has_folded(e: Column, pattern: str) -> Column:
     maybe = _maybe(e, pattern)
-    found = has(e["t"], led(pattern))
+    searched = led(pattern)
+    found = has(e["t"], searched)
+    if ascii_alike(pattern):
+        found = F.when(e["a"], e["t"].rlike(ASCII_FLAGS + searched)).otherwise(found)
     return found if maybe is None else F.coalesce(maybe, F.lit(False)) & found
 
 
@@ -151,11 +154,16 @@ ASCII_FLAGS = "(?id)"
 _PLAIN = re.compile(r"(?:[\x00-\x5b\x5d-\x7f]|\\[bBdDsSwW]|\\[^a-zA-Z0-9])*")
 
 
+@lru_cache(maxsize=None)
+def ascii_alike(pattern: str) -> bool:
+    """Whether a pattern finds the same in an ASCII text under ASCII_FLAGS."""
+    return pattern.isascii() and bool(_PLAIN.fullmatch(pattern)) and not re.search(r"\(\?[a-zA-Z-]", pattern)
+
+
 def flagged(pattern: str, ascii_: Column) -> Column:
     """The pattern with its flags, for a text that is ASCII or not."""
-    plain = pattern.isascii() and _PLAIN.fullmatch(pattern) and not re.search(r"\(\?[a-zA-Z-]", pattern)
     full = F.lit(FLAGS + led(pattern))
-    return F.when(ascii_, F.lit(ASCII_FLAGS + led(pattern))).otherwise(full) if plain else full
+    return F.when(ascii_, F.lit(ASCII_FLAGS + led(pattern))).otherwise(full) if ascii_alike(pattern) else full
 
 
 @lru_cache(maxsize=None)
@@ -247,7 +255,9 @@ def running_lengths(lengths: Column, block: int = 32) -> Column:
         starts = F.sequence(F.lit(1), F.size(ls), F.lit(block))
         return F.when(F.size(ls) > 0, F.transform(starts, lambda i: F.slice(ls, i, F.lit(block)))).otherwise(F.array().cast("array<array<int>>"))
 
-    return let(let(lengths, split), over)
+    def short(ls):
+        return F.when(F.size(ls) <= block, F.slice(grow(ls, F.lit(0)), F.lit(1), F.size(ls))).otherwise(let(split(ls), over))
+    return let(lengths, short)
 
 
 def _stretches(text, pattern, matches: Column, ascii_: Column) -> Column:
@@ -348,10 +358,22 @@ def sentence_offsets(text) -> Column:
     # white space is looked for before what stands in front of it
     searched = r"(?=\s)(?:" + SENTENCE_BREAK + ")"
 
-    def found(t):
-        return _stretches(t, searched, F.regexp_extract_all(t, F.lit(searched), F.lit(0)), _ascii(t))
-    pieces = let(let(F.coalesce(as_col(text), F.lit("")), found), lambda e: F.zip_with(
-        e["at"], e["g"], lambda at, g: F.struct(at.alias("start"), (at + g).alias("end"))))
+    def placed(e):
+        # breaks of one character each, as their sum tells, aren't searched for themselves
+        breaks = F.size(e["g"]) - 1
+        single = F.aggregate(e["g"], F.lit(0), lambda a, x: a + x) + breaks == e["n"]
+        marks = F.when(single, F.transform(e["g"], lambda _: F.lit(1))).otherwise(
+            _lengths(F.regexp_extract_all(e["t"], F.lit(searched), F.lit(0)), e["a"]))
+        starts = running_lengths(F.zip_with(e["g"], marks, lambda g, m: g + F.coalesce(m, F.lit(0))))
+        return F.zip_with(starts, e["g"], lambda at, g: F.struct(at.alias("start"), (at + g).alias("end")))
+
+    def parted(e):
+        return F.struct(e["t"].alias("t"), e["n"].alias("n"), (e["n"] == F.octet_length(e["t"])).alias("a"))
+
+    def gapped(e):
+        return F.struct(e["t"].alias("t"), e["n"].alias("n"), e["a"].alias("a"), _lengths(F.split(e["t"], searched, -1), e["a"]).alias("g"))
+    t = F.coalesce(as_col(text), F.lit(""))
+    pieces = let(let(let(F.struct(t.alias("t"), F.length(t).alias("n")), parted), gapped), placed)
     return F.filter(pieces, lambda p: p["end"] > p["start"])
 
 

@@ -218,7 +218,7 @@ def diagnose_pairs(pairs: DataFrame, lex, keep: Sequence[str], chosen: str = "ch
         return F.size(F.filter(words, lambda w: ~F.exists(mask, lambda s: (w["end"] > s["start"]) & (w["start"] < s["end"]))))
     total = F.size("_d.a") + F.size("_d.b")
     share = F.when(total > 0, (off(F.col("_d.a"), F.col("_am")) + off(F.col("_d.b"), F.col("_bm"))) / total).otherwise(0.0)
-    ratio = F.when(total == 0, F.lit(1.0)).when(F.length("_b") > 0, F.length("_a") / F.length("_b"))
+    ratio = F.when(total == 0, F.lit(1.0)).when(F.col("_d.lb") > 0, F.col("_d.la") / F.col("_d.lb"))
     return d.select(*keep, F.when(total > 0, total / F.col("_d.words")).otherwise(0.0).alias("differing"), share.alias("off_feature"),
                     ratio.alias("length_ratio"))
 

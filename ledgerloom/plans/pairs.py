@@ -182,19 +182,19 @@ def d9_diagnose_pairs(t):
   SELECT doc_id, round(6 / (2 * n)::DOUBLE, 6) AS differing, round(length(a) / length(b)::DOUBLE, 6) AS length_ratio, CASE WHEN {K.mask('a', LEX)} | {K.mask('b', LEX)} = 0 THEN 1.0::DOUBLE END AS off_feature FROM r""")
 def d9_spliced_pairs(t):
     """Texts against themselves with three words replaced, near both ends and in the middle."""
-    ascii_ = F.regexp_replace("text", "[^\\x00-\\x7f]", "z")
+    ascii_ = F.when(F.octet_length("text") == F.length("text"), F.col("text")).otherwise(F.regexp_replace("text", "[^\\x00-\\x7f]", "z"))
     w = X.held(t.documents.select("doc_id", "text"), "ws", F.regexp_extract_all(ascii_, F.lit("[^ \\t\\n\\x0B\\f\\r]+"), F.lit(0))).where(F.size("ws") >= 8)
     n = F.size("ws")
 
     def edited(*places):
-        """The words with those at some places (ascending, from 0) replaced."""
+        """The words joined, with those at some places (ascending, from 0, none next to another or first) replaced."""
         parts, at = [], F.lit(0)
         for i in places:
-            parts += [F.slice("ws", at + 1, i - at), F.array(F.concat(F.lit("qqq"), i + 1))]
+            parts += [F.array_join(F.slice("ws", at + 1, i - at), " "), F.concat(F.lit("qqq"), i + 1)]
             at = i + 1
-        return F.concat(*parts, F.slice("ws", at + 1, n - at))
+        return F.concat_ws(" ", *parts, F.array_join(F.slice("ws", at + 1, n - at), " "))
     edit = edited(F.lit(1), F.floor(n / 2).cast("int"), n - 2)
-    p = X.held(w, "p", F.struct(F.array_join("ws", " ").alias("chosen"), F.array_join(edit, " ").alias("rejected"))).select("doc_id", "p.*")
+    p = X.held(w, "p", F.struct(F.array_join("ws", " ").alias("chosen"), edit.alias("rejected"))).select("doc_id", "p.*")
     d = D.diagnose_pairs(p.withColumn("m", X.families_mask("chosen", LEX).bitwiseOR(X.families_mask("rejected", LEX))), LEX, ["doc_id", "m"])
     return rounded(d.select("doc_id", "differing", "length_ratio", F.when(F.col("m") == 0, F.col("off_feature")).alias("off_feature")))
 
